@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from ledgerlark.llm.media import op9_media_columns
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op9_media_columns": op9_media_columns, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}
