@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text is handed to numpy in buffers of about this many bytes, so memory doesn't grow with a document's length.
 SEGMENT = 1 << 20
@@ -59,6 +60,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A stored table is broadcast up to this many rows of a few numbers each; a larger one is merge-joined.
+MOST_BROADCAST = 500_000
+
+
+def small_side(stored: DataFrame) -> DataFrame:
+    """A stored table of ids as one side of a join with documents: broadcast while its counted size allows it."""
+    return F.broadcast(stored) if stored.count() <= MOST_BROADCAST else stored.hint("merge")
+
+
 #: White space beyond ASCII; its bytes would otherwise count as letters.
 WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from ledgerlark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from ledgerlark.llm.media import op9_media_columns
+from ledgerlark.llm.ngram_join import op7_ngram_jaccard_join
 from ledgerlark.llm.packing import op2_best_fit_packing
 from ledgerlark.llm.tokens import op8_token_counts
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op8_token_counts": op8_token_counts, "op9_media_columns": op9_media_columns, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_token_counts": op8_token_counts, "op9_media_columns": op9_media_columns, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}
