@@ -36,7 +36,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         digit = F.substring("rest", 1, width)
         nodes = state.groupBy("grp", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where("n > 1")
         nodes = nodes.select(F.col("grp").alias("g"), F.col("digit").alias("d"), "n", "keep", (F.monotonically_increasing_id() + 1).alias("child"))
-        nodes = store.put(nodes)
+        kept = store.put(nodes)
+        nodes = kept.hint("merge")  # one plan at every size; small inputs would broadcast it
         on = (F.col("grp") == F.col("g")) & (F.col("digit") == F.col("d"))
         split = state.withColumn("digit", digit).join(nodes, on, "left").select(
             "id", "sha", "n", "keep", F.col("child").alias("grp"),
@@ -44,7 +45,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.monotonically_increasing_id().alias("rid"),
         )
         split = store.put(split)
-        store.drop(nodes)
+        store.drop(kept)
         if old is not None:
             store.drop(old)  # its finished rows are already in `done`
             old = None
