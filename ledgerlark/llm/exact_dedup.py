@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import Scratch, table
+from ledgerlark.llm.common import Scratch, small_side, table
 
 FIRST_DIGIT = 64
 WIDENING = 8
@@ -70,15 +70,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns. Rows alike in id and text leave one."""
-    found = Scratch(docs.sparkSession).put(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept", "keep_id"))
-    ids = found.groupBy("_id").agg(F.max("kept").alias("any"), F.count_if(~F.col("kept") & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("again"))
-    gone = ids.where("not any").select("_id")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    again = ids.where("any and again > 0").select("_id")
-    if again.isEmpty():
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    found = Scratch(docs.sparkSession).put(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    ids = found.groupBy("_id").agg(F.max("kept").alias("stays"), F.max(~F.col("kept")).alias("goes"))
+    gone = Scratch(docs.sparkSession).put(ids.where("not stays").select("_id"))
+    mixed = ids.where("stays and goes").select("_id")  # ids of several rows, of which some stay: rare
+    out = docs.join(small_side(gone), docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    if mixed.isEmpty():
         return out
-    alike = out.join(again, out[id_col].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(again, out[id_col].eqNullSafe(again["_id"]), "left_anti").unionByName(alike)
+    pair = found.where("kept").join(mixed.withColumnRenamed("_id", "_m"), F.col("_id").eqNullSafe(F.col("_m"))).select("_id", "_sha").distinct()
+    some = out.join(mixed, out[id_col].eqNullSafe(mixed["_id"]), "left_semi").withColumn("exact__sha", key)
+    some = some.join(pair, some[id_col].eqNullSafe(pair["_id"]) & (some["exact__sha"] == pair["_sha"]), "left_semi").dropDuplicates([id_col, "exact__sha"]).drop("exact__sha")
+    return out.join(mixed, out[id_col].eqNullSafe(mixed["_id"]), "left_anti").unionByName(some)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

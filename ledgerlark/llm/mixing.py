@@ -102,8 +102,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     """
     spark = docs.sparkSession
     h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    rows = docs.drop("block_no", "slot", "position").withColumn("_src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("_h", h).withColumn("_salt", F.floor(F.col("_h") / ((1 << 30) // SALTS)).cast("int"))
-    cells = rows.groupBy("_src", "_salt").count().collect()  # sources x SALTS rows
+    rows = docs.drop("block_no", "slot", "position").withColumn("mix__src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("mix__h", h).withColumn("mix__salt", F.floor(F.col("mix__h") / ((1 << 30) // SALTS)).cast("int"))
+    cells = rows.groupBy("mix__src", "mix__salt").count().collect()  # sources x SALTS rows
     counts: dict[str, int] = {}
     before = []
     for src, salt, n in sorted(tuple(c) for c in cells):
@@ -134,21 +134,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
         total += missing
         short_rows.append((slot + 1, total))
     bounds = [(a, b[0] if b else 1 << 60, m) for (a, m), b in zip(short_rows, [*short_rows[1:], None], strict=True) if not b or a < b[0]]
-    cell = F.broadcast(spark.createDataFrame(before or [("", 0, 0)], "_s string, _a int, _before bigint"))
-    phase = F.broadcast(spark.createDataFrame(phase_rows or [("", 0, 0, 0, 1, 1, 0)], "_ps string, _p int, _lo bigint, _hi bigint, _n bigint, _len bigint, _at bigint"))
-    turn = spark.createDataFrame(period_rows or [(0, "", 0, 0)], "_tp int, _ts string, _k bigint, _t bigint")
+    cell = F.broadcast(spark.createDataFrame(before or [("", 0, 0)], "mix__s string, mix__a int, mix__before bigint"))
+    phase = F.broadcast(spark.createDataFrame(phase_rows or [("", 0, 0, 0, 1, 1, 0)], "mix__ps string, mix__p int, mix__lo bigint, mix__hi bigint, mix__n bigint, mix__len bigint, mix__at bigint"))
+    turn = spark.createDataFrame(period_rows or [(0, "", 0, 0)], "mix__tp int, mix__ts string, mix__k bigint, mix__t bigint")
     turn = F.broadcast(turn) if len(period_rows) <= 500_000 else turn
-    gap = F.broadcast(spark.createDataFrame(bounds, "_from bigint, _to bigint, _missing bigint"))
-    rank = F.row_number().over(Window.partitionBy("_src", "_salt").orderBy("_h", id_col)) - 1
-    out = rows.withColumn("_r", rank)
-    out = out.join(cell, (F.col("_src") == F.col("_s")) & (F.col("_salt") == F.col("_a"))).withColumn("_r", F.col("_r") + F.col("_before"))
-    out = out.withColumn("block_no", F.floor(F.col("_r") / block).cast("bigint"))
-    out = out.join(phase, (F.col("_src") == F.col("_ps")) & (F.col("block_no") >= F.col("_lo")) & (F.col("block_no") < F.col("_hi")))
-    k = F.col("block_no") - F.col("_lo")
-    out = out.withColumn("_kk", F.pmod(k, F.col("_n"))).join(turn, (F.col("_p") == F.col("_tp")) & (F.col("_src") == F.col("_ts")) & (F.col("_kk") == F.col("_k")))
-    out = out.withColumn("slot", (F.col("_at") + F.floor(k / F.col("_n")) * F.col("_len") + F.col("_t")).cast("bigint"))
-    out = out.join(gap, (F.col("slot") >= F.col("_from")) & (F.col("slot") < F.col("_to")))
-    position = (F.col("slot") * block - F.col("_missing") + F.pmod(F.col("_r"), F.lit(block))).cast("bigint")
+    gap = F.broadcast(spark.createDataFrame(bounds, "mix__from bigint, mix__to bigint, mix__missing bigint"))
+    rank = F.row_number().over(Window.partitionBy("mix__src", "mix__salt").orderBy("mix__h", id_col)) - 1
+    out = rows.withColumn("mix__r", rank)
+    out = out.join(cell, (F.col("mix__src") == F.col("mix__s")) & (F.col("mix__salt") == F.col("mix__a"))).withColumn("mix__r", F.col("mix__r") + F.col("mix__before"))
+    out = out.withColumn("block_no", F.floor(F.col("mix__r") / block).cast("bigint"))
+    out = out.join(phase, (F.col("mix__src") == F.col("mix__ps")) & (F.col("block_no") >= F.col("mix__lo")) & (F.col("block_no") < F.col("mix__hi")))
+    k = F.col("block_no") - F.col("mix__lo")
+    out = out.withColumn("mix__kk", F.pmod(k, F.col("mix__n"))).join(turn, (F.col("mix__p") == F.col("mix__tp")) & (F.col("mix__src") == F.col("mix__ts")) & (F.col("mix__kk") == F.col("mix__k")))
+    out = out.withColumn("slot", (F.col("mix__at") + F.floor(k / F.col("mix__n")) * F.col("mix__len") + F.col("mix__t")).cast("bigint"))
+    out = out.join(gap, (F.col("slot") >= F.col("mix__from")) & (F.col("slot") < F.col("mix__to")))
+    position = (F.col("slot") * block - F.col("mix__missing") + F.pmod(F.col("mix__r"), F.lit(block))).cast("bigint")
     names = [c for c in docs.columns if c not in ("block_no", "slot", "position")]
     return out.select(*names, "block_no", "slot", position.alias("position"))
 

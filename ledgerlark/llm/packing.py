@@ -71,8 +71,8 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] =
     the same rows each time it is read: pass a stored table. No rows in, no rows out.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("length", "_salt").count().collect()  # capacity x SALTS rows at most
+    salted = pieces.withColumn("pack__salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    cells = salted.groupBy("length", "pack__salt").count().collect()  # capacity x SALTS rows at most
     counts: dict[int, int] = {}
     before: list[tuple[int, int, int]] = []
     for length, salt, n in sorted(tuple(c) for c in cells):
@@ -81,15 +81,15 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] =
         before.append((length, salt, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
     runs = supersteps(counts, capacity)
-    cell = spark.createDataFrame(before or [(0, 0, 0)], "_l bigint, _s int, _before bigint")
-    run = spark.createDataFrame(runs or [(0, 0, 0, 1, 0, 0)], "_len bigint, _rank bigint, _n bigint, _each bigint, _first bigint, _base bigint")
+    cell = spark.createDataFrame(before or [(0, 0, 0)], "pack__l bigint, pack__s int, pack__before bigint")
+    run = spark.createDataFrame(runs or [(0, 0, 0, 1, 0, 0)], "pack__len bigint, pack__rank bigint, pack__n bigint, pack__each bigint, pack__first bigint, pack__base bigint")
     run = F.broadcast(run) if len(runs) <= MOST_BROADCAST else run
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*key)) - 1
-    ranked = salted.withColumn("_r", rank)
-    ranked = ranked.join(F.broadcast(cell), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_r", F.col("_r") + F.col("_before"))
-    placed = ranked.join(run, (F.col("length") == F.col("_len")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n")))
-    k = F.col("_r") - F.col("_rank")
-    return placed.select(*pieces.columns, (F.col("_first") + F.floor(k / F.col("_each"))).cast("bigint").alias("sequence_id"), (F.col("_base") + F.pmod(k, F.col("_each")) * F.col("length")).cast("bigint").alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("length", "pack__salt").orderBy(*key)) - 1
+    ranked = salted.withColumn("pack__r", rank)
+    ranked = ranked.join(F.broadcast(cell), (F.col("length") == F.col("pack__l")) & (F.col("pack__salt") == F.col("pack__s"))).withColumn("pack__r", F.col("pack__r") + F.col("pack__before"))
+    placed = ranked.join(run, (F.col("length") == F.col("pack__len")) & (F.col("pack__r") >= F.col("pack__rank")) & (F.col("pack__r") < F.col("pack__rank") + F.col("pack__n")))
+    k = F.col("pack__r") - F.col("pack__rank")
+    return placed.select(*pieces.columns, (F.col("pack__first") + F.floor(k / F.col("pack__each"))).cast("bigint").alias("sequence_id"), (F.col("pack__base") + F.pmod(k, F.col("pack__each")) * F.col("length")).cast("bigint").alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
