@@ -1,0 +1 @@
+"""Column functions: answer text to numbers, numbers to text, rendering."""

@@ -1,0 +1 @@
+"""Relational operators: statements to contexts, contexts to questions, validation, sampling, audits, runs, scoring."""
