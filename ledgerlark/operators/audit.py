@@ -117,7 +117,7 @@ def distribution(rows: DataFrame, top: int = 15) -> DataFrame:
         own = rows.groupBy(F.coalesce(F.col(key), F.lit("?")).alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(measure).alias("measure"), "key", "value")
         out = own if out is None else out.unionByName(own)
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("edinet_code", F.lit("?"))).alias("c"))
-    one = whole.select(F.explode(F.array(F.struct(F.lit("total").alias("measure"), F.lit("").alias("key"), F.col("n").alias("value")), F.struct(F.lit("unique_companies"), F.lit(""), F.col("c")))).alias("x")).select("x.*")
+    one = whole.select(F.explode(F.array(F.struct(F.lit("total").alias("measure"), F.lit("").alias("key"), F.col("n").alias("value")), F.struct(F.lit("unique_companies").alias("measure"), F.lit("").alias("key"), F.col("c").alias("value")))).alias("x")).select("x.*")
     return out.unionByName(one).unionByName(top_companies(rows, top).select(F.lit("top_companies").alias("measure"), F.col("company_name").alias("key"), F.col("n").alias("value")))
 
 

@@ -73,7 +73,7 @@ def harness(rows: DataFrame) -> DataFrame:
 def summary_lines(result: DataFrame) -> DataFrame:
     """``pos, line`` of a result of ``accuracy``: title, rule, overall, an empty line, then the subtasks by name."""
     share = F.concat(F.replace(F.format_number(F.col("accuracy") * 100, 1), F.lit(","), F.lit("")), F.lit("% ("), F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(")"))
-    head = result.where("subtask IS NULL").select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("Benchmark results").alias("line")), F.struct(F.lit(1), F.lit("=" * 40)), F.struct(F.lit(2), F.concat(F.lit("Overall: "), share)), F.struct(F.lit(3), F.lit("")))).alias("x")).select("x.k", "x.line", F.lit("").alias("subtask"))
+    head = result.where("subtask IS NULL").select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("Benchmark results").alias("line")), F.struct(F.lit(1).alias("k"), F.lit("=" * 40).alias("line")), F.struct(F.lit(2).alias("k"), F.concat(F.lit("Overall: "), share).alias("line")), F.struct(F.lit(3).alias("k"), F.lit("").alias("line")))).alias("x")).select("x.k", "x.line", F.lit("").alias("subtask"))
     rest = result.where("subtask IS NOT NULL").select(F.lit(4).alias("k"), F.concat(F.lit("  "), F.col("subtask"), F.lit(": "), share).alias("line"), "subtask")
     return head.unionByName(rest).orderBy("k", "subtask").select("k", "line")
 

@@ -72,14 +72,21 @@ def scale_by_group(value: Column) -> Column:
 def with_required(items: Column, required: tuple[str, ...], most: int = 7) -> Column:
     """The first four items, then the required ones in their order, then the rest, cut to ``most``."""
     head = F.slice(items, 1, 4)
-    wanted = F.flatten(F.array(*(F.filter(items, lambda x, r=r: (x["label"] == r) & ~F.exists(head, lambda h: h["label"] == r)) for r in required)))
+
+    def only(label):
+        return F.filter(items, lambda x: (x["label"] == label) & ~F.exists(head, lambda h: h["label"] == label))
+
+    wanted = F.flatten(F.array(*map(only, required)))
     chosen = F.concat(head, wanted)
     rest = F.filter(items, lambda x: ~F.exists(chosen, lambda c: c["label"] == x["label"]))
     return F.slice(F.concat(chosen, rest), 1, most)
 
 
 def _values(items: Column, *fields: str) -> Column:
-    return F.flatten(F.array(*(F.transform(items, lambda x, f=f: x[f]) for f in fields)))
+    def of(field):
+        return F.transform(items, lambda x: x[field])
+
+    return F.flatten(F.array(*map(of, fields)))
 
 
 def _value(items: Column, label: str, field: str) -> Column:
@@ -92,7 +99,10 @@ def _rows(items: Column, divisor: Column, *fields: str) -> Column:
 
 def _raw(items: Column, divisor: Column, **years: Column) -> Column:
     """Map from ``label_year`` to scaled value."""
-    return F.map_from_entries(F.flatten(F.array(*(F.transform(items, lambda x, f=f, y=y: F.struct(F.concat(x["label"], F.lit("_"), y), x[f] / divisor)) for f, y in years.items()))))
+    def of(field, year):
+        return F.transform(items, lambda x: F.struct(F.concat(x["label"], F.lit("_"), year).alias("k"), (x[field] / divisor).alias("v")))
+
+    return F.map_from_entries(F.flatten(F.array(*(of(f, y) for f, y in years.items()))))
 
 
 def company_lines(items: DataFrame, filings: DataFrame) -> DataFrame:
@@ -119,15 +129,25 @@ def contexts(items: DataFrame, companies: DataFrame, filings: DataFrame) -> Data
     ``filings``: company, year, doc_id. A company without enough lines for a kind of table has none of that kind.
     """
     base = company_lines(items, filings).join(companies, F.col("company") == F.col("edinet_code"))
-    pl, bs, cf, y1, y2 = (F.col(c) for c in ("income_statement", "balance_sheet", "cash_flow_statement", "y1", "y2"))
-    def both(x):
-        return F.filter(x, lambda i: i["prev"].isNotNull())
 
+    def both(name):
+        return F.filter(name, lambda i: i["prev"].isNotNull())
+
+    # in steps, so that each list, scale and text is a column that is computed once
+    base = base.withColumns({"pl2": both("income_statement"), "bs2": both("balance_sheet"), "cf2": both("cash_flow_statement")})
+    base = base.withColumns({
+        "l_pl": F.slice("pl2", 1, 16), "l_bs2": F.slice("bs2", 1, 18), "l_bs": F.slice("balance_sheet", 1, 18), "l_cf": F.slice("cf2", 1, 10),
+        "l_x": F.concat(with_required(F.col("income_statement"), REQUIRED_INCOME), with_required(F.col("balance_sheet"), REQUIRED_BALANCE)),
+        "free": _value(F.col("cash_flow_statement"), OPERATING, "cur") + _value(F.col("cash_flow_statement"), INVESTING, "cur"), "total": _value(F.col("balance_sheet"), "資産合計", "cur"), "total_p": _value(F.col("balance_sheet"), "資産合計", "prev"),
+    })
+    base = base.withColumns({f"s_{k}": scale_of(_values(F.col(f"l_{k}"), *f)) for k, f in (("pl", ("cur", "prev")), ("bs2", ("cur", "prev")), ("bs", ("cur",)), ("cf", ("cur", "prev")), ("x", ("cur",)))})
+    base = base.withColumn("sales", F.get(F.filter("l_pl", lambda x: F.contains(x["label"], F.lit("売上"))), F.lit(0)))
+    pl, bs, cf, y1, y2 = (F.col(c) for c in ("income_statement", "balance_sheet", "cash_flow_statement", "y1", "y2"))
     p1, p2 = N.period(y1), N.period(y2)
     names = {"company_name": F.col("name"), "period": p1, "gaap": F.coalesce("gaap", F.lit(""))}
 
-    def ctx(kind, items, headers, fields, years, **after):
-        scale = scale_of(_values(items, *fields))
+    def ctx(kind, key, headers, fields, years, **after):
+        items, scale = F.col(f"l_{key}"), F.col(f"s_{key}")
         return F.struct(
             F.lit(kind).alias("context_type"), F.array(fill(BEFORE[kind], **names)).alias("pre_text"), F.array(fill(AFTER[kind], **after, **({"scale": scale["label"]} if kind == "bs_consistency" else {}))).alias("post_text"),
             F.struct(headers(scale["label"]).alias("headers"), _rows(items, scale["divisor"], *fields).alias("rows")).alias("table"), _raw(items, scale["divisor"], **years).alias("raw_values"), scale["label"].alias("scale"),
@@ -142,21 +162,16 @@ def contexts(items: DataFrame, companies: DataFrame, filings: DataFrame) -> Data
     def named(label):
         return F.array(F.lit("項目"), F.concat(F.lit("金額("), label, F.lit(")")))
 
-    now, pair = {"cur": y1}, {"cur": y1, "prev": y2}
-    income = F.slice(both(pl), 1, 16)
-    sales = F.get(F.filter(income, lambda x: F.contains(x["label"], F.lit("売上"))), F.lit(0))
+    now, pair, sales, free = {"cur": y1}, {"cur": y1, "prev": y2}, F.col("sales"), F.col("free")
     grown = F.when(sales.isNull() | (sales["cur"] > sales["prev"]), "増収").otherwise("減収")
-    comparison = F.when((F.size(pl) >= 3) & (F.size(both(pl)) >= 3), ctx("pl_comparison", income, two, ("cur", "prev"), pair, revenue_direction=grown))
-    moved = N.direction(_value(bs, "資産合計", "cur"), _value(bs, "資産合計", "prev"))
-    summary2 = ctx("bs_summary", F.slice(both(bs), 1, 18), two, ("cur", "prev"), pair, asset_direction=moved)
-    summary1 = ctx("bs_summary", F.slice(bs, 1, 18), one, ("cur",), now, asset_direction=F.lit("であった"))
-    summary = F.when((F.size(bs) >= 4) & y2.isNotNull(), F.when(F.size(both(bs)) >= 4, summary2).otherwise(summary1))
-    consistency = F.when((F.size(bs) >= 4) & F.exists(bs, lambda x: F.contains(x["label"], F.lit("合計"))), ctx("bs_consistency", F.slice(bs, 1, 18), one, ("cur",), now))
-    free = _value(cf, OPERATING, "cur") + _value(cf, INVESTING, "cur")
+    comparison = F.when((F.size(pl) >= 3) & (F.size("pl2") >= 3), ctx("pl_comparison", "pl", two, ("cur", "prev"), pair, revenue_direction=grown))
+    summary2 = ctx("bs_summary", "bs2", two, ("cur", "prev"), pair, asset_direction=N.direction(F.col("total"), F.col("total_p")))
+    summary1 = ctx("bs_summary", "bs", one, ("cur",), now, asset_direction=F.lit("であった"))
+    summary = F.when((F.size(bs) >= 4) & y2.isNotNull(), F.when(F.size("bs2") >= 4, summary2).otherwise(summary1))
+    consistency = F.when((F.size(bs) >= 4) & F.exists(bs, lambda x: F.contains(x["label"], F.lit("合計"))), ctx("bs_consistency", "bs", one, ("cur",), now))
     sign = F.when(free.isNull() | (free > 0), "プラス").otherwise("マイナス")
-    cash = F.when((F.size(cf) >= 3) & (F.size(both(cf)) >= 3), ctx("cf_summary", F.slice(both(cf), 1, 10), two, ("cur", "prev"), pair, fcf_sign=sign))
-    mixed = F.concat(with_required(pl, REQUIRED_INCOME), with_required(bs, REQUIRED_BALANCE))
-    cross = F.when((F.size(pl) >= 2) & (F.size(bs) >= 2), ctx("cross_statement", mixed, named, ("cur",), now))
+    cash = F.when((F.size(cf) >= 3) & (F.size("cf2") >= 3), ctx("cf_summary", "cf", two, ("cur", "prev"), pair, fcf_sign=sign))
+    cross = F.when((F.size(pl) >= 2) & (F.size(bs) >= 2), ctx("cross_statement", "x", named, ("cur",), now))
     made = base.select(
         F.col("name").alias("company_name"), "edinet_code", F.coalesce("doc_id", F.lit("")).alias("source_doc_id"), y1.alias("filing_year"), F.coalesce("gaap", F.lit("J-GAAP")).alias("accounting_standard"),
         F.posexplode(F.array(comparison, summary, consistency, cash, cross)).alias("pos", "x"),
@@ -167,7 +182,10 @@ def contexts(items: DataFrame, companies: DataFrame, filings: DataFrame) -> Data
 def common_labels(items: DataFrame, filings: DataFrame) -> DataFrame:
     """Lines that both of a company's latest years have, in the latest one's order."""
     lines = company_lines(items, filings)
-    all_lines = F.concat(*(F.transform(F.col(s), lambda x, s=s: F.struct(F.lit(s).alias("statement"), x["pos"].alias("pos"), x["label"].alias("label"), x["cur"].alias("cur"), x["prev"].alias("prev"))) for s in ("income_statement", "balance_sheet", "cash_flow_statement")))
+    def of(s):
+        return F.transform(F.col(s), lambda x: F.struct(F.lit(s).alias("statement"), x["pos"].alias("pos"), x["label"].alias("label"), x["cur"].alias("cur"), x["prev"].alias("prev")))
+
+    all_lines = F.concat(*map(of, ("income_statement", "balance_sheet", "cash_flow_statement")))
     return lines.select("company", "y1", "y2", F.explode(F.filter(all_lines, lambda x: x["prev"].isNotNull())).alias("x")).select("company", "y1", "y2", "x.*")
 
 

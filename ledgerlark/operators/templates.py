@@ -26,27 +26,45 @@ def _step(name: str, *arguments: Column | str) -> Column:
 
 
 class Context:
-    """Values and labels of a context row; ``cur`` and ``prev`` are the filing year and the year before."""
+    """Values of a context row. Lookups and everything made of them are columns of their own, added in levels by ``stage``,
+    so that the metrics' expressions stay small."""
 
     def __init__(self):
         self.company, self.year, self.scale = F.col("company_name"), F.col("filing_year"), F.col("scale")
-        self.last = (self.year.cast("int") - 1).cast("string")
+        self.last = F.col("q_last")
         self.period, self.period_last = N.period(self.year), N.period(self.last)
+        self.levels: list[dict[str, Column]] = [{"q_last": (self.year.cast("int") - 1).cast("string")}, {}, {}, {}]
 
-    def cur(self, label: Column | str) -> Column:
-        return F.try_element_at(F.col("raw_values"), _cat(label, "_", self.year))
+    def let(self, level: int, name: str, value: Column) -> Column:
+        self.levels[level][f"q_{name}"] = value
+        return F.col(f"q_{name}")
 
-    def prev(self, label: Column | str) -> Column:
-        return F.try_element_at(F.col("raw_values"), _cat(label, "_", self.last))
+    def _value(self, label: str, year: Column, side: str) -> Column:
+        key = f"{side}_{label.encode().hex()}"
+        return self.let(1, key, F.try_element_at(F.col("raw_values"), F.concat(F.lit(f"{label}_"), year)))
 
-    def first_label(self, *labels: str) -> Column:
-        """The first of the labels that the filing year has, or null."""
-        return F.coalesce(*(F.when(self.cur(x).isNotNull(), x) for x in labels))
+    def cur(self, label: str) -> Column:
+        """The filing year's value."""
+        return self._value(label, self.year, "c")
+
+    def prev(self, label: str) -> Column:
+        """The value of the year before."""
+        return self._value(label, self.last, "p")
+
+    def first_of(self, name: str, *labels: str) -> tuple[Column, Column, Column]:
+        """The first of the labels that the filing year has, its value and its value the year before; nulls without any."""
+        label = F.coalesce(*(F.when(self.cur(x).isNotNull(), x) for x in labels))
+        return self.let(2, f"{name}_label", label), self.let(2, name, F.coalesce(*map(self.cur, labels))), self.let(2, f"{name}_last", F.coalesce(*(F.when(self.cur(x).isNotNull(), F.struct(self.prev(x).alias("v"))) for x in labels))["v"])
 
     def named(self, *labels: Column | str, both: bool = False) -> list[Column]:
         """Evidence of the filing year, then of the year before."""
         return [_cat(x, "_", y) for y in ([self.year, self.last] if both else [self.year]) for x in labels]
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        for level in self.levels:
+            rows = rows.withColumns(level) if level else rows
+        return rows
+
 
 def metric(name: str, guard: Column, subtask: str, question: Column, answer: Column, program: list[Column], evidence: list) -> Column:
     """A question as a struct, or null where the guard doesn't hold."""
@@ -59,12 +77,10 @@ def either(test: Column, yes: str, no: str) -> Column:
 
 
 def income(c: Context) -> list[Column]:
-    rev_l = c.first_label("売上高", "売上収益")
-    ni_l = c.first_label("当期純利益", OWNERS)
-    rev, rev_p = c.cur(rev_l), c.prev(rev_l)
+    rev_l, rev, rev_p = c.first_of("sales", "売上高", "売上収益")
+    ni_l, ni, ni_p = c.first_of("net", "当期純利益", OWNERS)
     op, op_p, ordinary, ordinary_p = c.cur("営業利益"), c.prev("営業利益"), c.cur("経常利益"), c.prev("経常利益")
     gross, gross_p, sga, cogs = c.cur("売上総利益"), c.prev("売上総利益"), c.cur("販売費及び一般管理費"), c.cur("売上原価")
-    ni, ni_p = c.cur(ni_l), c.prev(ni_l)
     who, now, span = c.company, c.period, (c.period_last, "から", c.period, "にかけて")
 
     def share(name, part, label, text):
@@ -103,19 +119,23 @@ def income(c: Context) -> list[Column]:
 class Balance:
     """Balance-sheet values with their stand-ins; a zero total counts as missing."""
 
-    def __init__(self, c: Context, of=None):
-        v = of or c.cur
+    def __init__(self, c: Context, side: str = "now"):
+        v = c.cur if side == "now" else c.prev
+
+        def let(level, name, value):
+            return c.let(level, f"{side}_{name}", value)
+
         self.current, self.current_debt = v("流動資産"), v("流動負債")
-        self.fixed, self.fixed_debt = N.or_else(v("固定資産"), v("非流動資産")), N.or_else(v("固定負債"), v("非流動負債"))
-        self.equity = N.or_else(v("純資産合計"), v("株主資本合計"))
+        self.fixed, self.fixed_debt = let(2, "fixed", N.or_else(v("固定資産"), v("非流動資産"))), let(2, "fixed_debt", N.or_else(v("固定負債"), v("非流動負債")))
+        self.equity = let(2, "equity", N.or_else(v("純資産合計"), v("株主資本合計")))
         self.stated, self.stated_debt = v("資産合計"), v("負債合計")
         summed = F.when(N.truthy(self.current) & N.truthy(self.fixed), self.current + self.fixed)
-        self.total = F.when(N.truthy(self.stated), self.stated).otherwise(F.coalesce(summed, self.stated))
+        self.total = let(3, "total", F.when(N.truthy(self.stated), self.stated).otherwise(F.coalesce(summed, self.stated)))
         debts = F.when(N.truthy(self.current_debt) & N.truthy(self.fixed_debt), self.current_debt + self.fixed_debt)
-        self.debt = F.when(N.truthy(self.stated_debt), self.stated_debt).otherwise(F.coalesce(debts, self.stated_debt))
-        self.equity_label = F.when(v("純資産合計").isNotNull(), "純資産合計").otherwise("株主資本合計")
-        self.fixed_label = F.when(v("固定資産").isNotNull(), "固定資産").otherwise("非流動資産")
-        self.fixed_debt_label = F.when(v("固定負債").isNotNull(), "固定負債").otherwise("非流動負債")
+        self.debt = let(3, "debt", F.when(N.truthy(self.stated_debt), self.stated_debt).otherwise(F.coalesce(debts, self.stated_debt)))
+        self.equity_label = let(2, "equity_label", F.when(v("純資産合計").isNotNull(), "純資産合計").otherwise("株主資本合計"))
+        self.fixed_label = let(2, "fixed_label", F.when(v("固定資産").isNotNull(), "固定資産").otherwise("非流動資産"))
+        self.fixed_debt_label = let(2, "fixed_debt_label", F.when(v("固定負債").isNotNull(), "固定負債").otherwise("非流動負債"))
 
 
 def _share(name, c, guard, part, whole, subtask, text, evidence, decimals=1):
@@ -123,7 +143,7 @@ def _share(name, c, guard, part, whole, subtask, text, evidence, decimals=1):
 
 
 def balance(c: Context) -> list[Column]:
-    b, p, ok = Balance(c), Balance(c, c.prev), N.truthy
+    b, p, ok = Balance(c), Balance(c, "before"), N.truthy
     span = (c.period_last, "から", c.period, "にかけて")
     return [
         _share("BS1", c, ok(b.current) & ok(b.current_debt), b.current, b.current_debt, NUMERIC, ["の流動比率は何%か。"], ["流動資産", "流動負債"]),
@@ -171,10 +191,10 @@ def cash(c: Context) -> list[Column]:
 
 def cross(c: Context) -> list[Column]:
     b, ok = Balance(c), N.truthy
-    rev_l = c.first_label("売上高", "売上収益")
-    rev, op, ordinary, total, equity = c.cur(rev_l), c.cur("営業利益"), c.cur("経常利益"), b.total, b.equity
-    ni = N.or_else(c.cur("当期純利益"), c.cur(OWNERS))
-    ni_l = F.when(c.cur("当期純利益").isNotNull(), "当期純利益").otherwise(OWNERS)
+    rev_l, rev, _ = c.first_of("sales", "売上高", "売上収益")
+    op, ordinary, total, equity = c.cur("営業利益"), c.cur("経常利益"), b.total, b.equity
+    ni = c.let(2, "net", N.or_else(c.cur("当期純利益"), c.cur(OWNERS)))
+    ni_l = c.let(2, "net_label", F.when(c.cur("当期純利益").isNotNull(), "当期純利益").otherwise(OWNERS))
     dupont = (rev != 0) & ok(ni) & ok(total) & ok(equity)
     roe = (ni / rev) * (rev / total) * (total / equity) * 100
 
@@ -199,7 +219,11 @@ def cross(c: Context) -> list[Column]:
 
 
 KINDS = {"pl_comparison": income, "bs_summary": balance, "bs_consistency": consistency, "cf_summary": cash, "cross_statement": cross}
-TEMPLATES = tuple([f"PL{k}" for k in range(1, 19)] + [f"BS{k}" for k in range(1, 7)] + [f"CC{k}" for k in range(1, 5)] + [f"CF{k}" for k in range(1, 8)] + [f"XS{k}" for k in range(1, 7)] + [f"DP{k}" for k in range(1, 5)])
+NAMES = {
+    "pl_comparison": [f"PL{k}" for k in range(1, 19)], "bs_summary": [f"BS{k}" for k in range(1, 7)], "bs_consistency": [f"CC{k}" for k in range(1, 5)], "cf_summary": [f"CF{k}" for k in range(1, 8)],
+    "cross_statement": [f"XS{k}" for k in range(1, 7)] + [f"DP{k}" for k in range(1, 5)],
+}
+TEMPLATES = tuple(name for names in NAMES.values() for name in names)
 
 
 def evidence_rows(labels: Column, rows: Column) -> Column:
@@ -209,17 +233,21 @@ def evidence_rows(labels: Column, rows: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(at, lambda i: i >= 0)))
 
 
-def questions(contexts: DataFrame) -> DataFrame:
-    """Questions of all contexts, in the order ``(edinet_code, pos, template_no)``.
+def questions(contexts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Questions of all contexts (of some templates only, if named), in the order ``(edinet_code, pos, template_no)``.
 
     Each kind of context gets only its own metrics; the kinds are read in one pass each over the (stored or cached)
     contexts, without a shuffle.
     """
-    out = None
-    c = Context()
+    out, names = None, contexts.columns
     for kind, metrics in KINDS.items():
-        made = metrics(c)
-        own = contexts.where(F.col("context_type") == kind).select("*", F.posexplode(F.array(*made)).alias("template_no", "m")).where("m IS NOT NULL")
+        c = Context()
+        made = [F.when(m.isNotNull(), F.struct(F.lit(no).alias("no"), m.alias("m"))) for no, (name, m) in enumerate(zip(NAMES[kind], metrics(c), strict=True)) if only is None or name in only]
+        if not made:
+            continue
+        own = c.stage(contexts.where(F.col("context_type") == kind)).select(*names, F.explode(F.array(*made)).alias("x")).where("x IS NOT NULL").select(*names, F.col("x.no").alias("template_no"), "x.m")
         out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError(f"no such template: {only}")
     qa = F.struct("m.question", "m.program", "m.answer", evidence_rows(F.col("m.labels"), F.col("table.rows")).alias("gold_evidence"))
     return out.select("company_name", "edinet_code", "source_doc_id", "filing_year", "accounting_standard", "context_type", "pos", "template_no", "m.template", "m.subtask", "pre_text", "post_text", "table", qa.alias("qa"), "scale")
