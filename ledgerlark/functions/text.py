@@ -10,7 +10,7 @@ import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -25,6 +25,9 @@ VALIDATOR_UNITS = ("%", "円", "百万円", "千円", "億円", "兆円", "倍",
 CELL_UNITS = ("百万円", "千円", "億円", "兆円", "円", "ドル", "ポイント", "pt", "bps", "%")
 
 BLANK = r"[\s\x1c-\x1f]"  # what counts as white space, with (?U)
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())  # the same as a set of characters
+#: All units at the end of an answer, in the order in which taking them off one by one would find them.
+UNITS_OFF = "".join(f"(?:{u})?" for u in reversed(UNITS)) + r"\z"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)\z"
 #: Decimal digits of other scripts, which NFKC leaves alone, and their values.
 OTHER_DIGITS = "".join(chr(c) for c in range(0x660, 0x10000) if unicodedata.category(chr(c)) == "Nd" and not 0xFF10 <= c <= 0xFF19)
@@ -45,8 +48,8 @@ def nfkc(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends, ideographic spaces too (``trim`` knows only ASCII ones)."""
-    return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    """Without white space at both ends, ideographic spaces too (``trim`` alone knows only blanks)."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def ends_off(c: Column, suffix: str) -> Column:
@@ -60,7 +63,7 @@ def to_double(c: Column) -> Column:
 
 
 def _digits_only(c: Column) -> Column:
-    return to_double(F.translate(F.regexp_replace(c, r"(?U)[^\d.\-+]", ""), OTHER_DIGITS, DIGIT_VALUES))
+    return to_double(F.translate(F.regexp_replace(c, r"[^\p{Nd}.\-+]", ""), OTHER_DIGITS, DIGIT_VALUES))
 
 
 def normalize_answer(c: Column | str) -> Column:
@@ -68,16 +71,14 @@ def normalize_answer(c: Column | str) -> Column:
     the verb endings しました and した taken off, lower case."""
     s = nfkc(strip(F.coalesce(col(c), F.lit(""))))
     s = F.regexp_replace(s, "^[△▲]", "-")
-    s = F.regexp_replace(s, r"(?U)(?<=\d),(?=\d)", "")
+    s = F.regexp_replace(s, r"(?<=\p{Nd}),(?=\p{Nd})", "")
     return strip(F.lower(ends_off(s, "(?:しました|した)")))
 
 
 def number_of(normal: Column) -> Column:
     """The number of a normalised answer, or null. Units go one by one, each at most once; then the first multiplier that
     occurs decides; a percent sign is dropped without scaling."""
-    s = normal
-    for unit in UNITS:
-        s = ends_off(s, unit)
+    s = F.regexp_replace(normal, UNITS_OFF, "")
     factor = F.coalesce(*(F.when(F.contains(s, F.lit(sign)), float(by)) for sign, by in MULTIPLIERS), F.lit(1.0))
     return _digits_only(s) * factor  # what isn't digit, sign or point goes, the multiplier and the percent sign too
 
@@ -90,13 +91,17 @@ def exact_match(predicted: Column | str, gold: Column | str) -> Column:
     return normalize_answer(predicted) == normalize_answer(gold)
 
 
-def match_normal(p: Column, g: Column, tolerance: float = 0.01) -> Column:
-    """``numerical_match`` of two normalised answers: normalise once, compare as often as needed."""
-    x, y = number_of(p), number_of(g)
+def match_numbers(p: Column, g: Column, x: Column, y: Column, tolerance: float = 0.01) -> Column:
+    """``numerical_match`` of two normalised answers and their numbers."""
     by_value = F.when(y == 0, x == 0).otherwise(F.abs(x - y) / F.abs(y) <= tolerance)
     return F.when(x.isNull() | y.isNull(), p == g).otherwise(by_value)
 
 
+def match_normal(p: Column, g: Column, tolerance: float = 0.01) -> Column:
+    """``numerical_match`` of two normalised answers."""
+    return match_numbers(p, g, number_of(p), number_of(g), tolerance)
+
+
 def numerical_match(predicted: Column | str, gold: Column | str, tolerance: float = 0.01) -> Column:
     """Equal within a relative tolerance (inclusive); exact where either has no number; 0 only matches 0."""
     return match_normal(normalize_answer(predicted), normalize_answer(gold), tolerance)
@@ -156,12 +161,18 @@ def decimals_of(c: Column | str) -> Column:
     return F.char_length(F.regexp_extract(col(c), r"-?[\d,]+\.(\d+)", 1))
 
 
-def audit_match(predicted: Column | str, gold: Column | str) -> Column:
-    """``numerical_match``, or equal after rounding (half to even) to the decimals that the gold answer shows."""
-    p, g, d = audit_number(predicted), audit_number(gold), decimals_of(gold)
+def with_audit_match(rows: DataFrame, predicted: str, gold: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: ``numerical_match``, or equal after rounding (half to even) to the decimals that gold shows.
+
+    Added in steps, so that each text is normalised and read once.
+    """
+    own = rows.withColumns({"am__p": normalize_answer(predicted), "am__g": normalize_answer(gold), "am__a": audit_number(predicted), "am__b": audit_number(gold), "am__d": decimals_of(gold)})
+    own = own.withColumns({"am__x": number_of(F.col("am__p")), "am__y": number_of(F.col("am__g"))})
+    p, g, d = F.col("am__a"), F.col("am__b"), F.col("am__d")
     rounded = F.coalesce(*(F.when(d == k, F.replace(F.format_number(p, k), F.lit(","), F.lit("")).try_cast("double")) for k in range(13)), p)
-    half = F.lit(0.5) * F.pow(F.lit(10.0), -d) + 1e-9
-    return numerical_match(predicted, gold) | F.coalesce(F.abs(rounded - g) < half, F.lit(False))
+    close = F.coalesce(F.abs(rounded - g) < F.lit(0.5) * F.pow(F.lit(10.0), -d) + 1e-9, F.lit(False))
+    alike = match_numbers(F.col("am__p"), F.col("am__g"), F.col("am__x"), F.col("am__y"))
+    return own.withColumn(out, alike | close).drop("am__p", "am__g", "am__a", "am__b", "am__d", "am__x", "am__y")
 
 
 def cell_number(c: Column | str) -> Column:

@@ -36,9 +36,10 @@ def missing_fields(json_row: Column) -> Column:
 
 def program_findings(rows: DataFrame) -> DataFrame:
     """``idx, finding`` of rows ``(idx, program, answer)``: ``dsl_unparsable`` or ``dsl_mismatch``."""
-    ran = rows.withColumn("_r", P.execute(F.col("program")))
-    r, gold = F.col("_r"), F.coalesce(F.col("answer"), F.lit(""))
-    wrong = F.when(r["kind"] == "bool", F.when(r["text"] == "true", ~gold.isin(*N.AUDIT_TRUE)).otherwise(~gold.isin(*N.AUDIT_FALSE))).otherwise(~T.audit_match(r["text"], gold))
+    ran = rows.select("idx", P.execute(F.col("program")).alias("_r"), F.coalesce("answer", F.lit("")).alias("_gold")).withColumn("_text", F.col("_r.text"))
+    ran = T.with_audit_match(ran, "_text", "_gold", "_same")
+    r, gold = F.col("_r"), F.col("_gold")
+    wrong = F.when(r["kind"] == "bool", F.when(r["text"] == "true", ~gold.isin(*N.AUDIT_TRUE)).otherwise(~gold.isin(*N.AUDIT_FALSE))).otherwise(~F.col("_same"))
     return ran.select("idx", F.when(r["kind"] == "error", "dsl_unparsable").when(wrong, "dsl_mismatch").alias("finding")).where("finding IS NOT NULL")
 
 

@@ -40,10 +40,13 @@ def verdicts(bound: DataFrame, mode: str = "numerical", tolerance: float = 0.01)
     """``question_id, subtask, predicted, gold, correct``."""
     if mode not in MODES:
         raise ValueError(f"unknown match mode {mode!r}: one of {', '.join(MODES)}")
-    # each answer is normalised once, in a projection of its own
+    # each answer is normalised once and read as a number once, in projections of their own
     own = bound.select(F.col("id").alias("question_id"), "subtask", "predicted", "gold", text.normalize_answer("predicted").alias("_p"), text.normalize_answer("gold").alias("_g"))
     p, g = F.col("_p"), F.col("_g")
-    return own.select("question_id", "subtask", "predicted", "gold", (p == g if mode == "exact" else text.match_normal(p, g, tolerance)).alias("correct"))
+    if mode == "exact":
+        return own.select("question_id", "subtask", "predicted", "gold", (p == g).alias("correct"))
+    own = own.select("*", text.number_of(p).alias("_x"), text.number_of(g).alias("_y"))
+    return own.select("question_id", "subtask", "predicted", "gold", text.match_numbers(p, g, F.col("_x"), F.col("_y"), tolerance).alias("correct"))
 
 
 def evaluate(questions: DataFrame, *, predictions: DataFrame | None = None, model: Callable[[str, str], str] | None = None, mode: str = "numerical", tolerance: float = 0.01) -> DataFrame:

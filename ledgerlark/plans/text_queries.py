@@ -57,7 +57,7 @@ def _(a):
 
 @query("n4_numerical_match", f"{VERDICT} SELECT id, correct FROM v", "answers")
 def _(a):
-    return a.select("id", T.normalize_answer("predicted").alias("p"), T.normalize_answer("gold").alias("g")).select("id", T.match_normal(F.col("p"), F.col("g")).alias("correct"))
+    return E.verdicts(a).select(F.col("question_id").alias("id"), "correct")
 
 
 @query("n5_harness_twins", f"{VERDICT} SELECT id, p = g AS exact, correct AS numerical FROM v", "answers")
@@ -117,7 +117,7 @@ _ROUNDED = "CAST(CASE d WHEN 0 THEN format('{:.0f}', x) ELSE format('{:.1f}', x)
 
 @query("n11_audit_match", f"{VERDICT}, r AS (SELECT id, correct, {anumber('predicted')} AS x, {anumber('gold')} AS y, CAST(length(regexp_extract(gold, '-?[0-9,]+[.]([0-9]+)', 1)) AS INT) AS d FROM v) SELECT id, correct OR coalesce(abs({_ROUNDED} - y) < 0.5 * pow(10.0, -d) + 1e-9, false) AS correct FROM r", "answers")
 def _(a):
-    return a.select("id", T.audit_match("predicted", "gold").alias("correct"))
+    return T.with_audit_match(a, "predicted", "gold", "correct").select("id", "correct")
 
 
 def cnumber(x: str) -> str:
