@@ -56,21 +56,28 @@ def evaluate(questions: DataFrame, *, predictions: DataFrame | None = None, mode
     return verdicts(bind(questions, predictions) if model is None else ask(questions, model), mode, tolerance)
 
 
+def _with_whole(by: DataFrame, *sums: str) -> DataFrame:
+    """The grouped rows (a few) and one more with a null subtask that adds them up, also where there are none: in one pass."""
+    rows = by.agg(F.collect_list(F.struct("subtask", *sums)).alias("l"))
+
+    def added(name):
+        return F.aggregate("l", F.lit(0.0) if dict(by.dtypes)[name] == "double" else F.lit(0).cast("bigint"), lambda acc, x: acc + x[name])
+
+    whole = F.struct(F.lit(None).cast("string").alias("subtask"), *(added(n).alias(n) for n in sums))
+    return rows.select(F.explode(F.concat(F.array(whole), "l")).alias("x")).select("x.*")
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
     """``subtask`` (null: overall), ``total, correct, accuracy``. Without rows the overall row stands alone with zeros."""
-    total, right = F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct")
-    by = rows.groupBy("subtask").agg(total, right)
-    # the overall row is summed from the few grouped ones, so the verdicts are computed once
-    whole = by.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("correct"), F.lit(0)).alias("correct")).select(F.lit(None).cast("string").alias("subtask"), "total", "correct")
-    return whole.unionByName(by).withColumn("accuracy", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))
+    by = rows.groupBy("subtask").agg(F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"))
+    return _with_whole(by, "total", "correct").withColumn("accuracy", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))
 
 
 def harness(rows: DataFrame) -> DataFrame:
     """Means of exact and numerical scores of ``(subtask, response, gold)`` by subtask and, weighted by size, for the group (null)."""
     scored = rows.select("subtask", text.harness_score("response", "gold").alias("s")).select("subtask", "s.exact_match", "s.numerical_match")
     by = scored.groupBy("subtask").agg(F.sum("exact_match").alias("e"), F.sum("numerical_match").alias("n"), F.count(F.lit(1)).alias("size"))
-    whole = by.agg(F.sum("e").alias("e"), F.sum("n").alias("n"), F.sum("size").alias("size")).select(F.lit(None).cast("string").alias("subtask"), "e", "n", "size")
-    return whole.unionByName(by).where("size > 0").select("subtask", (F.col("e") / F.col("size")).alias("exact_match"), (F.col("n") / F.col("size")).alias("numerical_match"), "size")
+    return _with_whole(by, "e", "n", "size").where("size > 0").select("subtask", (F.col("e") / F.col("size")).alias("exact_match"), (F.col("n") / F.col("size")).alias("numerical_match"), "size")
 
 
 def summary_lines(result: DataFrame) -> DataFrame:

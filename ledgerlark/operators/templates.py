@@ -193,8 +193,8 @@ def cross(c: Context) -> list[Column]:
     b, ok = Balance(c), N.truthy
     rev_l, rev, _ = c.first_of("sales", "売上高", "売上収益")
     op, ordinary, total, equity = c.cur("営業利益"), c.cur("経常利益"), b.total, b.equity
-    ni = c.let(2, "net", N.or_else(c.cur("当期純利益"), c.cur(OWNERS)))
-    ni_l = c.let(2, "net_label", F.when(c.cur("当期純利益").isNotNull(), "当期純利益").otherwise(OWNERS))
+    ni = c.let(2, "net_or", N.or_else(c.cur("当期純利益"), c.cur(OWNERS)))
+    ni_l = c.let(2, "net_or_label", F.when(c.cur("当期純利益").isNotNull(), "当期純利益").otherwise(OWNERS))
     dupont = (rev != 0) & ok(ni) & ok(total) & ok(equity)
     roe = (ni / rev) * (rev / total) * (total / equity) * 100
 
@@ -236,18 +236,16 @@ def evidence_rows(labels: Column, rows: Column) -> Column:
 def questions(contexts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Questions of all contexts (of some templates only, if named), in the order ``(edinet_code, pos, template_no)``.
 
-    Each kind of context gets only its own metrics; the kinds are read in one pass each over the (stored or cached)
-    contexts, without a shuffle.
+    Each kind of context gets only its own metrics, all in one pass over the contexts and without a shuffle.
     """
-    out, names = None, contexts.columns
+    names, c, made = contexts.columns, Context(), None
     for kind, metrics in KINDS.items():
-        c = Context()
-        made = [F.when(m.isNotNull(), F.struct(F.lit(no).alias("no"), m.alias("m"))) for no, (name, m) in enumerate(zip(NAMES[kind], metrics(c), strict=True)) if only is None or name in only]
-        if not made:
-            continue
-        own = c.stage(contexts.where(F.col("context_type") == kind)).select(*names, F.explode(F.array(*made)).alias("x")).where("x IS NOT NULL").select(*names, F.col("x.no").alias("template_no"), "x.m")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
+        own = [F.when(m.isNotNull(), F.struct(F.lit(no).alias("no"), m.alias("m"))) for no, (name, m) in enumerate(zip(NAMES[kind], metrics(c), strict=True)) if only is None or name in only]
+        if own:
+            of_kind = F.col("context_type") == kind
+            made = F.when(of_kind, F.array(*own)) if made is None else made.when(of_kind, F.array(*own))
+    if made is None:
         raise ValueError(f"no such template: {only}")
+    out = c.stage(contexts).select(*names, F.explode(made).alias("x")).where("x IS NOT NULL").select(*names, F.col("x.no").alias("template_no"), "x.m")
     qa = F.struct("m.question", "m.program", "m.answer", evidence_rows(F.col("m.labels"), F.col("table.rows")).alias("gold_evidence"))
     return out.select("company_name", "edinet_code", "source_doc_id", "filing_year", "accounting_standard", "context_type", "pos", "template_no", "m.template", "m.subtask", "pre_text", "post_text", "table", qa.alias("qa"), "scale")

@@ -1,0 +1 @@
+"""Scoring of predictions as they arrive."""

@@ -421,3 +421,26 @@ def test_filing_windows(spark):
     wanted = spark.createDataFrame([(c, "2024") for c in ("E1", "E2", "E3")], "company string, year string")
     assert {r.company: (r.doc_id, r.window) for r in statements.pick_filings(f, wanted).collect()} == {"E1": (2, 0), "E2": (5, 2)}
     assert statements.not_collected(wanted, f.where("company = 'E1'")).count() == 2
+
+
+def test_stream(spark, tmp_path):
+    from ledgerlark.streaming import score
+
+    q = questions(spark, [("a", "numerical_reasoning", "25.0%"), ("b", "temporal_reasoning", "増収")])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"id": "a", "predicted": "25"}\n{"id": "zz", "predicted": "1"}\n')
+    stream = spark.readStream.schema("id string, predicted string").json(str(tmp_path / "in"))
+    score.append_verdicts(score.stream_verdicts(stream, q), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    (tmp_path / "in" / "2.json").write_text('{"id": "b", "predicted": "減収"}\n')
+    score.append_verdicts(score.stream_verdicts(stream, q), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.question_id: r.correct for r in got.collect()} == {"a": True, "b": False}
+    assert {r.subtask: r.accuracy for r in score.running_accuracy(got).collect()} == {"numerical_reasoning": 1.0, "temporal_reasoning": 0.0}
+
+
+def test_registered_queries():
+    import __spark_entry__ as entry
+
+    queries, sql = entry.queries(), entry.oracle_sql()
+    assert len(queries) > 140 and set(sql) <= set(queries)
+    assert {"w6_dedupe", "w9_lite_sample", "a7_sample_distribution", "j8_q11_near_duplicates"} == {q for q in queries if q not in sql and not q.startswith("op") and q != "pipeline"}
