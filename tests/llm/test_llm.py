@@ -518,7 +518,8 @@ def test_spans(spark):
     ("<div id=content><h1>T</h1><p>Hello, world, this is the main paragraph of the page.<p>Second one, also long enough.</div><div class='comments'><p>nice, post, I like it, very much, indeed</p></div>", "T\n\nHello, world, this is the main paragraph of the page.\n\nSecond one, also long enough."),
     ("<nav><p>menu, menu, menu, and more of it</p></nav><article><h1>T</h1><p>x <b>y</b><br>z<p>w</article><footer>f</footer>", "T\n\nx y z\n\nw"),
     ("<article><p>x</p><form><p>sign up</p></form><aside>s</aside><div class=cookie-notice>c</div><blockquote><p>q</p></blockquote><table><tr><td>1<td>2</table></article>", "x\n\nq\n\n1\n\n2"),
-    ("<script>var t='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><p>yes</p>", "yes"), ("<p>cut &am", "cut &am"), ("<p title='a>b'>q</p>", "q"), ("<b><p>x</b>y</p>z", "xy\n\nz"),
+    ("<script>var t='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><p>yes</p>", "yes"), ("<p>cut &am", "cut &am"), ("<p title='a>b'>q</p>", "q"), ("<div class='wrap has-sidebar sidebar-left'><article><p>in</p></article></div>", "in"), ("<div class='page-header'><p>all there is</p></div>", "all there is"), ("<article><p>story</p></article><section id='comments'><article class='comment'><p>nice, very nice, good, great</p></article></section>", "story"),
+    ("<div class='adslot'>buy</div><div id='content'><p>Text, with, commas.</p><div class='AdBox'>buy</div><p>More.</p></div><div class='user-comments'><p>a, b, c, d, e, f, g</p></div><div class='siteFooter'>f</div>", "Text, with, commas.\n\nMore."), ("<b><p>x</b>y</p>z", "xy\n\nz"),
 ])
 def test_pages(html, text):
     assert html_text.main_text(html) == text
