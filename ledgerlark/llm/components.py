@@ -18,15 +18,17 @@ def connected(edges: DataFrame, store: Scratch, most_rounds: int = 60) -> DataFr
     cur = store.put(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     before = None
     for _ in range(most_rounds):
-        print_ = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(print_) == before:
+        now = tuple(cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == before:
             break
-        before = tuple(print_)
+        before = now
         # large star: larger neighbours of u go to the smallest vertex around u
         both = cur.union(cur.selectExpr("b AS a", "a AS b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b > a").selectExpr("b AS a", "m AS b")
+        # (stored, so that both sides of the join are plain exchanges and adaptive execution splits a vertex with many edges)
+        low = store.put(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(low.hint("merge"), F.col("a") == F.col("u")).where("b > a").selectExpr("b AS a", "m AS b")
         large = store.put(large.where("a <> b").distinct())
+        store.drop(low)
         # small star: u and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
