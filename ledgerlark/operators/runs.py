@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.operators.validate import store
 from ledgerlark.schema import PRICES, UNKNOWN_PRICE
+from ledgerlark.scratch import store
 from ledgerlark.ship import by_value
 
 by_value(__name__)
