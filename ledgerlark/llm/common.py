@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.scratch import new_folder
+
 #: Text is handed to numpy in buffers of about this many bytes, so memory doesn't grow with a document's length.
 SEGMENT = 1 << 20
 
@@ -29,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerlark-')}"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/ledgerlark-{uuid.uuid4().hex}"
-
-
 class Scratch:
     """Tables written to cut lineage: a lost executor never makes an earlier round run again.
 
@@ -45,7 +36,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, scratch(spark), 0
+        self.spark, self.root, self.n = spark, new_folder(spark), 0
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
