@@ -108,4 +108,6 @@ def with_tables(body: str, *names: str) -> str:
         order += [x for x in (*NEEDS.get(n, ()), n) if x not in order]
     ctes = ", ".join(f"{n} AS ({_dialect(TEXTS[n], False).strip()})" for n in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[14:].strip()}"
     return f"WITH {ctes}, {body[4:].strip()}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"

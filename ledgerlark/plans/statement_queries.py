@@ -293,7 +293,14 @@ def _with_program(q):
     return q.withColumn("program", F.array_repeat(F.lit("add(1, 1)"), F.col("steps").cast("int")))
 
 
-@query("w6_dedupe", None, "questions")
+_SET = "list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, CAST(i AS INT), 3)))"
+_ALIKE = "len(g) > 0 AND len(list_filter(kept, lambda k: len(k) > 0 AND len(list_intersect(k, g)) > 0.7 * (len(k) + len(g) - len(list_intersect(k, g))))) > 0"
+
+
+# the greedy rule row by row, each block on its own
+@query("w6_dedupe", f"""WITH RECURSIVE n AS (SELECT pos, subtask, edinet_code, lower(replace(trim(question, ' ' || chr(10) || chr(9) || chr(13)), ',', '')) AS s FROM questions), q AS (SELECT pos, subtask, edinet_code, {_SET} AS g, row_number() OVER (PARTITION BY subtask, edinet_code ORDER BY pos) AS rn FROM n),
+ r AS (SELECT DISTINCT subtask, edinet_code, 0::BIGINT AS rn, []::VARCHAR[][] AS kept, NULL::BIGINT AS pos FROM q UNION ALL SELECT q.subtask, q.edinet_code, q.rn, CASE WHEN {_ALIKE} THEN kept ELSE list_append(kept, g) END, CASE WHEN {_ALIKE} THEN NULL ELSE q.pos END FROM r JOIN q ON q.subtask = r.subtask AND q.edinet_code = r.edinet_code AND q.rn = r.rn + 1)
+ SELECT pos FROM r WHERE pos IS NOT NULL""", "questions")
 def _(q):
     return V.dedupe(q).select("pos")
 

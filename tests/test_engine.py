@@ -443,4 +443,4 @@ def test_registered_queries():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) > 140 and set(sql) <= set(queries)
-    assert {"w6_dedupe", "w9_lite_sample", "a7_sample_distribution", "j8_q11_near_duplicates"} == {q for q in queries if q not in sql and not q.startswith("op") and q != "pipeline"}
+    assert {"w9_lite_sample", "a7_sample_distribution", "j8_q11_near_duplicates"} == {q for q in queries if q not in sql and not q.startswith("op") and q != "pipeline"}
