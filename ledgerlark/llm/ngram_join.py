@@ -253,7 +253,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     nodes = reps.select("rid", F.explode(own).alias("x")).select("rid", "x.path", "x.more")
     leaves, edges = [], []
     for level in range(LEVELS):
-        sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("low")).where("size > 1").hint("merge")  # a node may be large: adaptive execution splits a merge join's side
+        # stored, so that both sides of the merge join are plain exchanges: adaptive execution splits a large node
+        sizes = store.put(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("low")).where("size > 1")).hint("merge")
         met = store.put(nodes.join(sizes.withColumnRenamed("path", "p"), F.col("path") == F.col("p")).select("rid", "path", "more", "size", "low"))
         leaves.append(met.where(F.col("size") <= NODE).select("rid", "path"))
         large = met.where(F.col("size") > NODE)
