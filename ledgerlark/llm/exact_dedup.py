@@ -1,7 +1,7 @@
 """Exact duplicates by distributed most-significant-digit radix partitioning.
 
-Documents are split by successive runs of bytes until a group holds one document or has ended. The first digit is 64
-bytes wide and each next one eight times wider, so a text of n bytes needs about log8(n / 64) rounds. Equality is decided
+Documents are split by successive runs of bytes until a group holds one document or has ended. The first digit is 512
+bytes wide and each next one eight times wider, so a text of n bytes needs about log8(n / 512) rounds. Equality is decided
 by the bytes alone; the SHA-256 in the result is a report, never a key.
 
 A round counts the documents of every (group, digit) with map-side combining, so a group of copies of any size costs one
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import Scratch, small_side, table
 
-FIRST_DIGIT = 64
+FIRST_DIGIT = 512
 WIDENING = 8
 
 
