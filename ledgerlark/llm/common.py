@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to Python at a time while a table is written.
+ARROW_ROWS = 1024
+
+
 class Scratch:
     """Tables written to cut lineage: a lost executor never makes an earlier round run again.
 
@@ -41,7 +45,14 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+        try:  # texts go to Python in small batches: the default of 10,000 rows holds both sides' buffers full of text
+            before = self.spark.conf.get(rows)
+            self.spark.conf.set(rows, str(min(int(before) if int(before) > 0 else ARROW_ROWS, ARROW_ROWS)))
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(rows, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # for drop()
         return out
