@@ -29,8 +29,8 @@ HIDDEN = 8
 LANES = 2048
 STEPS = 300
 BATCH = 192
-#: A document whose best language has a smaller probability is rejected.
-LEAST = 0.35
+#: A document is rejected where its best language has a smaller probability than so many times that of chance.
+LEAST = 1.1
 
 ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes that belong to letters, as far as bytes can tell: ASCII letters and every byte of a character beyond ASCII.
@@ -263,13 +263,14 @@ def predict(docs: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a known language, all columns: not ``und``, and with a score of at least LEAST."""
+    """The rows of ``docs`` in a known language, all columns: not ``und``, and with a score that is more than chance."""
     net = train_on(docs.where(~held_out(id_col, 4, 2)), id_col, text_col, lang_col)
     names, kinds = docs.columns, [f.dataType for f in docs.schema]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(text_col).alias("text"))
     schema = ", ".join([*(f"c{k} {t.simpleString()}" for k, t in enumerate(kinds)), "lang_pred string", "score double"])
     out = rows.mapInArrow(predict_batches(net.labels if net else [], net.w if net else None), schema)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    least = LEAST / max(2, len(net.labels) if net else 2)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
