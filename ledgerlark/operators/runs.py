@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.numbers import plain
 from ledgerlark.schema import PRICES, UNKNOWN_PRICE
 from ledgerlark.scratch import store
 from ledgerlark.ship import by_value
@@ -98,17 +99,19 @@ def spread(rows: DataFrame, value: str) -> DataFrame:
     def pick(rank: int) -> Column:
         return F.max(F.when((lo < rank) & (rank <= F.col("hi")), F.col("x")))
 
-    def spot(p: float) -> int:
-        return max(1, min(int(p * (n + 1)), n - 1))
+    def spot(p: float) -> int:  # in twentieths, whole numbers throughout
+        return max(1, min(round(p * 20) * (n + 1) // 20, n - 1))
 
     got = ranked.agg(pick((n + 1) // 2).alias("m1"), pick(n // 2 + 1).alias("m2"), *(pick(spot(p) + k).alias(f"q{int(p * 100)}_{k}") for p in (0.9, 0.95) for k in (0, 1)))
 
     def quantile(p: float) -> Column:
         a, b = F.col(f"q{int(p * 100)}_0"), F.col(f"q{int(p * 100)}_1")
-        return a if n == 1 else a + (b - a) * (p * (n + 1) - spot(p))
+        part = round(p * 20) * (n + 1) - spot(p) * 20
+        return a if n == 1 else (a * (20 - part) + b * part) / 20
 
     third = (F.lit(whole["sum"] / n), (F.col("m1") + F.col("m2")) / 2, quantile(0.9), quantile(0.95), F.lit(whole["max"]))
-    return got.select(*(F.round(v, 3).alias(k) for k, v in zip(("mean", "median", "p90", "p95", "max"), third, strict=True)))
+    # rounded half to even on the exact value
+    return got.select(*(plain(v, 3).cast("double").alias(k) for k, v in zip(("mean", "median", "p90", "p95", "max"), third, strict=True)))
 
 
 def summary(attempts: DataFrame) -> DataFrame:

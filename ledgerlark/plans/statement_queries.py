@@ -77,7 +77,7 @@ _ANY = " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in LABELS.items())
 )
 def _(r):
     # the derived rows repeat a position here and there: of equal ones the larger value is last, the smaller first
-    rows = r.groupBy("company", "year", "statement", "element", "context", "pos").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+    rows = r.where(S.is_current(F.col("context"))).groupBy("company", "year", "statement", "element", "pos").agg(F.max("value").alias("hi"), F.min("value").alias("lo")).withColumn("context", F.lit(CURRENT[0]))
     both = rows.select("company", "year", "statement", "element", "context", (F.col("pos") * 2 + 1).alias("pos"), F.col("hi").alias("value")).unionByName(rows.select("company", "year", "statement", "element", "context", (F.col("pos") * 2).alias("pos"), F.col("lo").alias("value")))
     out = S.element_items(both)
     at = F.col("pos")

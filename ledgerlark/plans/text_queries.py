@@ -388,13 +388,13 @@ def _(a):
     return runs.summary(runs.with_cost(a)).where("grouping = 'subtask'").select("key", "cost_total_usd")
 
 
-_QUANTILE = "list_extract(l, CAST(j AS BIGINT)) + (list_extract(l, CAST(j + 1 AS BIGINT)) - list_extract(l, CAST(j AS BIGINT))) * ({p} * (n + 1) - j)"
-
-
 def _quantile(p: float) -> str:
-    return _QUANTILE.replace("{p}", str(p)).replace("j", f"greatest(1, least(floor({p} * (n + 1)), n - 1))")
+    """By the exclusive method in twentieths, whole numbers throughout."""
+    i = round(p * 20)
+    j = f"greatest(1, least({i} * (n + 1) // 20, n - 1))"
+    return f"(list_extract(l, {j}) * (20 - ({i} * (n + 1) - 20 * {j})) + list_extract(l, {j} + 1) * ({i} * (n + 1) - 20 * {j})) / 20"
 
 
-@query("a4_distribution", f"SELECT round(list_sum(l) / n, 3) AS mean, round(median(x), 3) AS median, round({_quantile(0.9)}, 3) AS p90, round({_quantile(0.95)}, 3) AS p95, round(list_max(l), 3) AS max FROM (SELECT list_sort(list(latency_s)) AS l, count(*) AS n FROM attempts), (SELECT latency_s AS x FROM attempts) GROUP BY l, n", "attempts")
+@query("a4_distribution", f"SELECT CAST(format('{{:.3f}}', list_sum(l) / n) AS DOUBLE) AS mean, CAST(format('{{:.3f}}', median(x)) AS DOUBLE) AS median, CAST(format('{{:.3f}}', {_quantile(0.9)}) AS DOUBLE) AS p90, CAST(format('{{:.3f}}', {_quantile(0.95)}) AS DOUBLE) AS p95, CAST(format('{{:.3f}}', list_max(l)) AS DOUBLE) AS max FROM (SELECT list_sort(list(latency_s)) AS l, count(*) AS n FROM attempts), (SELECT latency_s AS x FROM attempts) GROUP BY l, n", "attempts")
 def _(a):
     return runs.spread(a, "latency_s")
