@@ -2,10 +2,10 @@
 
 Each source's documents, in the order of a hash, are cut into blocks. Block k of a source of weight w may start at slot
 floor(k / w) and must end by ceil((k + 1) / w); the earliest deadline first among the released blocks gives a sequence in
-which, at every slot, every source is less than one block away from its due. Weights are rounded to a grid of slots, so
-the schedule repeats after ``grid`` slots and a block's slot follows from its number: one period is scheduled on the
-driver (its size is the grid, not the data) and joined back. When a source has no more whole blocks, the weights of the
-others are taken to 1 again and a new phase begins, so no document is left out.
+which, at every slot, every source is less than one block away from its due. Weights are taken exactly, as whole numbers
+in proportion to them, so this holds against the target itself however long the input is. The schedule is made on the
+driver, one number a block (not a document) in arrays, and joined back. When a source has no more blocks, the weights of
+the others are taken to 1 again and a new phase begins, so no document is left out.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import heapq
 import math
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ GRID = 1024
 BLOCK = 16
 #: Ranges of the hash that each source is dealt over for numbering.
 SALTS = 64
-#: The number of sources is a parameter of the mix, not of its size; more than this is refused.
-MOST_SOURCES = 10_000
+#: Blocks of a source in one row of the schedule.
+CHUNK = 1024
+#: The schedule is broadcast up to this many blocks (16 bytes each), beyond it joined by source and chunk.
+MOST_BROADCAST = 8_000_000
 
 
 def on_grid(weights: dict[str, float], grid: int) -> dict[str, int]:
@@ -44,48 +48,76 @@ def on_grid(weights: dict[str, float], grid: int) -> dict[str, int]:
     return slots
 
 
-def period(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    grid = sum(slots.values())
-    wait, ready, out = [], [], []
-    for s, n in sorted(slots.items()):
-        wait.append((0, -(-grid // n), s, 0))
-    heapq.heapify(wait)
-    for t in range(grid):
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    least = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * least) for s, w in exact.items()}
+
+
+def earliest_deadlines(slots: dict[str, int], blocks: dict[str, int]) -> np.ndarray:
+    """The source of each slot, as its number in the sorted names, until one whose turn it is has no block left."""
+    names = sorted(slots)
+    share, left, total = [slots[s] for s in names], [blocks[s] for s in names], sum(slots.values())
+    ready, wait, out, t = [(-(-total // w), i, 0) for i, w in enumerate(share)], [], [], 0
+    heapq.heapify(ready)
+    while True:
         while wait and wait[0][0] <= t:
-            release, deadline, s, k = heapq.heappop(wait)
-            heapq.heappush(ready, (deadline, s, k))
-        deadline, s, k = heapq.heappop(ready)
-        out.append(s)
-        if k + 1 < slots[s]:
-            heapq.heappush(wait, ((k + 1) * grid // slots[s], -(-(k + 2) * grid // slots[s]), s, k + 1))
-    return out
+            heapq.heappush(ready, heapq.heappop(wait)[1:])
+        _, i, k = heapq.heappop(ready)
+        if k == left[i]:
+            return np.array(out, np.int32)
+        out.append(i)
+        t += 1
+        heapq.heappush(wait, ((k + 1) * total // share[i], -(-(k + 2) * total // share[i]), i, k + 1))
+
+
+def period(slots: dict[str, int]) -> list[str]:
+    """The source of each slot of one period of whole weights."""
+    names = sorted(slots)
+    return [names[i] for i in earliest_deadlines(slots, slots)]
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], grid: int) -> list[dict]:
-    """Phases between the ends of sources: slots, first global slot, first block of each source, and the period."""
+def phases(blocks: dict[str, int], weights: dict[str, float], grid: int = GRID) -> list[dict]:
+    """Phases between the ends of sources: slots, first global slot, exact whole weights, first block of each source, order.
+
+    ``order`` has each slot's source as its number in the sorted names of ``slots``. ``grid`` has no effect: nothing is rounded.
+    """
     left = {s: n for s, n in blocks.items() if n > 0}
+    share = whole({s: weights[s] for s in left})
     used, at, out = dict.fromkeys(left, 0), 0, []
     while left:
-        slots = on_grid({s: weights[s] for s in left}, grid)
-        order = period(slots)
-        whole = min(left[s] // slots[s] for s in left)  # whole periods that every source can fill
-        taken = {s: whole * slots[s] for s in left}
-        length = whole * len(order)
-        for s in order:  # then slot by slot until a source has no block left
-            if taken[s] == left[s]:
-                break
-            taken[s] += 1
-            length += 1
-        out.append({"at": at, "length": length, "slots": slots, "first": {s: used[s] for s in left}, "order": order})
-        at += length
-        for s, n in taken.items():
+        names = sorted(left)
+        order = earliest_deadlines({s: share[s] for s in names}, left)
+        out.append({"at": at, "length": len(order), "slots": {s: share[s] for s in names}, "first": {s: used[s] for s in names}, "order": order})
+        at += len(order)
+        for s, n in zip(names, np.bincount(order, minlength=len(names)).tolist(), strict=True):
             left[s] -= n
             used[s] += n
         left = {s: n for s, n in left.items() if n}
     return out
 
 
+def schedule(counts: dict[str, int], weights: dict[str, float], block: int) -> pa.Table:
+    """Chunks of each source's blocks: their slots, and the positions of their first documents."""
+    names = sorted(counts)
+    number = {s: i for i, s in enumerate(names)}
+    blocks = {s: -(-n // block) for s, n in counts.items()}
+    parts = [np.array([number[s] for s in sorted(ph["slots"])], np.int32)[ph["order"]] for ph in phases(blocks, weights)]
+    source = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    slot = np.argsort(source, kind="stable")  # blocks of a source come in order
+    ends = np.cumsum([blocks[s] for s in names], dtype=np.int64)
+    size = np.full(len(slot), block, np.int64)
+    size[slot[ends - 1]] = [counts[s] - (blocks[s] - 1) * block for s in names]  # all blocks are full but the last of each source
+    start = (np.cumsum(size) - size)[slot]
+    firsts = [(s, c, e - blocks[s] + c * CHUNK, min(e, e - blocks[s] + (c + 1) * CHUNK)) for s, e in zip(names, ends.tolist(), strict=True) for c in range(-(-blocks[s] // CHUNK))]
+    cuts = pa.array([0, *(hi for *_, hi in firsts)], pa.int32())
+    return pa.table({
+        "mix__ps": pa.array([s for s, *_ in firsts], pa.string()), "mix__c": pa.array([c for _, c, *_ in firsts], pa.int64()),
+        "mix__slots": pa.ListArray.from_arrays(cuts, pa.array(slot, pa.int64())), "mix__starts": pa.ListArray.from_arrays(cuts, pa.array(start, pa.int64())),
+    })
+
+
 def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     """Weights in proportion to the documents' number to ``power``: large sources come less often than they are large."""
     total = sum(n**power for n in counts.values())
@@ -98,7 +130,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     ``weights`` are positive numbers by source (null: the source ``""``); sources that they don't name get the smallest
     of them; default: ``tempered``. Within a source the order is that of a hash of the id (ties by the id; rows alike in
     id are in any order). Every row gets one position, rows with null ids too. Columns named like the new ones are
-    replaced. An empty table gives no rows. ``docs`` must give the same rows each time it is read.
+    replaced. Weights are exact; ``grid`` has no effect. An empty table gives no rows. ``docs`` must give the same rows each time it is read.
     """
     spark = docs.sparkSession
     h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
@@ -109,61 +141,27 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     for src, salt, n in sorted(tuple(c) for c in cells):
         before.append((src, salt, counts.get(src, 0)))
         counts[src] = counts.get(src, 0) + n
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"{len(counts)} sources; a mix has at most {MOST_SOURCES}")
     if weights is None:
         weights = tempered(counts) if counts else {}
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights are positive")
     low = min(weights.values(), default=1.0)
     weights = {s: weights.get(s, low) for s in counts}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, grid)
-    phase_rows, period_rows = [], []
-    for p, ph in enumerate(plan):
-        for s, n in ph["slots"].items():
-            nxt = plan[p + 1]["first"].get(s) if p + 1 < len(plan) else None
-            phase_rows.append((s, p, ph["first"][s], nxt if nxt is not None else 1 << 60, n, len(ph["order"]), ph["at"]))
-        seen: dict[str, int] = {}
-        for t, s in enumerate(ph["order"][: min(len(ph["order"]), ph["length"])]):
-            period_rows.append((p, s, seen.get(s, 0), t))
-            seen[s] = seen.get(s, 0) + 1
-    # a slot's documents before it: all blocks are full but the last of each source
-    short = sorted((slot_of(plan, s, -(-n // block) - 1), block - n % block) for s, n in counts.items() if n % block)
-    short_rows, total = [(0, 0)], 0
-    for slot, missing in short:
-        total += missing
-        short_rows.append((slot + 1, total))
-    bounds = [(a, b[0] if b else 1 << 60, m) for (a, m), b in zip(short_rows, [*short_rows[1:], None], strict=True) if not b or a < b[0]]
     cell = F.broadcast(spark.createDataFrame(before or [("", 0, 0)], "mix__s string, mix__a int, mix__before bigint"))
-    phase = F.broadcast(spark.createDataFrame(phase_rows or [("", 0, 0, 0, 1, 1, 0)], "mix__ps string, mix__p int, mix__lo bigint, mix__hi bigint, mix__n bigint, mix__len bigint, mix__at bigint"))
-    turn = spark.createDataFrame(period_rows or [(0, "", 0, 0)], "mix__tp int, mix__ts string, mix__k bigint, mix__t bigint")
-    turn = F.broadcast(turn) if len(period_rows) <= 500_000 else turn
-    gap = F.broadcast(spark.createDataFrame(bounds, "mix__from bigint, mix__to bigint, mix__missing bigint"))
+    chunks = spark.createDataFrame(schedule(counts, weights, block), "mix__ps string, mix__c bigint, mix__slots array<bigint>, mix__starts array<bigint>")
+    chunks = F.broadcast(chunks) if sum(-(-n // block) for n in counts.values()) <= MOST_BROADCAST else chunks
     rank = F.row_number().over(Window.partitionBy("mix__src", "mix__salt").orderBy("mix__h", id_col)) - 1
     out = rows.withColumn("mix__r", rank)
     out = out.join(cell, (F.col("mix__src") == F.col("mix__s")) & (F.col("mix__salt") == F.col("mix__a"))).withColumn("mix__r", F.col("mix__r") + F.col("mix__before"))
     out = out.withColumn("block_no", F.floor(F.col("mix__r") / block).cast("bigint"))
-    out = out.join(phase, (F.col("mix__src") == F.col("mix__ps")) & (F.col("block_no") >= F.col("mix__lo")) & (F.col("block_no") < F.col("mix__hi")))
-    k = F.col("block_no") - F.col("mix__lo")
-    out = out.withColumn("mix__kk", F.pmod(k, F.col("mix__n"))).join(turn, (F.col("mix__p") == F.col("mix__tp")) & (F.col("mix__src") == F.col("mix__ts")) & (F.col("mix__kk") == F.col("mix__k")))
-    out = out.withColumn("slot", (F.col("mix__at") + F.floor(k / F.col("mix__n")) * F.col("mix__len") + F.col("mix__t")).cast("bigint"))
-    out = out.join(gap, (F.col("slot") >= F.col("mix__from")) & (F.col("slot") < F.col("mix__to")))
-    position = (F.col("slot") * block - F.col("mix__missing") + F.pmod(F.col("mix__r"), F.lit(block))).cast("bigint")
+    out = out.withColumn("mix__bc", F.floor(F.col("block_no") / CHUNK)).join(chunks, (F.col("mix__src") == F.col("mix__ps")) & (F.col("mix__bc") == F.col("mix__c")))
+    k = F.pmod(F.col("block_no"), F.lit(CHUNK)).cast("int")
+    out = out.withColumn("slot", F.col("mix__slots")[k])
+    position = F.col("mix__starts")[k] + F.pmod(F.col("mix__r"), F.lit(block))
     names = [c for c in docs.columns if c not in ("block_no", "slot", "position")]
     return out.select(*names, "block_no", "slot", position.alias("position"))
 
 
-def slot_of(plan: list[dict], source: str, block_no: int) -> int:
-    """The slot of a block of a source in the plan."""
-    for p in range(len(plan) - 1, -1, -1):
-        first = plan[p]["first"].get(source)
-        if first is not None and first <= block_no:
-            k, n = block_no - first, plan[p]["slots"][source]
-            turn = [t for t, s in enumerate(plan[p]["order"]) if s == source][k % n]
-            return plan[p]["at"] + k // n * len(plan[p]["order"]) + turn
-    raise KeyError(source)
-
-
 def in_mix_order(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
     """The rows of ``docs``, all columns, in partitions that follow each other in the mix, each in its order."""
     stored = docs

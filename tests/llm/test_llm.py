@@ -367,6 +367,26 @@ def test_mix(spark, rows):
         assert sum(ph["length"] for ph in plan) == len(order)
 
 
+@pytest.mark.parametrize(("sources", "each", "hot", "until"), [(20, 250, 250, 4980), (1200, 2, 1500, 2399)])
+def test_mix_follows_unrounded_weights(spark, sources, each, hot, until):
+    counts = {f"s{k}": hot if k == 0 else each for k in range(sources)}
+    weights = dict.fromkeys(counts, Fraction(1, sources)) if hot == each else {s: Fraction(1, 2) if n == hot else Fraction(1, 2 * (sources - 1)) for s, n in counts.items()}
+    rows = [(k, None, None, s) for k, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    out = mixing.mix_sources(frame(spark, rows), weights=weights, block=1).select("slot", "source", "block_no").collect()
+    assert sorted(r.slot for r in out) == list(range(len(rows)))
+    seen = dict.fromkeys(counts, 0)
+    for r in sorted(out)[:until]:  # before the first source ends; a block inside its window keeps |placed - due| < 1
+        w = weights[r.source]
+        assert r.block_no == seen[r.source] and r.block_no // w <= r.slot < -(-(r.block_no + 1) // w)
+        seen[r.source] += 1
+    assert all(abs(seen[s] - w * until) < 1 for s, w in weights.items())
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(k, None, None, f"s{k}") for k in range(10_500)]
+    assert sorted(r.position for r in mixing.mix_sources(frame(spark, rows)).select("position").collect()) == list(range(len(rows)))
+
+
 def test_mix_refuses_bad_weights(spark):
     with pytest.raises(ValueError):
         mixing.mix_sources(frame(spark, ODD), weights={"a": 0})
