@@ -3,7 +3,7 @@
 Documents become sets of hashes of five consecutive words. A run splits them recursively: at each level a document follows
 the one token of its set that comes first in that run's and level's random order, so two documents stay together with the
 probability of their Jaccard similarity. A node with few documents is compared by brute force, a large one is split
-again. Runs repeat until a pair at the threshold has met with probability ``recall``.
+again. Runs repeat until a pair at the threshold has met, at whatever level, with probability ``recall``.
 
 Equal sets are collapsed first. Brute force in a node compares min-hash sketches and keeps a spanning forest of the pairs
 that may be similar, so a node yields fewer rows than it has documents. The forests' components are then verified exactly
@@ -46,6 +46,23 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
 
 
+def runs_planned(threshold: float, recall: float) -> int:
+    """Runs after which a pair at the threshold is a candidate with probability ``recall``.
+
+    Counted at the last level, where a pair that stays in large nodes has to agree in all tokens of a run, and with the
+    chance that the pair's sketch, of all runs' tokens, agrees in too few places.
+    """
+    runs = runs_for(threshold**LEVELS, recall)
+    while (1 - threshold**LEVELS) ** runs + sketch_miss(threshold, runs * LEVELS) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def sketch_miss(threshold: float, places: int) -> float:
+    """The chance that a pair at the threshold agrees in less than a part ``threshold - SLACK`` of its sketch's places."""
+    return sum(math.comb(places, k) * threshold**k * (1 - threshold) ** (places - k) for k in range(places + 1) if k / places < threshold - SLACK)
+
+
 def normal_text(text: str) -> bytes:
     """Lower case, all white space alike; words are what is left between other ASCII characters."""
     if not text.isascii():
@@ -239,7 +256,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     """
     spark = docs.sparkSession
     store = Scratch(spark)
-    runs = runs_for(threshold, recall)
+    runs = runs_planned(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     made = rows.mapInArrow(signature_batches(n, runs * LEVELS), f"id {kind}, key binary, n int, tokens array<bigint>")

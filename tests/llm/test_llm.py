@@ -159,6 +159,27 @@ def test_runs_reach_recall():
     assert (1 - 0.8) ** ngram_join.runs_for(0.8, 0.999) <= 0.001 < (1 - 0.8) ** (ngram_join.runs_for(0.8, 0.999) - 1)
 
 
+def test_planned_runs_reach_recall_in_split_nodes():
+    runs = ngram_join.runs_planned(0.8, ngram_join.RECALL)
+    assert (1 - 0.8**ngram_join.LEVELS) ** runs + ngram_join.sketch_miss(0.8, runs * ngram_join.LEVELS) <= 1 - ngram_join.RECALL
+
+
+def test_pairs_in_a_hot_passage_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NODE", 1)  # all nodes are split to the last level, as where a passage is very frequent
+    seen, hold = [], ngram_join.signature_batches
+    monkeypatch.setattr(ngram_join, "signature_batches", lambda n, orders: seen.append(orders) or hold(n, orders))
+    rng = random.Random(11)
+    passage, rows = words(rng, 26), []
+    for k in range(600):  # 22 shingles of the passage in all texts; pairs at a similarity of 0.8 exactly
+        own = words(rng, 22)
+        rows += [(2 * k, f"{passage} {own}", "en", "s"), (2 * k + 1, f"{passage} {own} {words(rng, 11)}", "en", "s")]
+    a, b = (ngram_join.shingle_sets([rows[k][1].encode()])[0] for k in (0, 1))
+    assert np.isin(a, b).sum() / len(np.union1d(a, b)) == 0.8
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_classes(frame(spark, rows)).collect()}
+    assert got == {k: (k - k % 2, 1) for k in range(len(rows))}
+    assert (1 - 0.8**ngram_join.LEVELS) ** (seen[0] / ngram_join.LEVELS) <= 1 - ngram_join.RECALL
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (None, 3)] + [(2000, k) for k in range(2001, 2100)]
