@@ -13,7 +13,7 @@ from ledgerlark.llm.exact_dedup import drop_exact
 from ledgerlark.llm.language_id import keep_identified
 from ledgerlark.llm.mixing import in_mix_order
 from ledgerlark.llm.ngram_join import drop_near
-from ledgerlark.llm.packing import pack_documents
+from ledgerlark.llm.packing import pack_in_order
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
-    return pack_documents(docs, digest=True)
+    """The pieces of all documents and their places in sequences of at most 2048 tokens, in the order of the mix."""
+    return pack_in_order(docs)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import Scratch, table
+from ledgerlark.llm.common import Scratch, small_side, table
 from ledgerlark.llm.tokens import token_pieces
 
 CAPACITY = 2048
@@ -63,15 +63,16 @@ def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return runs
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece"), salt: Column | None = None) -> DataFrame:
     """``pieces`` (any columns, among them ``length``) with ``sequence_id`` and ``offset``.
 
     Every row is placed once, repeated rows too (they are alike, so either takes either place). Lengths lie between 1 and
     ``capacity``; others, and null ones, raise an error. Nulls in the key are a key like any other. ``pieces`` must give
-    the same rows each time it is read: pass a stored table. No rows in, no rows out.
+    the same rows each time it is read: pass a stored table. No rows in, no rows out. Pieces of equal length take places
+    in the order of ``salt`` and then the key; ``salt`` is a whole number from 0, by default a hash of the key.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("pack__salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    salted = pieces.withColumn("pack__salt", (F.pmod(F.xxhash64(*key), F.lit(SALTS)) if salt is None else salt).cast("int"))
     cells = salted.groupBy("length", "pack__salt").count().collect()  # capacity x SALTS rows at most
     counts: dict[int, int] = {}
     before: list[tuple[int, int, int]] = []
@@ -107,6 +108,43 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, digest: bool = Fal
     return best_fit(Scratch(docs.sparkSession).put(pieces), capacity)
 
 
+def stored_order(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs``, read from Parquet files, with ``pack__at``: the place of each row, from 0 without gaps, in the files' order."""
+    placed = docs.select("*", F.col("_metadata.file_path").alias("pack__file"), F.col("_metadata.row_index").alias("pack__row"))
+    files, total = [], 0
+    for name, n in sorted(tuple(r) for r in placed.groupBy("pack__file").count().collect()):  # one row a file
+        files.append((name, total))
+        total += n
+    first = F.broadcast(docs.sparkSession.createDataFrame(files or [("", 0)], "pack__name string, pack__before bigint"))
+    out = placed.join(first, F.col("pack__file") == F.col("pack__name"))
+    return out.select(*docs.columns, (F.col("pack__before") + F.col("pack__row")).alias("pack__at")), total
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Digest columns as of ``pack_documents``, for documents read from Parquet files whose order decides.
+
+    Among pieces of one length those stored first take the first places, and sequences are numbered by the piece in them
+    that is stored first.
+    """
+    store = Scratch(docs.sparkSession)
+    rows, total = stored_order(docs)
+    rows = rows.select(F.struct("doc_id", "pack__at").alias("own"), "text")
+    pieces = token_pieces(rows, capacity, id_col="own").selectExpr("own.doc_id AS doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "own.pack__at AS pack__at")
+    part = F.floor(F.col("pack__at") * SALTS / max(total, 1))
+    packed = store.put(best_fit(store.put(pieces), capacity, ("pack__at", "piece"), part))
+    # sequences ranked by their first piece, in ranges of the order
+    firsts = store.put(packed.groupBy("sequence_id").agg(F.min(F.struct("pack__at", "piece")).alias("first")).withColumn("part", F.floor(F.col("first.pack__at") / (1 << 15))))
+    before, n = [], 0
+    for k, own in sorted(tuple(r) for r in firsts.groupBy("part").count().collect()):
+        before.append((k, n))
+        n += own
+    start = F.broadcast(docs.sparkSession.createDataFrame(before or [(0, 0)], "part bigint, before bigint"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1
+    numbered = store.put(firsts.join(start, "part").select(F.col("sequence_id").alias("pack__old"), number.cast("bigint").alias("pack__new")))
+    out = packed.join(small_side(numbered), F.col("sequence_id") == F.col("pack__old"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("pack__new").alias("sequence_id"), "offset")
+
+
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """Digest columns of the packed pieces of all documents."""
     return pack_documents(table(spark, sf_dir, "documents"), digest=True)

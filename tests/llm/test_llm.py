@@ -595,3 +595,34 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in last} == ids[4]
     order = [r.doc_id for r in kept[-1].orderBy("source").collect()]
     assert sorted(order) == sorted(ids[4])
+
+
+def test_pipeline_packs_in_the_order_of_the_mix(spark):
+    rng = random.Random(13)
+    rows = [(k, words(rng, rng.choice([40, 40, 300, 900])), "en", "hot" if k < 500 else f"s{k % 5}") for k in range(800)]
+    docs = Scratch(spark).put(frame(spark, rows))
+    mixed = Scratch(spark).put(corpus_pipeline.mixing(spark, docs, ""))
+    packed = {}
+    for name, stored in (("mixed", mixed), ("plain", docs)):
+        got = corpus_pipeline.packing(spark, stored, "").collect()
+        assert {r.doc_id for r in got} == {k for k, *_ in rows}
+        packed[name] = got
+    assert set(packed["mixed"]) != set(packed["plain"])
+    at = {r.doc_id: r.position for r in mixing.mix_sources(docs).select("doc_id", "position").collect()}
+    firsts = {name: {} for name in packed}
+    for name, own in firsts.items():
+        for r in packed[name]:
+            own[r.sequence_id] = min(own.get(r.sequence_id, len(rows)), at[r.doc_id])
+        assert sorted(own) == list(range(len(own)))
+    ranked = {name: [own[k] for k in sorted(own)] for name, own in firsts.items()}
+    assert ranked["mixed"] == sorted(ranked["mixed"]) and ranked["plain"] != sorted(ranked["plain"])
+
+
+def test_packing_in_order_keeps_all_pieces(spark):
+    stored = Scratch(spark).put(frame(spark, ODD, True))
+    got = packing.pack_in_order(stored).collect()
+    want = packing.pack_documents(stored, digest=True).collect()
+    key = lambda r: str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and {r.sequence_id for r in got} == set(range(len({r.sequence_id for r in want})))
+    assert packing.pack_in_order(Scratch(spark).put(frame(spark, []))).count() == 0
