@@ -176,12 +176,13 @@ def with_audit_match(rows: DataFrame, predicted: str, gold: str, out: str) -> Da
 
 
 def cell_number(c: Column | str) -> Column:
-    """A table cell's number: a triangle is a minus, commas and blanks go, each unit is taken off once at the end."""
+    """A table cell's number: a triangle is a minus, commas and blanks go, each unit is taken off once at the end. Full-width digits and those of other scripts count as digits."""
     s = strip(col(c))
     negative = s.rlike("^[△▲]")
     s = F.regexp_replace(F.regexp_replace(s, "^[△▲]", ""), "[, ]", "")
     for unit in CELL_UNITS:
         s = ends_off(s, unit)
+    s = F.translate(s, "０１２３４５６７８９" + OTHER_DIGITS, "0123456789" + DIGIT_VALUES)
     value = F.regexp_extract(strip(s), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", 0).try_cast("double")
     return F.when(negative, -value).otherwise(value)
 

@@ -10,11 +10,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark import cli
+from ledgerlark import cli, plans
 from ledgerlark.functions import numbers as N
 from ledgerlark.functions import render as R
 from ledgerlark.functions import text as T
 from ledgerlark.operators import audit, evaluate, program, runs, statements, templates, validate
+from ledgerlark.plans.inputs import derived
 from ledgerlark.schema import FLAT, SUBTASKS
 from ledgerlark.sources import io
 
@@ -87,6 +88,20 @@ def test_cells_and_near(spark):
     assert [r[0] for r in df.select(T.near(F.col("a"), F.col("b"))).collect()] == [True, True, True, False]
 
 
+def test_cell_number_reads_full_width_digits(spark):
+    cells = ["１２３", "△１,２３４百万円", "１２.５%", "٣٤", "１２．５", "５e２"]
+    assert column(spark, cells, T.cell_number) == [123, -1234, 12.5, 34, None, 500]
+
+
+def test_cell_number_query_reads_every_line(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r.id: r.number for r in plans.QUERIES["n12_cell_number"](spark, folder).collect()}
+    gold = {r.id: r.gold for r in derived(spark, folder, "answers").select("id", "gold").collect()}
+    assert got.keys() == gold.keys()
+    wide = {k: float(g) for k, g in gold.items() if any("０" <= c <= "９" for c in g)}
+    assert wide and all(got[k] == v for k, v in wide.items())
+
+
 def test_numbers_as_text(spark):
     rng = random.Random(2)
     values = [rng.uniform(-1, 1) * 10 ** rng.randint(0, 9) for _ in range(2000)] + [0.35, 0.45, -0.04, 2.5, 1e6]
