@@ -564,6 +564,12 @@ def test_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("page", ['<article class="post comments-open">{}</article><p>Short, end.</p>', '<div id="content" class="has-ads">{}</div>', '<div class="entry related-1"><article>{}</article></div><p>Short, end.</p>', '<article>{}</article><div id="comments"><article class="comment"><p>First, nice one, I say, and more, and more.</p></article></div>'])
+def test_pages_with_firm_words(page):
+    body = "This is the text of the article, long enough to count, with commas, and so on."
+    assert html_text.main_text(f"<html><body>{page.format(f'<p>{body}</p>')}</body></html>") == body
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a", "x"), (1, "u", "<p>a", "x"), (None, None, None, None), (2, None, "<div>" * 2000 + "<p>deep</p>", "x")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
