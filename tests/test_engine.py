@@ -93,6 +93,16 @@ def test_cell_number_reads_full_width_digits(spark):
     assert column(spark, cells, T.cell_number) == [123, -1234, 12.5, 34, None, 500]
 
 
+def test_near_query_has_tolerance_zero(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r.id: r.near for r in plans.QUERIES["n13_near"](spark, folder).collect()}
+    rows = derived(spark, folder, "programs").collect()
+    assert got.keys() == {r.id for r in rows} and any(r.k == 0 for r in rows)
+    for r in rows:
+        d = abs(r.a - r.b * 1000)
+        assert got[r.id] == (d <= 0.5 or d / (r.b * 1000) <= 0.02 * r.k)
+
+
 def test_cell_number_query_reads_every_line(spark):
     folder = "/root/testdata/sf0.001"
     got = {r.id: r.number for r in plans.QUERIES["n12_cell_number"](spark, folder).collect()}
