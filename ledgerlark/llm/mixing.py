@@ -1,121 +1,213 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in the order of a hash, are cut into blocks. Block k of a source of weight w may start at slot
-floor(k / w) and must end by ceil((k + 1) / w); the earliest deadline first among the released blocks gives a sequence in
-which, at every slot, every source is less than one block away from its due. Weights are taken exactly, as whole numbers
-in proportion to them, so this holds against the target itself however long the input is. The schedule is made on the
-driver, one number a block (not a document) in arrays, and joined back. When a source has no more blocks, the weights of
-the others are taken to 1 again and a new phase begins, so no document is left out.
+Each source's documents, in the order of a hash, are cut into blocks. While all sources last, a source of weight w is due
+w * t blocks after t slots; when one ends, the weights of the others are taken to 1 again. Block k of a source may start at
+the slot in which its due passes k and must end by the slot in which it reaches k + 1; the earliest deadline first among the
+released blocks gives a sequence in which, at every slot, every source is less than one block away from its due, and no
+document is left out.
+
+Release slots and deadlines have a closed form in whole numbers, so weights are exact and no block is ever enumerated
+outside of a task. Time is cut into chunks that are scheduled in parallel: a chunk begins from the state that a short run
+before it ends with; where the chunk before it turns out to end differently, it is scheduled again from that state, until
+all states agree. Then the whole is the schedule that a single run from slot 0 gives. The driver sees counts by source and
+the chunks' states, one byte a source, never blocks or documents.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from ledgerlark.llm.common import MOST_BROADCAST, by_value, table
 
-from ledgerlark.llm.common import table
+by_value(__name__)
 
-GRID = 1024
 BLOCK = 16
-#: Ranges of the hash that each source is dealt over for numbering.
-SALTS = 64
-#: Blocks of a source in one row of the schedule.
-CHUNK = 1024
-#: The schedule is broadcast up to this many blocks (16 bytes each), beyond it joined by source and chunk.
-MOST_BROADCAST = 8_000_000
-
-
-def on_grid(weights: dict[str, float], grid: int) -> dict[str, int]:
-    """Whole slots out of ``grid`` for each source, by largest remainder, each at least one."""
-    total = sum(weights.values())
-    grid = max(grid, len(weights))
-    exact = {k: v / total * grid for k, v in weights.items()}
-    slots = {k: max(1, math.floor(v)) for k, v in exact.items()}
-    order = sorted(exact, key=lambda k: (slots[k] - exact[k], k))
-    i = 0
-    while sum(slots.values()) < grid:
-        slots[order[i % len(order)]] += 1
-        i += 1
-    while sum(slots.values()) > grid:
-        k = max(slots, key=lambda k: (slots[k] - exact[k] if slots[k] > 1 else -math.inf, k))
-        slots[k] -= 1
-    return slots
-
-
-def whole(weights: dict[str, float]) -> dict[str, int]:
+#: Documents of a source in one range of the hash, about: ranges are ranked in parallel, their number grows with the source.
+RANGE = 1 << 15
+#: Slots in a chunk of the schedule, at least; with many sources, so many slots a source.
+SLOTS, SLOTS_A_SOURCE = 1 << 17, 64
+
+
+def whole(weights: list[float | Fraction]) -> list[int]:
     """Whole numbers in exactly the proportion of the weights."""
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    least = math.lcm(*(w.denominator for w in exact.values()))
-    return {s: int(w * least) for s, w in exact.items()}
-
-
-def earliest_deadlines(slots: dict[str, int], blocks: dict[str, int]) -> np.ndarray:
-    """The source of each slot, as its number in the sorted names, until one whose turn it is has no block left."""
-    names = sorted(slots)
-    share, left, total = [slots[s] for s in names], [blocks[s] for s in names], sum(slots.values())
-    ready, wait, out, t = [(-(-total // w), i, 0) for i, w in enumerate(share)], [], [], 0
-    heapq.heapify(ready)
-    while True:
-        while wait and wait[0][0] <= t:
-            heapq.heappush(ready, heapq.heappop(wait)[1:])
-        _, i, k = heapq.heappop(ready)
-        if k == left[i]:
-            return np.array(out, np.int32)
-        out.append(i)
-        t += 1
-        heapq.heappush(wait, ((k + 1) * total // share[i], -(-(k + 2) * total // share[i]), i, k + 1))
-
-
-def period(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of one period of whole weights."""
-    names = sorted(slots)
-    return [names[i] for i in earliest_deadlines(slots, slots)]
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], grid: int = GRID) -> list[dict]:
-    """Phases between the ends of sources: slots, first global slot, exact whole weights, first block of each source, order.
-
-    ``order`` has each slot's source as its number in the sorted names of ``slots``. ``grid`` has no effect: nothing is rounded.
+    exact = [Fraction(w) for w in weights]
+    least = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    return [int(w * least) for w in exact]
+
+
+class Plan:
+    """Windows of all blocks of sources 0, 1, ... with whole weights ``a`` and ``b`` blocks each, none of them 0.
+
+    All sources advance at rates in proportion to their weights, so in a time v that runs faster when a source has ended
+    source s is due min(a[s] * v, b[s]) blocks, and slot t is the sum of that over all sources: a line between two ends.
     """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    share = whole({s: weights[s] for s in left})
-    used, at, out = dict.fromkeys(left, 0), 0, []
-    while left:
-        names = sorted(left)
-        order = earliest_deadlines({s: share[s] for s in names}, left)
-        out.append({"at": at, "length": len(order), "slots": {s: share[s] for s in names}, "first": {s: used[s] for s in names}, "order": order})
-        at += len(order)
-        for s, n in zip(names, np.bincount(order, minlength=len(names)).tolist(), strict=True):
-            left[s] -= n
-            used[s] += n
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def schedule(counts: dict[str, int], weights: dict[str, float], block: int) -> pa.Table:
-    """Chunks of each source's blocks: their slots, and the positions of their first documents."""
-    names = sorted(counts)
-    number = {s: i for i, s in enumerate(names)}
-    blocks = {s: -(-n // block) for s, n in counts.items()}
-    parts = [np.array([number[s] for s in sorted(ph["slots"])], np.int32)[ph["order"]] for ph in phases(blocks, weights)]
-    source = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    slot = np.argsort(source, kind="stable")  # blocks of a source come in order
-    ends = np.cumsum([blocks[s] for s in names], dtype=np.int64)
-    size = np.full(len(slot), block, np.int64)
-    size[slot[ends - 1]] = [counts[s] - (blocks[s] - 1) * block for s in names]  # all blocks are full but the last of each source
-    start = (np.cumsum(size) - size)[slot]
-    firsts = [(s, c, e - blocks[s] + c * CHUNK, min(e, e - blocks[s] + (c + 1) * CHUNK)) for s, e in zip(names, ends.tolist(), strict=True) for c in range(-(-blocks[s] // CHUNK))]
-    cuts = pa.array([0, *(hi for *_, hi in firsts)], pa.int32())
-    return pa.table({
-        "mix__ps": pa.array([s for s, *_ in firsts], pa.string()), "mix__c": pa.array([c for _, c, *_ in firsts], pa.int64()),
-        "mix__slots": pa.ListArray.from_arrays(cuts, pa.array(slot, pa.int64())), "mix__starts": pa.ListArray.from_arrays(cuts, pa.array(start, pa.int64())),
-    })
+
+    def __init__(self, a: list[int], b: list[int]):
+        self.a, self.b, self.total = a, b, sum(b)
+        order = sorted(range(len(a)), key=lambda s: Fraction(b[s], a[s]))
+        self.num, self.den = [b[s] for s in order], [a[s] for s in order]  # ends of sources in time v
+        self.at, self.rate = [], []  # slot = at + rate * v up to each end
+        done, rate = 0, sum(a)
+        for s in order:
+            self.at.append(done)
+            self.rate.append(rate)
+            done, rate = done + b[s], rate - a[s]
+
+    def line(self, s: int, k: int) -> int:
+        """The first line that holds where source ``s`` is due ``k`` blocks."""
+        lo, hi, a = 0, len(self.num) - 1, self.a[s]
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if k * self.den[mid] <= self.num[mid] * a:
+                hi = mid
+            else:
+                lo = mid + 1
+        return lo
+
+    def slot(self, s: int, k: int) -> Fraction:
+        """The time at which source ``s`` is due ``k`` blocks: block k is released in its slot, block k - 1 due by its end."""
+        i = self.line(s, k)
+        return self.at[i] + Fraction(self.rate[i] * k, self.a[s])
+
+    def due(self, t: int) -> list[Fraction]:
+        """What every source is due after ``t`` slots."""
+        lo, hi = 0, len(self.num) - 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if (t - self.at[mid]) * self.den[mid] <= self.rate[mid] * self.num[mid]:
+                hi = mid
+            else:
+                lo = mid + 1
+        v = Fraction(t - self.at[lo], self.rate[lo])
+        return [min(a * v, Fraction(b)) for a, b in zip(self.a, self.b, strict=True)]
+
+    def guess(self, t: int) -> list[int]:
+        """Blocks done after ``t`` slots, about: what is due as a whole, and the earliest deadlines among those begun."""
+        due = self.due(t)
+        done = [math.floor(d) for d in due]
+        begun = sorted((self.slot(s, k + 1), s) for s, (k, d) in enumerate(zip(done, due, strict=True)) if d > k)
+        for _, s in begun[: t - sum(done)]:
+            done[s] += 1
+        return done
+
+    def run(self, first: int, end: int, done: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Source and block of every slot from ``first`` to before ``end``, from blocks ``done`` before, and those done then."""
+        a, b, k = self.a, self.b, list(done)
+        ready, wait, line = [], [], [0] * len(k)
+        for s, n in enumerate(k):
+            if n < b[s]:
+                line[s] = i = self.line(s, n)
+                release = self.at[i] + self.rate[i] * n // a[s]
+                (wait if release > first else ready).append((release, s))
+        heapq.heapify(wait)
+
+        def deadline(s: int) -> tuple[int, int]:
+            """Deadline of the source's next block, and the release slot of the one after it."""
+            n, i = k[s] + 1, line[s]
+            while n * self.den[i] > self.num[i] * a[s]:
+                i += 1
+            line[s] = i
+            x = self.rate[i] * n
+            return self.at[i] - (-x // a[s]), self.at[i] + x // a[s]
+
+        ready = [(*deadline(s)[:1], s, deadline(s)[1]) for _, s in ready]
+        heapq.heapify(ready)
+        source, block = np.empty(end - first, np.int32), np.empty(end - first, np.int64)
+        for t in range(first, end):
+            while wait and (wait[0][0] <= t or not ready):
+                _, s = heapq.heappop(wait)
+                d, after = deadline(s)
+                heapq.heappush(ready, (d, s, after))
+            _, s, after = heapq.heappop(ready)
+            source[t - first], block[t - first] = s, k[s]
+            k[s] += 1
+            if k[s] < b[s]:
+                heapq.heappush(wait, (after, s))
+        return source, block, k
+
+    def state(self, t: int, done: list[int]) -> bytes:
+        """Blocks done after ``t`` slots against the whole ones due: a byte a source."""
+        return np.array([n - math.floor(d) for n, d in zip(done, self.due(t), strict=True)], np.int8).tobytes()
+
+    def done(self, t: int, state: bytes) -> list[int]:
+        return [math.floor(d) + int(x) for d, x in zip(self.due(t), np.frombuffer(state, np.int8), strict=True)]
+
+
+def state_batches(plan: Plan, size: int, before: int):
+    """Runs chunks from their states (null: from a run of ``before`` slots) and tells their first and last states and ends of sources."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for c, state in zip(batch.column("chunk").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                first, end = c * size, min((c + 1) * size, plan.total)
+                if state is None:
+                    early = max(0, first - before)
+                    done = plan.run(early, first, plan.guess(early))[2]
+                else:
+                    done = plan.done(first, state)
+                source, block, after = plan.run(first, end, done)
+                last = np.flatnonzero(block == np.array(plan.b, np.int64)[source] - 1)
+                rows.append((c, plan.state(first, done), plan.state(end, after), source[last].tolist(), (last + first).tolist()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], ["chunk", "first", "last", "sources", "slots"])
+
+    return run
+
+
+def slot_batches(plan: Plan, size: int, block: int, ends: np.ndarray, short: np.ndarray):
+    """Source, block, slot and first position of every block; ``short[i]`` documents fewer than ``block`` a slot after slot ``ends[i]``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for c, state in zip(batch.column("chunk").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                first, end = c * size, min((c + 1) * size, plan.total)
+                source, number, _ = plan.run(first, end, plan.done(first, state))
+                slot = np.arange(first, end)
+                start = slot * block - np.concatenate([[0], np.cumsum(short)])[np.searchsorted(ends, slot, side="left")]
+                for at in range(0, len(slot), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(source[part]), pa.array(number[part]), pa.array(slot[part]), pa.array(start[part])], ["mix__n", "mix__k", "mix__slot", "mix__start"])
+
+    return run
+
+
+def chunk_states(spark, plan: Plan, size: int, before: int) -> tuple[list[bytes], dict[int, int]]:
+    """The state that every chunk begins with, and the slot in which every source ends."""
+    n = -(-plan.total // size)
+    states: list[bytes | None] = [bytes(len(plan.a)) if c == 0 else None for c in range(n)]
+    found, todo = {}, list(range(n))
+    while todo:
+        rows = spark.createDataFrame([(c, states[c]) for c in todo], "chunk bigint, state binary")
+        rows = rows.repartition(len(todo), "chunk") if len(todo) > 1 else rows
+        for r in rows.mapInArrow(state_batches(plan, size, before), "chunk bigint, first binary, last binary, sources array<int>, slots array<bigint>").collect():
+            found[r["chunk"]] = r
+            states[r["chunk"]] = bytes(r["first"])
+        todo = [c for c in range(1, n) if bytes(found[c - 1]["last"]) != states[c]]
+        for c in todo:
+            states[c] = bytes(found[c - 1]["last"])
+    return states, {s: t for r in found.values() for s, t in zip(r["sources"], r["slots"], strict=True)}
+
+
+def schedule(spark, counts: list[int], weights: list[float | Fraction], block: int, size: int | None = None, before: int | None = None) -> DataFrame:
+    """``mix__n, mix__k, mix__slot, mix__start``: for every block of every source (by number) its slot and its first document's position."""
+    blocks = [-(-n // block) for n in counts]
+    plan = Plan(whole(weights), blocks)
+    size = size or max(SLOTS, SLOTS_A_SOURCE * len(counts))
+    states, ends = chunk_states(spark, plan, size, before if before is not None else 256 + 8 * len(counts))
+    short = sorted((t, blocks[s] * block - counts[s]) for s, t in ends.items() if blocks[s] * block != counts[s])
+    rows = spark.createDataFrame(list(enumerate(states)), "chunk bigint, state binary")
+    rows = rows.repartition(len(states), "chunk") if len(states) > 1 else rows
+    return rows.mapInArrow(slot_batches(plan, size, block, np.array([t for t, _ in short], np.int64), np.array([n for _, n in short], np.int64)), "mix__n int, mix__k bigint, mix__slot bigint, mix__start bigint")
 
 
 def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -124,58 +216,63 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: n**power / total for s, n in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, grid: int = GRID, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``block_no`` (within its source), ``slot`` (of its block) and ``position`` (from 0, without gaps).
-
-    ``weights`` are positive numbers by source (null: the source ``""``); sources that they don't name get the smallest
-    of them; default: ``tempered``. Within a source the order is that of a hash of the id (ties by the id; rows alike in
-    id are in any order). Every row gets one position, rows with null ids too. Columns named like the new ones are
-    replaced. Weights are exact; ``grid`` has no effect. An empty table gives no rows. ``docs`` must give the same rows each time it is read.
-    """
+def placed(docs: DataFrame, weights: dict[str, float] | None, block: int, id_col: str, source_col: str, size: int | None, before: int | None) -> DataFrame:
+    """Every row as the struct ``own``, with ``block_no, slot, position``."""
     spark = docs.sparkSession
-    h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    rows = docs.drop("block_no", "slot", "position").withColumn("mix__src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("mix__h", h).withColumn("mix__salt", F.floor(F.col("mix__h") / ((1 << 30) // SALTS)).cast("int"))
-    cells = rows.groupBy("mix__src", "mix__salt").count().collect()  # sources x SALTS rows
-    counts: dict[str, int] = {}
-    before = []
-    for src, salt, n in sorted(tuple(c) for c in cells):
-        before.append((src, salt, counts.get(src, 0)))
-        counts[src] = counts.get(src, 0) + n
+    all_ = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("src"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 40)).alias("h"), F.xxhash64(*all_).alias("tie"))
+    counts = dict(sorted(tuple(r) for r in rows.groupBy("src").count().collect()))  # one row a source
+    if not counts:
+        return rows.select("own", *(F.lit(None).cast("bigint").alias(c) for c in ("block_no", "slot", "position")))
     if weights is None:
-        weights = tempered(counts) if counts else {}
+        weights = tempered(counts)
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights are positive")
     low = min(weights.values(), default=1.0)
-    weights = {s: weights.get(s, low) for s in counts}
-    cell = F.broadcast(spark.createDataFrame(before or [("", 0, 0)], "mix__s string, mix__a int, mix__before bigint"))
-    chunks = spark.createDataFrame(schedule(counts, weights, block), "mix__ps string, mix__c bigint, mix__slots array<bigint>, mix__starts array<bigint>")
-    chunks = F.broadcast(chunks) if sum(-(-n // block) for n in counts.values()) <= MOST_BROADCAST else chunks
-    rank = F.row_number().over(Window.partitionBy("mix__src", "mix__salt").orderBy("mix__h", id_col)) - 1
-    out = rows.withColumn("mix__r", rank)
-    out = out.join(cell, (F.col("mix__src") == F.col("mix__s")) & (F.col("mix__salt") == F.col("mix__a"))).withColumn("mix__r", F.col("mix__r") + F.col("mix__before"))
-    out = out.withColumn("block_no", F.floor(F.col("mix__r") / block).cast("bigint"))
-    out = out.withColumn("mix__bc", F.floor(F.col("block_no") / CHUNK)).join(chunks, (F.col("mix__src") == F.col("mix__ps")) & (F.col("mix__bc") == F.col("mix__c")))
-    k = F.pmod(F.col("block_no"), F.lit(CHUNK)).cast("int")
-    out = out.withColumn("slot", F.col("mix__slots")[k])
-    position = F.col("mix__starts")[k] + F.pmod(F.col("mix__r"), F.lit(block))
-    names = [c for c in docs.columns if c not in ("block_no", "slot", "position")]
-    return out.select(*names, "block_no", "slot", position.alias("position"))
-
-
-def in_mix_order(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, in partitions that follow each other in the mix, each in its order."""
-    stored = docs
-    mixed = mix_sources(stored, **how)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*docs.columns)
+    names = [(s, k, -(-n // RANGE)) for k, (s, n) in enumerate(counts.items())]
+    named = spark.createDataFrame(names, "mix__src string, mix__s int, mix__ranges bigint")
+    named = F.broadcast(named) if len(names) <= MOST_BROADCAST else named
+    rows = rows.join(named, F.col("src") == F.col("mix__src")).withColumn("mix__r", F.shiftright(F.col("h") * F.col("mix__ranges"), 40))
+    cells, seen = [], dict.fromkeys(range(len(names)), 0)  # a row for about RANGE documents
+    for s, r, n in sorted(tuple(c) for c in rows.groupBy("mix__s", "mix__r").count().collect()):
+        cells.append((s, r, seen[s]))
+        seen[s] += n
+    cell = spark.createDataFrame(cells, "mix__cs int, mix__cr bigint, mix__before bigint")
+    cell = F.broadcast(cell) if len(cells) <= MOST_BROADCAST else cell
+    rank = F.row_number().over(Window.partitionBy("mix__s", "mix__r").orderBy("h", "id", "tie")) - 1
+    rows = rows.withColumn("mix__rank", rank).join(cell, (F.col("mix__s") == F.col("mix__cs")) & (F.col("mix__r") == F.col("mix__cr"))).withColumn("mix__rank", F.col("mix__rank") + F.col("mix__before"))
+    rows = rows.withColumn("block_no", F.floor(F.col("mix__rank") / block).cast("bigint"))
+    slots = schedule(spark, list(counts.values()), [weights.get(s, low) for s in counts], block, size, before)
+    few = sum(-(-n // block) for n in counts.values()) <= MOST_BROADCAST
+    slots = F.broadcast(slots) if few else slots.hint("merge")
+    out = rows.join(slots, (F.col("mix__s") == F.col("mix__n")) & (F.col("block_no") == F.col("mix__k")))
+    return out.select("own", "block_no", F.col("mix__slot").alias("slot"), (F.col("mix__start") + F.pmod(F.col("mix__rank"), F.lit(block))).alias("position"))
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", size: int | None = None, before: int | None = None) -> DataFrame:
+    """``docs`` with ``block_no`` (within its source), ``slot`` (of its block) and ``position`` (from 0, without gaps).
+
+    ``weights`` are positive numbers by source (null: the source ``""``); sources that they don't name get the smallest
+    of them; default: ``tempered``. Weights are exact. Within a source the order is that of a hash of the id (ties by the
+    id and a hash of the row; rows alike in all columns are interchangeable). Every row gets one position, rows with null
+    ids and repeated rows too. Columns named like the new ones are replaced. An empty table gives no rows. ``docs`` must
+    give the same rows each time it is read. ``size`` and ``before`` are the slots of a chunk and of the run before it;
+    they don't change the result.
+    """
+    out = placed(docs, weights, block, id_col, source_col, size, before)
+    return out.select(*(F.col(f"own.`{c}`") for c in docs.columns if c not in ("block_no", "slot", "position")), "block_no", "slot", "position")
+
 
+def in_mix_order(docs: DataFrame, partitions: int | None = None, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in partitions that follow each other in the mix, each in its order.
 
-def due(weights: dict[str, int], slots: int) -> dict[str, Fraction]:
-    """What each source is due after so many slots."""
-    total = sum(weights.values())
-    return {s: Fraction(w * slots, total) for s, w in weights.items()}
+    Nulls, repeated rows and empty tables as in ``mix_sources``; columns named ``slot`` or ``position`` stay what they are.
+    """
+    mixed = placed(docs, weights, block, id_col, source_col, None, None)
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*(F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """doc_id, source, block_no, slot, position of every document under tempered weights."""
+    """doc_id, source, block_no, slot, position of every document under tempered weights; an empty table gives no rows."""
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -3,6 +3,7 @@ empty tables and clashing columns; results against brute force."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -355,37 +356,94 @@ def test_other_baseline_images():
 # mixing
 
 
-def test_period_is_pfair():
+def brute_edf(plan):
+    """Earliest deadline first over all blocks, slot by slot, from windows by exact fractions."""
+    done, out = [0] * len(plan.a), []
+    for t in range(plan.total):
+        open_ = [(math.ceil(plan.slot(s, k + 1)), s) for s, k in enumerate(done) if k < plan.b[s] and math.floor(plan.slot(s, k)) <= t]
+        deadline, s = min(open_)
+        assert deadline > t
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+def test_schedule_is_pfair():
     rng = random.Random(3)
-    for _ in range(100):
-        slots = mixing.on_grid({f"s{k}": rng.random() ** 3 + 1e-6 for k in range(rng.randint(1, 12))}, rng.choice([16, 64, 512]))
-        seen = dict.fromkeys(slots, 0)
-        for t, s in enumerate(mixing.period(slots), 1):
+    for _ in range(40):
+        n = rng.randint(1, 9)
+        weights = [rng.choice([rng.random() ** 3 + 1e-5, 0.25, Fraction(1, 1000)]) for _ in range(n)]
+        plan = mixing.Plan(mixing.whole(weights), [rng.randint(1, 60) for _ in range(n)])
+        source, block, done = plan.run(0, plan.total, [0] * n)
+        order = list(zip(source.tolist(), block.tolist(), strict=True))
+        assert order == brute_edf(plan) and done == plan.b
+        seen, total = [0] * n, sum(map(Fraction, weights))
+        first_end = min(Fraction(b) * total / Fraction(w) for b, w in zip(plan.b, weights, strict=True))
+        for t, (s, _) in enumerate(order, 1):
             seen[s] += 1
-            assert all(abs(seen[x] - mixing.due(slots, t)[x]) < 1 for x in slots)
-        assert seen == slots
+            assert all(abs(x - d) < 1 for x, d in zip(seen, plan.due(t), strict=True))
+            if t <= first_end:  # until a source ends, what is due is the weight itself
+                assert plan.due(t) == [Fraction(w) * t / total for w in weights]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 20, [0.65] + [0.35 / 700] * 700, [1e-5, 1 - 1e-5]])
+def test_a_later_chunk_holds_the_weights(weights):
+    total = sum(map(Fraction, weights))
+    plan = mixing.Plan(mixing.whole(weights), [1_000_000_000] * len(weights))
+    first, n = 15_000_000 // 16, 20_000
+    early = first - 256 - 8 * len(weights)
+    done = plan.run(early, first, plan.guess(early))[2]
+    source, block, _ = plan.run(first, first + n, done)
+    for t, (s, k) in enumerate(zip(source.tolist(), block.tolist(), strict=True), first):
+        w = Fraction(weights[s]) / total
+        assert k // w <= t < -(-(k + 1) // w)
+
+
+@pytest.mark.parametrize("before", [0, 50])
+def test_chunks_give_the_single_run(spark, before):
+    rng = random.Random(17)
+    counts = [rng.randint(1, 900) for _ in range(9)]
+    weights = [n**0.5 for n in counts]
+    key = lambda r: tuple(r)
+    one = sorted(map(key, mixing.schedule(spark, counts, weights, 4, 1 << 17).collect()))
+    many = sorted(map(key, mixing.schedule(spark, counts, weights, 4, 61, before).collect()))
+    assert one == many and len(one) == sum(-(-n // 4) for n in counts)
+
+
+def test_wrong_guesses_are_scheduled_again(spark):
+    counts, weights = [400, 300, 200, 77], [0.4, 0.3, 0.2, 0.1]
+    want = sorted(map(tuple, mixing.schedule(spark, counts, weights, 1, 1 << 17).collect()))
+    plan = mixing.Plan(mixing.whole(weights), counts)
+    hold = mixing.chunk_states(spark, plan, 50, 0)
+    wrong = mixing.Plan(plan.a, plan.b)
+    wrong.guess = lambda t: [plan.guess(t)[0] - 1, plan.guess(t)[1] + 1, *plan.guess(t)[2:]]
+    assert mixing.chunk_states(spark, wrong, 50, 0) == hold
+    assert sorted(map(tuple, mixing.schedule(spark, counts, weights, 1, 50, 0).collect())) == want
 
 
 @pytest.mark.parametrize("rows", [ODD, [], [(k, "t", "en", f"s{min(k % 7, 3)}") for k in range(400)]])
 def test_mix(spark, rows):
-    out = mixing.mix_sources(frame(spark, rows, True), block=4, grid=32).collect()
+    out = mixing.mix_sources(frame(spark, rows, True), block=4).collect()
     assert sorted(r.position for r in out) == list(range(len(rows)))
     assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, *_ in rows)
     by_slot = {}
     for r in out:
         by_slot.setdefault(r.slot, set()).add(r.source or "")
     assert all(len(v) == 1 for v in by_slot.values())
+    assert [r.slot for r in sorted(out, key=lambda r: r.position)] == sorted(r.slot for r in out)
     if len(rows) == 400:
-        counts = {s: sum(r[3] == s for r in rows) for s in {r[3] for r in rows}}
-        weights = mixing.tempered(counts)
-        plan = mixing.phases({s: -(-n // 4) for s, n in counts.items()}, weights, 32)
-        order = [s.pop() for _, s in sorted(by_slot.items())]
-        for ph in plan:
-            seen, total = dict.fromkeys(ph["slots"], 0), sum(ph["slots"].values())
-            for t, s in enumerate(order[ph["at"] : ph["at"] + ph["length"]], 1):
-                seen[s] += 1
-                assert all(abs(seen[x] - Fraction(ph["slots"][x] * t, total)) < 1 for x in seen)
-        assert sum(ph["length"] for ph in plan) == len(order)
+        counts = {s: sum(r[3] == s for r in rows) for s in sorted({r[3] for r in rows})}
+        plan = mixing.Plan(mixing.whole(list(mixing.tempered(counts).values())), [-(-n // 4) for n in counts.values()])
+        seen = dict.fromkeys(counts, 0)
+        for t, (_, own) in enumerate(sorted(by_slot.items()), 1):
+            seen[own.pop()] += 1
+            assert all(abs(x - d) < 1 for x, d in zip(seen.values(), plan.due(t), strict=True))
+
+
+def test_mix_order_keeps_all_columns(spark):
+    rows = frame(spark, [(k, f"t{k}", "en", f"s{k % 3}") for k in range(100)]).selectExpr("*", "doc_id + 1000 AS position", "doc_id + 2000 AS slot", "doc_id + 3000 AS block_no", "doc_id + 4000 AS own", "doc_id + 5000 AS src")
+    got = mixing.in_mix_order(rows)
+    assert got.columns == rows.columns and sorted(got.collect()) == sorted(rows.collect())
 
 
 @pytest.mark.parametrize(("sources", "each", "hot", "until"), [(20, 250, 250, 4980), (1200, 2, 1500, 2399)])
