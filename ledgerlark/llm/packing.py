@@ -1,34 +1,46 @@
 """Best-fit packing of documents into sequences of bounded length, in bulk-synchronous supersteps.
 
-Pieces and gaps are held in order of size. Each superstep takes the largest size that is left and sweeps for its
-successor: the smallest gap that holds it. All pieces of that size compete for the gaps of that size; their rank decides
-which gap each gets, the gaps shrink, and the step repeats, opening sequences where no gap is left. Since lengths are whole
-numbers up to the capacity, the state of the sweeps is a histogram of lengths and runs of equal gaps: its size is bounded
-by the capacity, whatever the number of documents, and no superstep needs a shuffle of documents. Documents take part
-twice, both times distributed: they are counted and ranked within their length (ranges of a hash, so one frequent length
-is spread over many tasks), and each finds its place by an interval join of its rank with the runs.
+Pieces and gaps (open sequences) are range-sorted together by size. In a superstep every range sweeps for successors: its
+pieces, largest first, take the smallest gaps of the range that hold them, and gaps shrink. What a range can't match is left:
+pieces larger than all of its left gaps. Ranks then resolve the conflicts between ranges: the left gaps of a range go to the
+largest left pieces of the ranges below that no nearer gap took, by rank, as many to a gap as surely fit. Gaps are updated, all
+that is left is sorted again, and the step repeats. Where gaps no longer take much, as many sequences are opened as the
+pieces left need at least. Supersteps end when what is left fits one range, which packs it by itself.
+
+The driver sees one line a range and superstep (how many are left, the largest piece, the smallest gap), never pieces,
+gaps or lengths. Pieces that fill a sequence alone take no part.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import Scratch, small_side, table
+from ledgerlark.llm.common import Scratch, by_value, small_side, table
 from ledgerlark.llm.tokens import token_pieces
 
+by_value(__name__)
+
 CAPACITY = 2048
-#: Ranges that each length is dealt over for ranking.
-SALTS = 64
-#: Runs are broadcast up to this many (about 50 bytes each), beyond it joined by their length.
-MOST_BROADCAST = 200_000
+#: Pieces and gaps in one range, about.
+RANGE = 1 << 17
+#: Ranges of the stored order in ``pack_in_order`` for numbering.
+ORDER_RANGE = 1 << 15
 
 
-def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs ``(length, first rank, pieces, pieces a sequence, first sequence, offset)`` of best fit in decreasing order."""
-    runs, gaps, sizes, fresh = [], {}, [], 0
+def supersteps(counts: dict[int, int], capacity: int, open_gaps: list[tuple[int, int, int]] = (), opens: bool = True) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs ``(length, first rank, pieces, pieces a sequence, first sequence, offset)`` of best fit in decreasing order.
+
+    ``open_gaps`` are runs ``(gap, first sequence, sequences)`` numbered from 0; with ``opens`` further sequences are opened
+    behind them, else pieces that no gap holds are left out.
+    """
+    runs, gaps, sizes, fresh = [], {}, [], sum(n for _, _, n in open_gaps)
 
     def open_gap(gap: int, first: int, many: int) -> None:
         if gap > 0 and many > 0:
@@ -37,6 +49,8 @@ def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
                 insort(sizes, gap)
             gaps[gap].append((first, many))
 
+    for run in open_gaps:
+        open_gap(*run)
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
         while left:
@@ -46,9 +60,11 @@ def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
                 first, many = gaps[gap].pop()
                 if not gaps[gap]:
                     del gaps[gap], sizes[at]
-            else:
+            elif opens:
                 gap, first, many = capacity, fresh, -(-left // (capacity // length))
                 fresh += many
+            else:
+                break
             each = gap // length
             full = min(many, left // each)
             if full:
@@ -63,52 +79,174 @@ def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return runs
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece"), salt: Column | None = None) -> DataFrame:
+#: What a sweep says of a row: a piece in its place, a piece that is left, a gap that no piece took, a gap that shrank.
+PLACED, LEFT, UNTOUCHED, SHRUNK = range(4)
+SWEPT = "part int, state int, size int, num bigint, at bigint, rank bigint, seq bigint, offset int"
+
+
+def sweep_batches(capacity: int, fresh: int | None):
+    """Best fit inside a range, from rows sorted by size, pieces (kind 0) before gaps (kind 1), later places first.
+
+    With ``fresh`` sequences are opened from that number on and no piece is left. ``rank`` counts left pieces from the largest
+    and untouched gaps from the smallest.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in it if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)  # one range
+        kind, size, num, at = (rows.column(c).to_numpy() for c in ("kind", "size", "num", "at"))
+        pieces, gaps = np.flatnonzero(kind == 0)[::-1], np.flatnonzero(kind == 1)
+        own, first, many = (x.tolist() for x in np.unique(-size[pieces], return_index=True, return_counts=True))
+        begin = {-s: f for s, f in zip(own, first, strict=True)}
+        runs = supersteps({-s: n for s, n in zip(own, many, strict=True)}, capacity, [(s, f, n) for s, f, n in zip(*(x.tolist() for x in np.unique(size[gaps], return_index=True, return_counts=True)), strict=True)], fresh is not None)
+        where, offset = np.full(len(pieces), -1, np.int64), np.zeros(len(pieces), np.int64)
+        for length, rank, n, each, to, base in runs:
+            k = np.arange(n)
+            where[begin[length] + rank + k] = to + k // each
+            offset[begin[length] + rank + k] = base + k % each * length
+        taken = np.zeros(len(gaps) + int(max(where.max(initial=-1) + 1 - len(gaps), 0)), np.int64)
+        put = where >= 0
+        np.add.at(taken, where[put], size[pieces][put])
+        sequence = np.concatenate([num[gaps], (fresh or 0) + np.arange(len(taken) - len(gaps))])
+        untouched = taken[: len(gaps)] == 0
+        cols = {
+            "state": np.concatenate([np.where(put, PLACED, LEFT), np.where(untouched, UNTOUCHED, SHRUNK)]), "size": np.concatenate([size[pieces], size[gaps] - taken[: len(gaps)]]), "num": np.concatenate([num[pieces], num[gaps]]), "at": np.concatenate([at[pieces], at[gaps]]),
+            "rank": np.concatenate([np.cumsum(~put) - 1, np.cumsum(untouched) - 1]), "seq": np.concatenate([np.where(put, sequence[where] if len(sequence) else -1, -1), num[gaps]]), "offset": np.concatenate([offset, capacity - size[gaps]]),
+        }
+        part = TaskContext.get().partitionId()
+        kinds = {"state": pa.int32(), "size": pa.int32(), "offset": pa.int32()}
+        for a in range(0, len(kind), 1 << 16):
+            cut = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind[cut]), part), pa.int32()), *(pa.array(v[cut], kinds.get(c, pa.int64())) for c, v in cols.items())], ["part", *cols])
+
+    return run
+
+
+def match_ranges(left: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which left pieces go to which untouched gaps, from ``(range, left pieces, largest, untouched gaps, smallest)`` in order of size.
+
+    Runs ``(range of the pieces, first rank, pieces, range of the gaps, first rank, pieces a gap)``. Gaps take from the
+    nearest range below that has pieces left, so a gap's pieces are the largest that no smaller gap took.
+    """
+    stack: list[list[int]] = []  # range, first rank, pieces, largest
+    out = []
+    for part, pieces, largest, gaps, smallest in sorted(left):
+        at = 0
+        while at < gaps and stack:
+            below, rank, n, most = stack[-1]
+            each = max(1, smallest // most)
+            used = min(gaps - at, -(-n // each))
+            take = min(n, used * each)
+            out.append((below, rank, take, part, at, each))
+            at += used
+            if take == n:
+                stack.pop()
+            else:
+                stack[-1][1:3] = [rank + take, n - take]
+        if pieces:
+            stack.append([part, 0, pieces, largest])
+    return out
+
+
+def places(items: DataFrame, store: Scratch, capacity: int, rows_a_range: int) -> DataFrame:
+    """``num, seq, offset`` of every piece of ``items (num, size, at)``, all shorter than ``capacity``."""
+    spark = items.sparkSession
+
+    def state(items: DataFrame):
+        return items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("volume"), F.count_if(2 * F.col("size") > capacity).alias("large"), F.min("size").alias("least")).first()
+
+    now = state(items)
+    found, fresh, gaps, n_gaps, opens = [], 0, None, 0, True
+    while now["n"]:
+        rows = items.select(F.lit(0).alias("kind"), "size", "num", "at")
+        if gaps is not None:
+            rows = rows.unionByName(gaps.where(F.col("size") >= now["least"]))
+        if now["n"] + n_gaps <= rows_a_range:
+            last = rows.coalesce(1).sortWithinPartitions("size", "kind", F.desc("at"), "num").mapInArrow(sweep_batches(capacity, fresh), SWEPT)
+            found.append(last.where(F.col("state") == PLACED).select("num", "seq", "offset"))
+            break
+        if opens:
+            many = max(-(-now["volume"] // capacity), now["large"])
+            rows = rows.unionByName(spark.range(fresh, fresh + many).select(F.lit(1).alias("kind"), F.lit(capacity).alias("size"), F.col("id").alias("num"), F.col("id").alias("at")))
+            fresh, n_gaps = fresh + many, n_gaps + many
+        ranges = -(-(now["n"] + n_gaps) // rows_a_range)
+        dealt = rows.repartitionByRange(ranges, "size", "kind", F.desc("at"), "num").sortWithinPartitions("size", "kind", F.desc("at"), "num")
+        swept = store.put(dealt.mapInArrow(sweep_batches(capacity, None), SWEPT))
+        is_left, is_gap = F.col("state") == LEFT, F.col("state") == UNTOUCHED
+        lines = swept.groupBy("part").agg(F.count_if(is_left), F.max(F.when(is_left, F.col("size"))), F.count_if(is_gap), F.min(F.when(is_gap, F.col("size")))).collect()  # a line a range
+        runs = match_ranges([tuple(x or 0 for x in r) for r in lines]) or [(-1, 0, 0, -1, 0, 1)]
+        run = F.broadcast(spark.createDataFrame(runs, "below int, piece_rank bigint, pieces bigint, above int, gap_rank bigint, each int"))  # two lines a range at most
+        to = F.col("gap_rank") + F.floor((F.col("rank") - F.col("piece_rank")) / F.col("each")).cast("bigint")
+        pieces = swept.where(is_left).join(run, (F.col("part") == F.col("below")) & (F.col("rank") >= F.col("piece_rank")) & (F.col("rank") < F.col("piece_rank") + F.col("pieces")), "left")
+        pieces = pieces.select("num", "size", "at", F.col("rank").alias("piece_rank"), "above", F.when(F.col("above").isNotNull(), to).alias("to"))
+        holds = swept.where(is_gap).select(F.col("part").alias("above"), F.col("rank").alias("to"), F.col("num").alias("seq"), F.col("size").alias("gap"))
+        own = Window.partitionBy("above", "to").orderBy("piece_rank").rowsBetween(Window.unboundedPreceding, -1)  # `capacity` pieces at most
+        matched = pieces.where("above IS NOT NULL").join(holds, ["above", "to"]).withColumn("before", F.coalesce(F.sum("size").over(own), F.lit(0)))
+        matched = store.put(matched.select("num", "size", "seq", "gap", (capacity - F.col("gap") + F.col("before")).cast("int").alias("offset")))
+        found += [swept.where(F.col("state") == PLACED).select("num", "seq", "offset"), matched.select("num", "seq", "offset")]
+        items = pieces.where("above IS NULL").select("num", "size", "at")
+        shrunk = matched.groupBy("seq").agg((F.min("gap") - F.sum("size")).cast("int").alias("size")).select("size", F.col("seq").alias("num"))
+        idle = swept.where(is_gap).select("size", "num").join(matched.select(F.col("seq").alias("num")).distinct(), "num", "left_anti")
+        gaps = shrunk.unionByName(swept.where(F.col("state") == SHRUNK).select("size", "num")).unionByName(idle.select("size", "num")).select(F.lit(1).alias("kind"), "size", "num", F.col("num").alias("at"))
+        items, gaps = store.put(items), store.put(gaps.where("size > 0"))
+        before = now["n"]
+        now = state(items)
+        n_gaps = gaps.where(F.col("size") >= (now["least"] or 0)).count()
+        opens = before - now["n"] < before / 8
+    out = spark.createDataFrame([], "num bigint, seq bigint, offset int")
+    for part in found:
+        out = out.unionByName(part)
+    return out
+
+
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece"), order: Column | None = None, rows_a_range: int = RANGE) -> DataFrame:
     """``pieces`` (any columns, among them ``length``) with ``sequence_id`` and ``offset``.
 
     Every row is placed once, repeated rows too (they are alike, so either takes either place). Lengths lie between 1 and
-    ``capacity``; others, and null ones, raise an error. Nulls in the key are a key like any other. ``pieces`` must give
-    the same rows each time it is read: pass a stored table. No rows in, no rows out. Pieces of equal length take places
-    in the order of ``salt`` and then the key; ``salt`` is a whole number from 0, by default a hash of the key.
+    ``capacity``; others, and null ones, raise an error. Nulls in the key are a key like any other. No rows in, no rows
+    out. Pieces of equal length are ranked by ``order``, a whole number, by default a hash of the key. Columns named
+    ``sequence_id`` or ``offset`` are replaced. ``rows_a_range`` is how many rows a task sorts; it changes which of many
+    equally good packings comes out.
     """
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("pack__salt", (F.pmod(F.xxhash64(*key), F.lit(SALTS)) if salt is None else salt).cast("int"))
-    cells = salted.groupBy("length", "pack__salt").count().collect()  # capacity x SALTS rows at most
-    counts: dict[int, int] = {}
-    before: list[tuple[int, int, int]] = []
-    for length, salt, n in sorted(tuple(c) for c in cells):
-        if length is None or not 1 <= length <= capacity:
-            raise ValueError(f"a piece of length {length} fits no sequence of {capacity}")
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    runs = supersteps(counts, capacity)
-    cell = spark.createDataFrame(before or [(0, 0, 0)], "pack__l bigint, pack__s int, pack__before bigint")
-    run = spark.createDataFrame(runs or [(0, 0, 0, 1, 0, 0)], "pack__len bigint, pack__rank bigint, pack__n bigint, pack__each bigint, pack__first bigint, pack__base bigint")
-    run = F.broadcast(run) if len(runs) <= MOST_BROADCAST else run
-    rank = F.row_number().over(Window.partitionBy("length", "pack__salt").orderBy(*key)) - 1
-    ranked = salted.withColumn("pack__r", rank)
-    ranked = ranked.join(F.broadcast(cell), (F.col("length") == F.col("pack__l")) & (F.col("pack__salt") == F.col("pack__s"))).withColumn("pack__r", F.col("pack__r") + F.col("pack__before"))
-    placed = ranked.join(run, (F.col("length") == F.col("pack__len")) & (F.col("pack__r") >= F.col("pack__rank")) & (F.col("pack__r") < F.col("pack__rank") + F.col("pack__n")))
-    k = F.col("pack__r") - F.col("pack__rank")
-    return placed.select(*pieces.columns, (F.col("pack__first") + F.floor(k / F.col("pack__each"))).cast("bigint").alias("sequence_id"), (F.col("pack__base") + F.pmod(k, F.col("pack__each")) * F.col("length")).cast("bigint").alias("offset"))
+    store = Scratch(pieces.sparkSession)
+    at = F.coalesce(F.xxhash64(*key) if order is None else order, F.lit(0)).cast("bigint")
+    rows = store.put(pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset"))).alias("own"), F.col("length").alias("size"), at.alias("at"), F.monotonically_increasing_id().alias("num")))
+    odd = rows.where(F.col("size").isNull() | ~F.col("size").between(1, capacity)).select("size").first()
+    if odd is not None:
+        raise ValueError(f"a piece of length {odd[0]} fits no sequence of {capacity}")
+    out = [F.col("own.*")]
+    full = rows.where(F.col("size") == capacity).select(*out, (-1 - F.col("num")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest = rows.where(F.col("size") < capacity)
+    found = store.put(places(rest.select("num", F.col("size").cast("int").alias("size"), "at"), store, capacity, rows_a_range)).withColumnsRenamed({"num": "pack__num", "offset": "pack__offset"})
+    placed = rest.join(small_side(found), F.col("num") == F.col("pack__num")).select(*out, F.col("seq").alias("sequence_id"), F.col("pack__offset").cast("bigint").alias("offset"))
+    return full.unionByName(placed)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """``sequence_id, n_pieces, ids, doc_ids, offsets``: the packed sequences themselves, ids as little-endian 32-bit values."""
+    """``sequence_id, n_pieces, ids, doc_ids, offsets``: the packed sequences themselves, ids as little-endian 32-bit values.
+
+    Null doc ids are entries like others; no rows give no sequences.
+    """
     own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
     grouped = packed.groupBy("sequence_id").agg(own.alias("own"))  # a sequence holds `capacity` pieces at most
     return grouped.select("sequence_id", F.size("own").alias("n_pieces"), F.expr("unhex(array_join(transform(own, x -> hex(x.ids)), ''))").alias("ids"), F.col("own.doc_id").alias("doc_ids"), F.col("own.offset").alias("offsets"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids`` (or ``ids_crc32``), ``sequence_id, offset`` for every piece of every document."""
+    """``doc_id, piece, start, length, ids`` (or ``ids_crc32``), ``sequence_id, offset`` for every piece of every document.
+
+    A null or empty text is one piece of one token; rows with null or repeated ids each give their own pieces; an empty
+    table gives no rows; other columns are ignored.
+    """
     pieces = token_pieces(docs, capacity)
     if digest:
         pieces = pieces.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32")
-    return best_fit(Scratch(docs.sparkSession).put(pieces), capacity)
+    return best_fit(pieces, capacity)
 
 
-def stored_order(docs: DataFrame) -> tuple[DataFrame, int]:
+def stored_order(docs: DataFrame) -> DataFrame:
     """``docs``, read from Parquet files, with ``pack__at``: the place of each row, from 0 without gaps, in the files' order."""
     placed = docs.select("*", F.col("_metadata.file_path").alias("pack__file"), F.col("_metadata.row_index").alias("pack__row"))
     files, total = [], 0
@@ -117,23 +255,21 @@ def stored_order(docs: DataFrame) -> tuple[DataFrame, int]:
         total += n
     first = F.broadcast(docs.sparkSession.createDataFrame(files or [("", 0)], "pack__name string, pack__before bigint"))
     out = placed.join(first, F.col("pack__file") == F.col("pack__name"))
-    return out.select(*docs.columns, (F.col("pack__before") + F.col("pack__row")).alias("pack__at")), total
+    return out.select(*docs.columns, (F.col("pack__before") + F.col("pack__row")).alias("pack__at"))
 
 
 def pack_in_order(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Digest columns as of ``pack_documents``, for documents read from Parquet files whose order decides.
 
-    Among pieces of one length those stored first take the first places, and sequences are numbered by the piece in them
-    that is stored first.
+    Pieces of one length are ranked in the stored order, and sequences are numbered by the piece in them that is stored
+    first. Null texts and ids, repeated rows and empty tables as in ``pack_documents``.
     """
     store = Scratch(docs.sparkSession)
-    rows, total = stored_order(docs)
-    rows = rows.select(F.struct("doc_id", "pack__at").alias("own"), "text")
+    rows = stored_order(docs).select(F.struct("doc_id", "pack__at").alias("own"), "text")
     pieces = token_pieces(rows, capacity, id_col="own").selectExpr("own.doc_id AS doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "own.pack__at AS pack__at")
-    part = F.floor(F.col("pack__at") * SALTS / max(total, 1))
-    packed = store.put(best_fit(store.put(pieces), capacity, ("pack__at", "piece"), part))
+    packed = store.put(best_fit(pieces, capacity, order=F.col("pack__at")))
     # sequences ranked by their first piece, in ranges of the order
-    firsts = store.put(packed.groupBy("sequence_id").agg(F.min(F.struct("pack__at", "piece")).alias("first")).withColumn("part", F.floor(F.col("first.pack__at") / (1 << 15))))
+    firsts = store.put(packed.groupBy("sequence_id").agg(F.min(F.struct("pack__at", "piece")).alias("first")).withColumn("part", F.floor(F.col("first.pack__at") / ORDER_RANGE)))
     before, n = [], 0
     for k, own in sorted(tuple(r) for r in firsts.groupBy("part").count().collect()):
         before.append((k, n))
@@ -146,5 +282,5 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """Digest columns of the packed pieces of all documents."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; null texts are one token, no rows give none."""
     return pack_documents(table(spark, sf_dir, "documents"), digest=True)

@@ -247,6 +247,67 @@ def test_packing(spark, rows):
     assert len(packed) == sum(len(range(0, len(bpe.plain(t or "")) + 1, 2048)) for _, t, *_ in rows)
 
 
+def check_packing(got, sizes, capacity):
+    assert sorted(r.doc_id for r in got) == sorted(range(len(sizes)))
+    bins = {}
+    for r in got:
+        assert r.length == sizes[r.doc_id]
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(bins)
+
+
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= s), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("make", [lambda r: r.randint(1, 2048), lambda r: r.choice([819, 100, 700, 3, 2048]), lambda r: 100, lambda r: min(2048, int(r.expovariate(1 / 300)) + 1)])
+def test_sweeps_over_many_ranges(spark, make):
+    rng = random.Random(21)
+    sizes = [make(rng) for _ in range(2500)]
+    df = spark.createDataFrame([(k, 0, s) for k, s in enumerate(sizes)], "doc_id bigint, piece int, length bigint")
+    want = best_fit_decreasing(sizes, 2048)
+    assert check_packing(packing.best_fit(df, 2048).collect(), sizes, 2048) == want  # one range
+    assert check_packing(packing.best_fit(df, 2048, rows_a_range=400).collect(), sizes, 2048) <= want * 1.01 + 1
+
+
+def test_ranges_are_matched_by_rank():
+    rng = random.Random(22)
+    for _ in range(300):
+        sizes = sorted(rng.randint(1, 60) for _ in range(rng.randint(1, 40)))
+        kinds = [rng.random() < 0.5 for _ in sizes]
+        cuts = sorted(rng.sample(range(len(sizes) + 1), min(len(sizes), rng.randint(0, 5))))
+        ranges = [list(zip(sizes[a:b], kinds[a:b], strict=True)) for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)]
+        left = []
+        for k, own in enumerate(ranges):  # gaps below pieces in every range, as a sweep leaves it
+            gaps, pieces = sorted(s for s, g in own if g), sorted((s for s, g in own if not g), reverse=True)
+            while gaps and pieces and gaps[-1] >= pieces[-1]:
+                gaps.pop(), pieces.pop()
+            left.append((gaps, pieces))
+        lines = [(k, len(p), max(p, default=0), len(g), min(g, default=0)) for k, (g, p) in enumerate(left)]
+        taken, used = set(), {}
+        for below, rank, n, above, to, each in packing.match_ranges(lines):
+            assert below < above
+            for i in range(n):
+                assert (below, rank + i) not in taken
+                taken.add((below, rank + i))
+                used.setdefault((above, to + i // each), []).append(left[below][1][rank + i])
+        assert all(sum(own) <= left[k][0][g] for (k, g), own in used.items())
+        free = [(k, s) for k, (g, _) in enumerate(left) for i, s in enumerate(g) if (k, i) not in used]
+        assert not any(k > j for k, _ in free for j, (_, p) in enumerate(left) for i in range(len(p)) if (j, i) not in taken)
+
+
 def test_sequences(spark):
     packed = Scratch(spark).put(packing.pack_documents(frame(spark, ODD[:6])))
     out = packing.sequences(packed).collect()
