@@ -31,8 +31,9 @@ from ledgerlark.llm.common import MOST_BROADCAST, by_value, table
 by_value(__name__)
 
 BLOCK = 16
-#: Documents of a source in one range of the hash, about: ranges are ranked in parallel, their number grows with the source.
-RANGE = 1 << 15
+#: Documents of a source in one range of the hash, about: ranges are ranked in parallel. There are about so many ranges in all
+#: sources at most, beyond which ranges grow with the input.
+RANGE, RANGES = 1 << 11, 1 << 17
 #: Slots in a chunk of the schedule, at least; with many sources, so many slots a source.
 SLOTS, SLOTS_A_SOURCE = 1 << 17, 64
 
@@ -229,11 +230,12 @@ def placed(docs: DataFrame, weights: dict[str, float] | None, block: int, id_col
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights are positive")
     low = min(weights.values(), default=1.0)
-    names = [(s, k, -(-n // RANGE)) for k, (s, n) in enumerate(counts.items())]
+    size_of = max(RANGE, sum(counts.values()) // RANGES)
+    names = [(s, k, -(-n // size_of)) for k, (s, n) in enumerate(counts.items())]
     named = spark.createDataFrame(names, "mix__src string, mix__s int, mix__ranges bigint")
     named = F.broadcast(named) if len(names) <= MOST_BROADCAST else named
     rows = rows.join(named, F.col("src") == F.col("mix__src")).withColumn("mix__r", F.shiftright(F.col("h") * F.col("mix__ranges"), 40))
-    cells, seen = [], dict.fromkeys(range(len(names)), 0)  # a row for about RANGE documents
+    cells, seen = [], dict.fromkeys(range(len(names)), 0)  # a row a range
     for s, r, n in sorted(tuple(c) for c in rows.groupBy("mix__s", "mix__r").count().collect()):
         cells.append((s, r, seen[s]))
         seen[s] += n
