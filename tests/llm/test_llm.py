@@ -148,6 +148,30 @@ def test_repeated_rows_are_copies(spark):
     assert [(r.class_id, r.copy_id, r.n_links, r.n_texts) for r in got] == [(1, 1, 3, 0)] * 4
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(31)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    rows = [(1, a, None, None), (1, b, None, None), (2, b + " two more", None, None), (3, a + " two more", None, None), (2, c, None, None)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.jaccard_classes(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 2, 0), (3, 1, 1)]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.drop_near(frame(spark, rows, True)).collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_links_at_the_threshold_in_large_nodes(spark, monkeypatch):
+    """Pairs at 0.80 to 0.82 inside nodes far over NODE, whose documents share most of their text; sizes differ."""
+    monkeypatch.setattr(ngram_join, "NODE", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(33)
+    passage, rows = words(rng, 60).split(), []
+    for k in range(110):
+        own = words(rng, 30 + k % 20).split()
+        rows.append((2 * k, " ".join(passage + own), "en", "s"))
+        rows.append((2 * k + 1, " ".join(passage + own + words(rng, rng.choice([18, 21, 24, 27])).split()), "en", "s"))
+    want = brute_classes(rows)
+    assert 60 < sum(n > 0 for _, n in want.values()) < 220
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_classes(frame(spark, rows)).collect()} == want
+
+
 def test_shingles_of_long_texts():
     rng = random.Random(5)
     text = words(rng, 700_000)
