@@ -2,17 +2,21 @@
 
 The automaton holds every run of words of every licence template and phrase. A text's words are streamed through it to
 obtain matching statistics: for each word, the longest run ending there that some template holds. Long matches are chained
-in template order into spans, and a span's share of its template decides its label; a phrase is one short template that
-counts only as a whole.
+in template order into spans, by dynamic programming over their places in the text and in the template, and a span's share of
+its template decides its label; a phrase is one short template that counts only as a whole.
 
 Words outside the templates, and pairs of neighbours that no template holds, end every match; both are found in numpy on
-word hashes, so only stretches of two or more neighbouring words that a template holds are streamed word by word.
+word hashes, so only stretches of neighbouring words that a template holds are streamed word by word. Their bytes are
+compared with the templates' words before that: a hash that agrees by chance counts for nothing.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,9 @@ TEMPLATES = (
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
@@ -46,6 +53,8 @@ TEMPLATES = (
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "All rights reserved."),
 )
+#: Whole licence bodies, public texts kept beside this module: (label, file).
+BODIES = (("apache", "Apache-2.0"), ("gpl", "GPL-2"), ("gpl", "GPL-3"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3"), ("mpl", "MPL-2.0"), ("cc0", "CC0-1.0"))
 #: A match counts towards a span from so many words on (or the whole template, where that is shorter).
 LEAST_WORDS = 6
 #: Matches of one template are chained over gaps of so many words of the text.
@@ -60,6 +69,11 @@ def words_in(text: str) -> list[str]:
     return WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
+def bodies() -> tuple[tuple[str, str], ...]:
+    """The licence bodies as templates. They are read where a query is planned and travel inside the automaton."""
+    return tuple((label, (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text()) for label, name in BODIES)
+
+
 class Automaton:
     """Generalised suffix automaton over word numbers, with each state's first place and the phrases that end there."""
 
@@ -85,18 +99,23 @@ class Automaton:
                     self.place[up].setdefault(k, []).extend(ends)
         self.place = [{k: sorted(set(v)) for k, v in p.items()} for p in self.place]
         self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.length]
-        for s in range(1, len(self.length)):
-            up = s
-            while up > 0:
-                for k, (_, words, phrase) in enumerate(self.items):
-                    if phrase and len(words) - 1 in self.place[up].get(k, ()) and self.length[self.link[up]] < len(words) <= self.length[up]:
-                        self.phrases[s].append((k, len(words)))
-                up = self.link[up]
+        for k, (_, words, phrase) in enumerate(self.items):
+            if phrase:
+                state = 0
+                for w in words:
+                    state = self.next[state][self.number[w]]
+                self.phrases[state].append((k, len(words)))
+        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):  # a state ends with what its link ends with
+            self.phrases[s] = self.phrases[s] + self.phrases[self.link[s]]
         v = len(self.number)
-        self.pair = np.zeros((v, v), bool)
+        self.words = [w.encode() for w in self.number]
+        self.sizes = np.array([len(w) for w in self.words])
+        self.pair, self.short = np.zeros((v, v), bool), np.zeros((v, v), bool)  # of neighbours; of those in phrases and short templates
         for _, words, _ in self.items:
             n = [self.number[w] for w in words]
             self.pair[n[:-1], n[1:]] = True
+            if len(words) < LEAST_WORDS:
+                self.short[n[:-1], n[1:]] = True
         hashes = [int(span_hashes(np.frombuffer(b := w.encode(), np.uint8), np.array([0]), np.array([len(b)]))[0]) for w in self.number]
         order = np.argsort(np.array(hashes, np.uint64))
         self.hashes, self.numbers = np.array(hashes, np.uint64)[order], np.arange(v)[order]
@@ -144,17 +163,37 @@ class Automaton:
                 state, n = self.next[state][c], n + 1
             yield state, n
 
-    def stretches(self, hashes: np.ndarray) -> list[tuple[int, list[int]]]:
-        """First word and word numbers of every run of two or more words whose neighbours a template holds."""
+    def stretches(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> list[tuple[int, list[int]]]:
+        """First word and word numbers of every run of words whose neighbours a template holds, where it may hold a match.
+
+        That is: of LEAST_WORDS or more, or with two neighbours of a phrase or of a shorter template.
+        """
         maybe = np.flatnonzero(self.sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
         at = np.searchsorted(self.hashes, hashes[maybe])
         hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes[maybe]
         where, number = maybe[hit], self.numbers[np.minimum(at[hit], len(self.hashes) - 1)]
+        same = (ends[where] - starts[where]) == self.sizes[number]
+        where, number = where[same], number[same]
         if len(where) < 2:
             return []
         joined = (where[1:] == where[:-1] + 1) & self.pair[number[:-1], number[1:]]
         d = np.diff(np.concatenate([[0], joined.view(np.int8), [0]]))
-        return [(int(where[a]), number[a : b + 1].tolist()) for a, b in zip(np.flatnonzero(d == 1), np.flatnonzero(d == -1), strict=True)]
+        first, last = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+        short = np.concatenate([[0], np.cumsum(joined & self.short[number[:-1], number[1:]])])
+        keep = (last - first + 1 >= LEAST_WORDS) | (short[last] > short[first])
+        out = []
+        for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True):
+            run = number[a : b + 1].tolist()
+            lo, hi = starts[where[a] : where[b] + 1].tolist(), ends[where[a] : where[b] + 1].tolist()
+            right = [buf[x:y].tobytes() == self.words[c] for c, x, y in zip(run, lo, hi, strict=True)]
+            if all(right):
+                out.append((int(where[a]), run))
+                continue
+            for k, ok in enumerate([*right, False]):  # a word that only hashes alike ends a run
+                if not ok and k and right[k - 1]:
+                    begin = max((j for j in range(k) if not right[j]), default=-1) + 1
+                    out.append((int(where[a]) + begin, run[begin:k]))
+        return out
 
     def scan(self, stretches: list[tuple[int, list[int]]]) -> tuple[list[tuple[int, int]], list[tuple]]:
         """Phrases ``(first word, item)`` and spans ``(item, first word, end, share of the template)`` of one text."""
@@ -173,32 +212,47 @@ class Automaton:
         return found, self.chain(matches)
 
     def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Spans from matches ``(item, first word, place in the template, words)``: of each template, in rising order of both."""
+        """Spans from matches ``(item, first word, place in the template, words)``.
+
+        A chain is a row of matches of one template in rising order of both places, with at most MOST_GAP words of the text
+        between two of them; where two overlap in either, the later one counts from the end of the earlier. Of each template
+        the chains that cover most of it come first, and no two spans of it overlap.
+        """
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for k, at, place, n in matches:
+            by.setdefault(k, []).append((at, place, n))
         spans = []
-        open_: dict[int, list] = {}
-
-        def close(k: int) -> None:
-            first, end, _, covered = open_.pop(k)
-            share = covered / len(self.items[k][1])
-            if share >= LEAST_SHARE:
-                spans.append((k, first, end, share))
-
-        for k, at, place, n in sorted(matches, key=lambda m: (m[1], m[0], m[2], -m[3])):
-            if k in open_:
-                first, end, reached, covered = open_[k]
-                fresh = place + n - max(place, reached)
-                if at - end <= MOST_GAP and at + n > end and fresh > 0 and at + n - fresh >= first:
-                    open_[k] = [first, max(end, at + n), place + n, covered + fresh]
-                    continue
-                if at + n <= end:
-                    continue
-                close(k)
-            open_[k] = [at, at + n, place + n, n]
-        for k in list(open_):
-            close(k)
+        for k, own in by.items():
+            own.sort()
+            size, best, near = len(self.items[k][1]), [], []  # best chain that ends with each match: words covered, its first word
+            for i, (at, place, n) in enumerate(own):
+                near = [j for j in near if own[j][0] + own[j][2] + MOST_GAP >= at]
+                most, first = n, at
+                for j in near:
+                    a, p, m = own[j]
+                    fresh = n - max(0, a + m - at, p + m - place)
+                    if fresh > 0 and place + n > p + m and best[j][0] + fresh > most:
+                        most, first = best[j][0] + fresh, best[j][1]
+                best.append((most, first))
+                near.append(i)
+            taken: list[tuple[int, int]] = []
+            for i in sorted(range(len(own)), key=lambda i: (-best[i][0], own[i][0])):
+                covered, first = best[i]
+                if covered < LEAST_SHARE * size:
+                    break
+                end = own[i][0] + own[i][2]
+                x = bisect_left(taken, (first, end))
+                if (x == len(taken) or taken[x][0] >= end) and (x == 0 or taken[x - 1][1] <= first):
+                    insort(taken, (first, end))
+                    spans.append((k, first, end, covered / size))
         return sorted(spans, key=lambda s: (s[1], s[0]))
 
 
+@lru_cache(maxsize=1)
+def automaton() -> Automaton:
+    return Automaton(TEMPLATES + bodies())
+
+
 SCHEMA = "id {}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label: string, template: int, first_word: bigint, end_word: bigint, share: double>>"
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("share", pa.float64())]))
 
@@ -207,32 +261,27 @@ def scan_texts(auto: Automaton, texts: list[bytes]) -> list[tuple]:
     """Rows without their ids for whole texts of lower-cased bytes."""
     counts = np.zeros(len(texts), np.int64)
     own: list[list] = [[] for _ in texts]
-
-    def take(k: int, before: int, found: list[tuple[int, list[int]]]) -> None:
-        for at, numbers in found:
-            if own[k] and (last := own[k][-1])[0] + len(last[1]) == at + before and auto.pair[last[1][-1], numbers[0]]:
-                last[1].extend(numbers)
-            else:
-                own[k].append((at + before, numbers))
-
     for a, b in batches_of(texts):
         if b - a == 1:
-            hashes = [span_hashes(buf, *word_spans(buf)) for lo, hi in segments(texts[a]) for buf in [np.frombuffer(texts[a], np.uint8)[lo:hi]]]
-            flat = np.concatenate(hashes)
+            buf = np.frombuffer(texts[a], np.uint8)
+            parts = []
+            for lo, hi in segments(texts[a]):
+                s, e = word_spans(buf[lo:hi])
+                parts.append((s + lo, e + lo, span_hashes(buf[lo:hi], s, e)))
+            s, e, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
             counts[a] = len(flat)
-            take(a, 0, auto.stretches(flat))
+            own[a] = auto.stretches(buf, s, e, flat)
             continue
         buf = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
         s, e = word_spans(buf)
         ends = np.searchsorted(s, np.cumsum([len(t) + 1 for t in texts[a:b]]))
         starts = np.concatenate([[0], ends[:-1]])
         counts[a:b] = ends - starts
-        for at, numbers in auto.stretches(span_hashes(buf, s, e)):
+        for at, numbers in auto.stretches(buf, s, e, span_hashes(buf, s, e)):
             while numbers:  # a stretch ends with its text
                 k = int(np.searchsorted(ends, at, side="right"))
                 n = min(len(numbers), int(ends[k]) - at)
-                if n > 1:
-                    take(a + k, 0, [(at - int(starts[k]), numbers[:n])])
+                own[a + k].append((at - int(starts[k]), numbers[:n]))
                 at, numbers = at + n, numbers[n:]
     out = []
     for n, stretches in zip(counts.tolist(), own, strict=True):
@@ -245,16 +294,18 @@ def scan_texts(auto: Automaton, texts: list[bytes]) -> list[tuple]:
     return out
 
 
-def licence_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    auto = Automaton()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), SPANS)
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-    for batch in it:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            rows = scan_texts(auto, [lower_ascii(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()])
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", *names])
+def licence_batches(auto: Automaton):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), SPANS)
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+        for batch in it:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = scan_texts(auto, [lower_ascii(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()])
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", *names])
+
+    return run
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,12 +314,13 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only A-Z are lower-cased. ``n_base`` counts the places of PHRASES, ``first_word`` and ``last_word`` are the smallest
     and largest of their first words (from 0; null without any), ``labels`` holds their labels and those of spans.
     ``score`` is 1 with a phrase, else the largest share of a template that a span covers, else 0. A null text counts as
-    empty. Rows stay rows, repeated ones and null ids too.
+    empty. Rows stay rows, repeated ones and null ids too; an empty table gives no rows, other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` AS id", f"cast(`{text_col}` AS string) AS text")
-    return rows.mapInArrow(licence_batches, SCHEMA.format(kind)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(licence_batches(automaton()), SCHEMA.format(kind)).withColumnRenamed("id", id_col)
 
 
 def op3_license_scans(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document; null texts count as empty."""
     return licence_scan(table(spark, sf_dir, "documents")).drop("spans")

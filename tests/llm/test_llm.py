@@ -683,6 +683,72 @@ def test_matching_statistics():
             assert n == want
 
 
+def brute_cover(own):
+    """The most words of a template that any row of its matches covers, by trying all rows."""
+    best = 0
+
+    def go(row, covered):
+        nonlocal best
+        best = max(best, covered)
+        for at, place, n in own:
+            if not row:
+                go([(at, place, n)], n)
+                continue
+            a, p, m = row[-1]
+            fresh = n - max(0, a + m - at, p + m - place)
+            if (at, place, n) > (a, p, m) and fresh > 0 and place + n > p + m and at <= a + m + licences.MOST_GAP:
+                go([*row, (at, place, n)], covered + fresh)
+
+    go([], 0)
+    return best
+
+
+def test_chains_cover_the_most():
+    rng, auto = random.Random(11), licences.Automaton((("x", " ".join(f"w{k}" for k in range(40))),), ())
+    for _ in range(300):
+        own = sorted({(rng.randrange(60), (p := rng.randrange(36)), rng.randint(1, 40 - p)) for _ in range(rng.randint(1, 8))})
+        spans = auto.chain([(0, *m) for m in own])
+        want = brute_cover(own) / 40
+        assert (max(s[3] for s in spans) == want) if want >= licences.LEAST_SHARE else not spans
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
+@pytest.mark.parametrize("every", [7, 8, 9])
+def test_changed_notices_keep_their_labels(every):
+    auto = licences.automaton()
+    for label, text in licences.TEMPLATES:
+        own = text.split()
+        if len(own) < 30:
+            continue
+        changed = " ".join("zzz" if k % every == every - 1 else w for k, w in enumerate(own))
+        assert label in licences.scan_texts(auto, [f"before {changed} after".lower().encode()])[0][5].split(",")
+
+
+def test_whole_bodies_and_copies():
+    auto = licences.automaton()
+    for label, body in licences.bodies():
+        (row,) = licences.scan_texts(auto, [("intro words " + body + " end").lower().encode()])
+        assert label in row[5].split(",") and row[6] == 1.0
+    notice = licences.TEMPLATES[0][1]
+    (row,) = licences.scan_texts(auto, [" ".join([notice] * 3).lower().encode()])
+    assert len([x for x in row[7] if x["template"] == 0]) == 3
+
+
+def test_equal_hashes_of_other_words_count_for_nothing(monkeypatch):
+    hold = licences.span_hashes
+
+    def collide(buf, lo, hi):
+        out = hold(buf, lo, hi)
+        for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+            if buf[a:b].tobytes() == b"xyz":
+                out[k] = hold(np.frombuffer(b"mit", np.uint8), np.array([0]), np.array([3]))[0]
+        return out
+
+    monkeypatch.setattr(licences, "span_hashes", collide)
+    rows = licences.scan_texts(licences.automaton(), [b"the xyz license", b"the mit license and the xyz license", b"under the terms of the xyz license mit license"])
+    assert [r[:5] for r in rows] == [brute_base(t) for t in ("the xyz license", "the mit license and the xyz license", "under the terms of the xyz license mit license")]
+
+
 def test_spans(spark):
     rows = [(1, "Intro. " + licences.TEMPLATES[0][1] + " Outro.", None, None), (2, "Licensed under CC BY-NC 4.0.", None, None), *ODD[2:]]
     got = {r.doc_id: r for r in licences.licence_scan(frame(spark, rows, True)).collect()}
