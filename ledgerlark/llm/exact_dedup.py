@@ -69,22 +69,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Rows alike in id and text leave one."""
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    found = Scratch(docs.sparkSession).put(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
-    ids = found.groupBy("_id").agg(F.max("kept").alias("stays"), F.max(~F.col("kept")).alias("goes"))
-    gone = Scratch(docs.sparkSession).put(ids.where("not stays").select("_id"))
-    mixed = ids.where("stays and goes").select("_id")  # ids of several rows, of which some stay: rare
-    out = docs.join(small_side(gone), docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    """The rows of ``docs`` that stay, all columns: of equal texts the row with the largest id, of rows alike in id and text one.
+
+    Null texts count as empty, a null id is smaller than any other; an empty table gives no rows.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = Scratch(docs.sparkSession).put(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("exact__id"), "kept"))
+    ids = found.groupBy("exact__id").agg(F.max("kept").alias("stays"), F.max(~F.col("kept")).alias("goes"))
+    gone = Scratch(docs.sparkSession).put(ids.where("not stays").select("exact__id"))
+    mixed = ids.where("stays and goes").select("exact__id")  # ids of several rows, of which some stay: rare
+    out = docs.join(small_side(gone), docs[id_col].eqNullSafe(gone["exact__id"]), "left_anti")
     if mixed.isEmpty():
         return out
-    pair = found.where("kept").join(mixed.withColumnRenamed("_id", "_m"), F.col("_id").eqNullSafe(F.col("_m"))).select("_id", "_sha").distinct()
-    some = out.join(mixed, out[id_col].eqNullSafe(mixed["_id"]), "left_semi").withColumn("exact__sha", key)
-    some = some.join(pair, some[id_col].eqNullSafe(pair["_id"]) & (some["exact__sha"] == pair["_sha"]), "left_semi").dropDuplicates([id_col, "exact__sha"]).drop("exact__sha")
-    return out.join(mixed, out[id_col].eqNullSafe(mixed["_id"]), "left_anti").unionByName(some)
+    # their texts are compared with all others again, as texts
+    some = out.join(mixed, out[id_col].eqNullSafe(mixed["exact__id"]), "left_semi").withColumn("exact__text", text)
+    texts = some.select("exact__text").distinct()
+    best = docs.select(F.col(id_col).alias("exact__own"), text.alias("exact__t")).join(texts, F.col("exact__t") == F.col("exact__text")).groupBy("exact__t").agg(F.max("exact__own").alias("exact__best"))
+    some = some.join(best, (F.col("exact__text") == F.col("exact__t")) & F.col(id_col).eqNullSafe(F.col("exact__best")), "left_semi").dropDuplicates([id_col, "exact__text"]).drop("exact__text")
+    return out.join(mixed, out[id_col].eqNullSafe(mixed["exact__id"]), "left_anti").unionByName(some)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document; null texts count as empty, no rows give none."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

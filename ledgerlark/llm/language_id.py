@@ -1,8 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads a text's UTF-8 bytes in windows, forwards and backwards, labels every position with language
-probabilities, and a document's probabilities are the mean over its positions that belong to letters. It is trained here
-in numpy by backpropagation through time on a bounded sample of labelled windows, and applied to every byte of every text.
+probabilities, and a document's probabilities are the mean over its positions that belong to letters. Windows overlap: each
+labels its own bytes and reads those around them first, in both directions, so that no position lacks context at a cut. It is
+trained here in numpy by backpropagation through time on a bounded sample of labelled windows, and applied to every byte of
+every text.
 
 Arrays are held features first, lanes (windows) last, so that each gate is one contiguous block.
 """
@@ -24,7 +26,9 @@ by_value(__name__)
 #: The bound of the training sample: documents of each language, and windows of each document.
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 6
-WINDOW = 64
+#: Bytes that a window labels, and bytes on each side of them that it reads for context.
+WINDOW, AROUND = 64, 16
+READS = WINDOW + 2 * AROUND
 HIDDEN = 8
 LANES = 2048
 STEPS = 300
@@ -47,10 +51,16 @@ def to_bytes(text: str) -> bytes:
 
 
 def windows_of(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts cut into windows of WINDOW bytes (the last filled with zeros): bytes by window, and windows a text."""
+    """All texts cut into windows: READS bytes each, zeros beyond the text's ends; and how many windows each text has."""
     n = np.array([-(-len(d) // WINDOW) for d in data], np.int64)
-    buf = b"".join(d + bytes(-len(d) % WINDOW) for d in data)
-    return np.frombuffer(buf, np.uint8).reshape(-1, WINDOW), n
+    out = np.empty((int(n.sum()), READS), np.uint8)
+    at = 0
+    for d, k in zip(data, n.tolist(), strict=True):
+        if k:
+            whole = np.frombuffer(bytes(AROUND) + d + bytes(AROUND + WINDOW - 1 - (len(d) - 1) % WINDOW), np.uint8)
+            out[at : at + k] = np.lib.stride_tricks.sliding_window_view(whole, READS)[::WINDOW]
+            at += k
+    return out, n
 
 
 class BiGru:
@@ -115,7 +125,7 @@ class BiGru:
         sums = np.zeros((len(win) + 1, len(self.labels) + 1))
         for a in range(0, len(win), LANES):
             part = np.ascontiguousarray(win[a : a + LANES].T)
-            p, mask = self.positions(part), LETTER[part]
+            p, mask = self.positions(part)[AROUND : AROUND + WINDOW], LETTER[part[AROUND : AROUND + WINDOW]]
             for c in range(len(self.labels)):
                 sums[a : a + part.shape[1], c] = np.einsum("tb,tb->b", p[:, c], mask)
             sums[a : a + part.shape[1], -1] = mask.sum(axis=0)
@@ -172,7 +182,7 @@ class BiGru:
         return loss, g
 
     def train(self, data: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = 0.02, seed: int = 11) -> list[float]:
-        """Adam on random batches of (windows, WINDOW) bytes; the losses."""
+        """Adam on random batches of (windows, READS) bytes; the losses."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -211,10 +221,11 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     # the draw needs no text: a document that isn't drawn costs no more than its scan
     drawn = rows.where(draw < chance)
-    cut = f"transform(sequence(0, {WINDOWS_PER_DOC - 1}), i -> substring(text, cast(i * greatest(char_length(text) - {WINDOW}, 0) / {WINDOWS_PER_DOC - 1} AS int) + 1, {WINDOW}))"
-    got = drawn.select("lang", "id", F.expr(f"array_distinct({cut})").alias("windows")).collect()
+    cut = f"transform(sequence(0, {WINDOWS_PER_DOC - 1}), i -> substring(text, cast(i * greatest(char_length(text) - {READS}, 0) / {WINDOWS_PER_DOC - 1} AS int) + 1, {READS}))"
+    # rows that repeat an id and a text are drawn together, but count and travel once
+    got = drawn.select("lang", "id", F.expr(f"array_distinct({cut})").alias("windows")).distinct().collect()
     by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["id"])):
+    for r in sorted(got, key=lambda r: (r["lang"], r["id"], r["windows"])):
         by.setdefault(r["lang"], []).append(r["windows"])
     labels, data, label = sorted(by), [], []
     for k, lang in enumerate(labels):
@@ -222,13 +233,13 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         size = max(len(by[x][:DOCS_PER_LANGUAGE]) for x in labels) * WINDOWS_PER_DOC
         many = (many * -(-size // len(many)))[:size]  # languages with fewer documents count as much
         for w in many:
-            b = to_bytes(w)[:WINDOW]
-            data.append(b + bytes(WINDOW - len(b)))
+            b = to_bytes(w)[:READS]
+            data.append(b + bytes(READS - len(b)))
             label.append(k)
     if not labels:
         return None
     net = BiGru(labels)
-    net.train(np.frombuffer(b"".join(data), np.uint8).reshape(-1, WINDOW), np.array(label))
+    net.train(np.frombuffer(b"".join(data), np.uint8).reshape(-1, READS), np.array(label))
     return net
 
 
@@ -263,8 +274,15 @@ def predict(docs: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a known language, all columns: not ``und``, and with a score that is more than chance."""
+    """The rows of ``docs`` in a known language, all columns: not ``und``, and with a score that is more than chance.
+
+    Null, empty and letterless texts go. Where nothing can be learned, since no labelled text has a letter, nothing is known
+    against any text with a letter, and all of those stay. Rows with null or repeated ids are judged by their texts like
+    others; an empty table gives no rows.
+    """
     net = train_on(docs.where(~held_out(id_col, 4, 2)), id_col, text_col, lang_col)
+    if net is None:
+        return docs.where(F.col(text_col).rlike("\\p{L}"))
     names, kinds = docs.columns, [f.dataType for f in docs.schema]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(text_col).alias("text"))
     schema = ", ".join([*(f"c{k} {t.simpleString()}" for k, t in enumerate(kinds)), "lang_pred string", "score double"])
@@ -274,5 +292,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; null and letterless texts are ``und``, no rows give none."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train_on(docs.where(~held_out("doc_id", 4, 2))))

@@ -242,4 +242,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; null texts count as empty, no rows give none."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

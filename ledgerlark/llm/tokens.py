@@ -168,4 +168,5 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: str
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
+    """doc_id, field, section, char_start, char_end, n_tokens, n_shared of every line of every document; null texts are one empty line."""
     return count_tokens(table(spark, sf_dir, "documents"))

@@ -841,3 +841,106 @@ def test_packing_in_order_keeps_all_pieces(spark):
     assert sorted(map(key, got)) == sorted(map(key, want))
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and {r.sequence_id for r in got} == set(range(len({r.sequence_id for r in want})))
     assert packing.pack_in_order(Scratch(spark).put(frame(spark, []))).count() == 0
+
+
+# held-out accuracy on the given tables, and twins of what the queries do
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_on_documents(spark):
+    got = {r.doc_id: r for r in language_id.op5_language_id(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert set(got) == {r.doc_id for r in rows}
+    judged = [got[r.doc_id].lang_pred == r.lang for r in rows if r.lang is not None and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and any(c.isalpha() for c in r.text)]
+    assert len(judged) > 150 and sum(judged) / len(judged) > 0.97
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+
+
+def test_quality_on_documents(spark):
+    got = {r.doc_id: r for r in quality.op6_quality_classifier(spark, SF).collect()}
+    labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None]
+    judged = [got[r.doc_id].predicted == r.quality for r in labels if got[r.doc_id].held_out]
+    assert len(judged) > 80 and sum(judged) / len(judged) > 0.95
+    assert all(r.predicted == (r.score >= 0.5) for r in got.values())
+
+
+def brute_positions(net, data):
+    """A document's probabilities by one scalar step a byte, window by window."""
+    h, w = language_id.HIDDEN, net.w
+
+    def states(part, d):
+        out, s = [], np.zeros(h)
+        for x in part:
+            g = w["x"][d][:, x].astype(float)
+            m = w["u"][d].astype(float) @ s
+            z, r = (1 / (1 + np.exp(-2 * (g[k : k + h] + m[k : k + h]))) for k in (0, h))
+            n = np.tanh((m[2 * h :] + w["b"][d][:, 0]) * r + g[2 * h :])
+            s = z * s + (1 - z) * n
+            out.append(s)
+        return out
+
+    total, count = np.zeros(len(net.labels)), 0
+    for at in range(0, len(data), language_id.WINDOW):
+        lo = at - language_id.AROUND
+        part = [data[k] if 0 <= k < len(data) else 0 for k in range(lo, lo + language_id.READS)]
+        f, b = states(part, 0), states(part[::-1], 1)[::-1]
+        for k in range(language_id.AROUND, language_id.AROUND + language_id.WINDOW):
+            if language_id.LETTER[part[k]]:
+                logits = w["v"].astype(float) @ np.concatenate([f[k], b[k]]) + w["c"][:, 0]
+                p = np.exp(logits - logits.max())
+                total, count = total + p / p.sum(), count + 1
+    return total / max(count, 1)
+
+
+def test_documents_are_read_in_overlapping_windows():
+    rng, net = random.Random(41), language_id.BiGru(["a", "b", "c"])
+    texts = ["", "x", "é" * 32, words(rng, 9), words(rng, 60) + " é日本", "1 2", "a" * 64, "b" * 65]
+    got = net.documents([language_id.to_bytes(t) for t in texts])
+    for t, p in zip(texts, got, strict=True):
+        assert np.allclose(p, brute_positions(net, language_id.to_bytes(t)), atol=1e-5)
+
+
+def test_language_stage_without_labels_keeps_letters(spark):
+    df = frame(spark, [(1, "abc", None, None), (2, "12", None, None), (3, None, None, None), (4, "é", None, None)], True)
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 4}
+
+
+def test_much_repeated_rows_are_drawn_once(spark):
+    rows = lang_rows() + [(7, lang_rows()[7][1], "yy", "s")] * 500
+    assert language_id.train_on(frame(spark, rows)).labels == ["xx", "yy"]
+
+
+def brute_sections(text, rule):
+    """Tokens of every line, token by token, character by character."""
+    bpe = tokens.ByteBpe()
+    data = (text or "").encode()
+    line_of, line = [], 0
+    for byte in data:
+        line_of.append(line)
+        line += byte == 10
+    n = max(1, (line_of[-1] if line_of else 0) + 1)
+    own, shared, at = [0] * n, [0] * n, 0
+    for t in bpe(text or "").tolist():
+        size = int(bpe.lengths[t])
+        a, b = line_of[at], line_of[at + size - 1]
+        own[a if rule == "first" else b] += 1
+        shared[a] += a != b
+        at += size
+    return list(zip(own, shared, strict=True))
+
+
+@pytest.mark.parametrize("rule", ["first", "last"])
+def test_tokens_of_lines_one_by_one(spark, rule):
+    rng = random.Random(43)
+    texts = ["a\n\n\nb", "\n\n\n", "", None, "x \n y\n\n  z", " \n \n \n"] + ["".join(rng.choice("ab \n\n\té") for _ in range(60)) for _ in range(40)]
+    got = {}
+    for r in tokens.count_tokens(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), rule=rule).collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.n_tokens, r.n_shared))
+    for k, t in enumerate(texts):
+        assert [x[1:] for x in sorted(got[k])] == brute_sections(t, rule)
