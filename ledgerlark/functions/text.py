@@ -42,9 +42,16 @@ def nfkc_arrow(values: pa.Array) -> pa.Array:
     return pc.utf8_normalize(values, form="NFKC")
 
 
+#: Forms of full width and the ideographic space, which NFKC makes ASCII; and what NFKC leaves alone and never joins with a
+#: neighbour: kana, ideographs and the marks that answers hold. Text of nothing else needs no trip to Python.
+FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+PLAIN = "△▲\u3001-\u3003\u3005-\u3015\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff"
+
+
 def nfkc(c: Column) -> Column:
-    """Compatibility-composed text; ASCII text skips the trip through Arrow's values."""
-    return F.coalesce(arrow_udf(nfkc_arrow, "string")(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    """Compatibility-composed text. Only values with characters beyond ASCII, FULL and PLAIN take the trip through Arrow."""
+    return F.coalesce(arrow_udf(nfkc_arrow, "string")(F.when(c.rlike(rf"[^\x00-\x7F{FULL[0]}-{FULL[-2]}\u3000{PLAIN}]"), c)), F.translate(c, FULL, NARROW))
 
 
 def strip(c: Column) -> Column:
@@ -169,7 +176,7 @@ def with_audit_match(rows: DataFrame, predicted: str, gold: str, out: str) -> Da
     own = rows.withColumns({"am__p": normalize_answer(predicted), "am__g": normalize_answer(gold), "am__a": audit_number(predicted), "am__b": audit_number(gold), "am__d": decimals_of(gold)})
     own = own.withColumns({"am__x": number_of(F.col("am__p")), "am__y": number_of(F.col("am__g"))})
     p, g, d = F.col("am__a"), F.col("am__b"), F.col("am__d")
-    rounded = F.coalesce(*(F.when(d == k, F.replace(F.format_number(p, k), F.lit(","), F.lit("")).try_cast("double")) for k in range(13)), p)
+    rounded = F.when(d < 13, F.replace(F.call_function("format_number", p, d), F.lit(","), F.lit("")).try_cast("double")).otherwise(p)
     close = F.coalesce(F.abs(rounded - g) < F.lit(0.5) * F.pow(F.lit(10.0), -d) + 1e-9, F.lit(False))
     alike = match_numbers(F.col("am__p"), F.col("am__g"), F.col("am__x"), F.col("am__y"))
     return own.withColumn(out, alike | close).drop("am__p", "am__g", "am__a", "am__b", "am__d", "am__x", "am__y")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ledgerlark.functions import numbers as N
 from ledgerlark.functions import text as T
 from ledgerlark.operators import program as P
+from ledgerlark.operators.validate import similar_pairs
+from ledgerlark.scratch import store
 from ledgerlark.ship import by_value
 
 by_value(__name__)
@@ -54,17 +56,33 @@ def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([SequenceMatcher(a=x, b=y, autojunk=False).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
+def characters(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., pos, grams`` of ``(keys..., pos, q)``: each text's characters, numbered among their like. The overlap of two
+    such sets is the number of characters that the texts share wherever they stand, which bounds the sequence ratio."""
+    often = texts.select(*keys, "pos", F.explode(F.split("q", "")).alias("c")).groupBy(*keys, "pos", "c").agg(F.count(F.lit(1)).alias("n"))
+    own = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("n")), lambda k: F.concat("c", k.cast("string")))
+    return often.groupBy(*keys, "pos").agg(F.flatten(F.collect_list(own)).alias("grams"))
+
+
 def near_duplicates(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``first_index, similar_index, ratio`` of different questions in one (company, subtask, year) with equal answers.
 
-    The block and the answer are the join key, lengths are compared before the ratio is computed, so few pairs reach Python.
+    A ratio r needs r / 2 of both texts' characters in common, so a similarity join on characters, whose prefix filter meets
+    only texts of a block that share a rare one, finds all candidates. Equal texts of a block are compared once; the ratio,
+    which depends on the order, is taken both ways.
     """
     own = rows.select("idx", F.col("question").alias("q"), *(F.coalesce(F.col(k), F.lit("")).alias(k) for k in ("company_name", "subtask", "filing_year")), T.strip(F.coalesce(F.col("answer"), F.lit(""))).alias("answer")).where(T.strip(F.col("q")) != "")
     keys = ["company_name", "subtask", "filing_year", "answer"]
-    a, b = own.select(*keys, F.col("idx").alias("i"), F.col("q").alias("qa")), own.select(*keys, F.col("idx").alias("j"), F.col("q").alias("qb"))
-    la, lb = F.char_length("qa"), F.char_length("qb")
-    pairs = a.join(b, keys).where((F.col("i") < F.col("j")) & (F.col("qa") != F.col("qb")) & (2 * F.least(la, lb) >= least * (la + lb)))
-    return pairs.withColumn("ratio", arrow_udf(_ratio, "double")("qa", "qb")).where(F.col("ratio") >= least).select(F.col("i").alias("first_index"), F.col("j").alias("similar_index"), F.round("ratio", 3).alias("ratio"))
+    texts = store(own.groupBy(*keys, "q").agg(F.min("idx").alias("pos")))
+    met = similar_pairs(store(characters(texts, keys)), keys, least / (2 - least) - 1e-9)
+    text = texts.select("pos", "q")
+    both = met.join(text.select(F.col("pos").alias("a"), F.col("q").alias("qa")), "a").join(text.select(F.col("pos").alias("b"), F.col("q").alias("qb")), "b")
+    ratio = arrow_udf(_ratio, "double")
+    found = store(both.select("a", "b", ratio("qa", "qb").alias("ab"), ratio("qb", "qa").alias("ba")).where(F.greatest("ab", "ba") >= least))
+    members = own.join(texts, [*keys, "q"]).select("pos", "idx")
+    pairs = found.join(members.select(F.col("pos").alias("a"), F.col("idx").alias("i")), "a").join(members.select(F.col("pos").alias("b"), F.col("idx").alias("j")), "b")
+    pairs = pairs.select(F.least("i", "j").alias("first_index"), F.greatest("i", "j").alias("similar_index"), F.when(F.col("i") < F.col("j"), F.col("ab")).otherwise(F.col("ba")).alias("ratio"))
+    return pairs.where(F.col("ratio") >= least).withColumn("ratio", F.round("ratio", 3))
 
 
 def label_values(rows: Column) -> Column:
@@ -113,17 +131,16 @@ def distribution(rows: DataFrame, top: int = 15) -> DataFrame:
 
     Ties among the top companies go to the one that appears first (by ``idx``).
     """
-    out = None
-    for measure, key in (("subtask", "subtask"), ("accounting_standard", "accounting_standard"), ("filing_year", "filing_year")):
-        own = rows.groupBy(F.coalesce(F.col(key), F.lit("?")).alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(measure).alias("measure"), "key", "value")
-        out = own if out is None else out.unionByName(own)
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("edinet_code", F.lit("?"))).alias("c"))
-    one = whole.select(F.explode(F.array(F.struct(F.lit("total").alias("measure"), F.lit("").alias("key"), F.col("n").alias("value")), F.struct(F.lit("unique_companies").alias("measure"), F.lit("").alias("key"), F.col("c").alias("value")))).alias("x")).select("x.*")
-    return out.unionByName(one).unionByName(top_companies(rows, top).select(F.lit("top_companies").alias("measure"), F.col("company_name").alias("key"), F.col("n").alias("value")))
-
-
-def top_companies(rows: DataFrame, top: int) -> DataFrame:
-    return rows.groupBy(F.coalesce("company_name", F.lit("?")).alias("company_name")).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).orderBy(F.desc("n"), "first").limit(top)
+    keys = [F.coalesce(F.col(k), F.lit("?")).alias(k) for k in ("subtask", "accounting_standard", "filing_year", "edinet_code", "company_name")]
+    own = rows.select("idx", *keys)
+    names = own.columns[1:]
+    sets = own.groupingSets([[], *([k] for k in names)], *names).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    sets = store(sets.select("g", F.coalesce(*names, F.lit("")).alias("key"), "n", "first"))  # one pass over the rows; a row a key
+    of = {k: 31 - (16 >> i) for i, k in enumerate(names)}
+    out = sets.where("n > 0 OR g = 31").select(F.coalesce(*(F.when(F.col("g") == of[k], k) for k in names[:3]), F.when(F.col("g") == 31, "total")).alias("measure"), "key", F.col("n").alias("value")).where("measure IS NOT NULL")
+    companies = sets.where(F.col("g") == of["edinet_code"]).agg(F.count(F.lit(1)).alias("value")).select(F.lit("unique_companies").alias("measure"), F.lit("").alias("key"), "value")
+    best = sets.where(F.col("g") == of["company_name"]).orderBy(F.desc("n"), "first").limit(top)
+    return out.unionByName(companies).unionByName(best.select(F.lit("top_companies").alias("measure"), "key", F.col("n").alias("value")))
 
 
 def counts(findings: DataFrame) -> DataFrame:
@@ -142,12 +159,67 @@ def integrity(filings: DataFrame, companies: DataFrame) -> DataFrame:
     return top.unionByName(filings.select(stem.alias("file"), "year", F.explode(F.filter(F.array(wrong, kind, name), lambda x: x.isNotNull())).alias("issue")))
 
 
+def first_ids(findings: DataFrame, most: int = 20) -> DataFrame:
+    """``finding, id`` of the first ids of each category: the limit is known before the rows move."""
+    place = F.row_number().over(Window.partitionBy("finding").orderBy("id"))
+    return findings.select("finding", "id").distinct().withColumn("place", place).where(F.col("place") <= most).select("finding", "id", "place")
+
+
+def found(findings: DataFrame, spread: DataFrame, most: int = 20) -> dict:
+    """``distribution, counts, first``: what a report tells, as JSON would hold it (small by construction)."""
+    first: dict[str, list] = {}
+    for r in first_ids(findings, most).orderBy("finding", "place").collect():
+        first.setdefault(r["finding"], []).append(r["id"])
+    return {
+        "distribution": [{"measure": r["measure"], "key": r["key"], "value": r["value"]} for r in spread.orderBy("measure", F.desc("value"), "key").collect()],
+        "counts": {r["finding"]: r["n"] for r in counts(findings).orderBy("finding").collect()}, "first": first,
+    }
+
+
 def report(findings: DataFrame, spread: DataFrame, most: int = 20) -> str:
-    """A Markdown report from counts, the distribution and the first findings of each category (small by construction)."""
-    lines = ["# Audit report", "", "## Distribution", ""]
-    lines += [f"- {r['measure']} {r['key']}: {r['value']}".replace("  ", " ") for r in spread.orderBy("measure", F.desc("value"), "key").collect()]
-    lines += ["", "## Findings", ""]
-    lines += [f"- {r['finding']}: {r['n']}" for r in counts(findings).orderBy("finding").collect()]
-    for r in findings.groupBy("finding").agg(F.slice(F.array_sort(F.collect_set("id")), 1, most).alias("ids")).orderBy("finding").collect():
-        lines += ["", f"### {r['finding']} (first {most})", "", *(f"- {i}" for i in r["ids"])]
+    """A Markdown report from counts, the distribution and the first findings of each category."""
+    return as_markdown(found(findings, spread, most))
+
+
+def as_markdown(told: dict, title: str = "Audit report") -> str:
+    lines = [f"# {title}", "", "## Distribution", ""]
+    lines += [f"- {r['measure']} {r['key']}: {r['value']}".replace("  ", " ") for r in told["distribution"]]
+    lines += ["", "## Findings", "", *(f"- {k}: {n}" for k, n in told["counts"].items())]
+    for k, ids in told["first"].items():
+        lines += ["", f"### {k} (first {len(ids)})", "", *(f"- {i}" for i in ids)]
     return "\n".join(lines) + "\n"
+
+
+BASIC = ("schema_missing", "dsl_unparsable", "dsl_mismatch", "exact_duplicates", "near_duplicates")
+DEEP = ("impossible_cogs", "gross_profit_mismatch", "op_income_mismatch", "ni_decomposition_mismatch", "asset_total_mismatch", "balance_sheet_mismatch", "roe_convention_ambiguity", "rounding_pedantry")
+
+
+def basic(rows: DataFrame) -> DataFrame:
+    """``id, finding, detail`` of JSON objects ``(idx, value)`` by schema, program and duplicates; rows that miss a field are
+    not run as programs."""
+    def at(path):
+        return F.try_variant_get("v", path, "string")
+
+    own = rows.withColumn("missing", missing_fields(F.col("value"))).withColumn("v", F.parse_json("value"))
+    own = own.select(
+        "idx", "missing", F.coalesce(F.try_variant_get("v", "$.qa.program", "array<string>"), F.array().cast("array<string>")).alias("program"), at("$.qa.answer").alias("answer"), at("$.qa.question").alias("question"),
+        *(at(f"$.{k}").alias(k) for k in ("company_name", "subtask", "filing_year")),
+    )
+    own = store(own)
+    key = F.col("idx").cast("string").alias("id")
+    out = own.where(F.size("missing") > 0).select(key, F.lit(BASIC[0]).alias("finding"), F.array_join("missing", ",").alias("detail"))
+    out = out.unionByName(program_findings(own.where(F.size("missing") == 0)).select(key, "finding", F.lit("").alias("detail")))
+    out = out.unionByName(exact_duplicates(own).select(F.col("first_index").cast("string").alias("id"), F.lit(BASIC[3]).alias("finding"), F.col("duplicate_index").cast("string").alias("detail")))
+    return out.unionByName(near_duplicates(own).select(F.col("first_index").cast("string").alias("id"), F.lit(BASIC[4]).alias("finding"), F.concat_ws(" ", F.col("similar_index").cast("string"), F.col("ratio").cast("string")).alias("detail")))
+
+
+def deep(questions: DataFrame) -> DataFrame:
+    """``id, finding`` of nested questions by the identities of their tables and the tolerance of their last comparison."""
+    own = questions.select("id", F.col("qa.question").alias("question"), F.col("table.rows").alias("table_rows"), F.col("qa.program").alias("program"))
+    return table_findings(own).unionByName(rounding_findings(own))
+
+
+def told(findings: DataFrame, spread: DataFrame, names: tuple[str, ...], most: int = 20) -> dict:
+    """``found`` with a count for every category, zero where there is none."""
+    out = found(findings, spread, most)
+    return out | {"counts": {k: out["counts"].get(k, 0) for k in (*names, "affected ids")}}

@@ -19,9 +19,11 @@ MODES = ("numerical", "exact")
 def bind(questions: DataFrame, predictions: DataFrame) -> DataFrame:
     """Questions ``(id, subtask, gold, ...)`` with ``predicted`` from ``(id, predicted)``; a missing one is empty, an extra one ignored.
 
-    Predictions with the same id count once (the last of a JSON object can't be told apart here: the greatest).
+    Of predictions with the same id the last one counts: by ``pos`` where that column is there, as in ``load_predictions``;
+    without it the greatest.
     """
-    once = predictions.groupBy("id").agg(F.max("predicted").alias("predicted"))
+    last = F.max_by("predicted", "pos") if "pos" in predictions.columns else F.max("predicted")
+    once = predictions.groupBy("id").agg(last.alias("predicted"))
     return questions.join(once, "id", "left").withColumn("predicted", F.coalesce("predicted", F.lit("")))
 
 

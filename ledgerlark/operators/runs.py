@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import text as T
 from ledgerlark.functions.numbers import plain
-from ledgerlark.schema import PRICES, UNKNOWN_PRICE
+from ledgerlark.functions.render import RUN_PROMPT, SYSTEM_PROMPT
+from ledgerlark.schema import PRICES, REGIMES, UNKNOWN_PRICE
 from ledgerlark.scratch import store
 from ledgerlark.ship import by_value
 
@@ -34,11 +36,24 @@ def to_do(questions: DataFrame, attempts: DataFrame) -> DataFrame:
     return questions.join(attempts.select("id").distinct(), "id", "left_anti")
 
 
-def run(questions: DataFrame, provider: Callable[[str, str], dict], most_errors: int = MOST_ERRORS) -> DataFrame:
+def for_regime(model: str, regime: str, call: Callable[..., dict]) -> Callable[[str, str], dict]:
+    """A provider for ``run`` from ``call(model, system, prompt, settings)``: the fixed system prompt, the run prompt, and
+    the regime's limits (``max_output``, ``effort``, ``budget``, ``own_budget``)."""
+    settings, system, prompt = dict(REGIMES[regime]), SYSTEM_PROMPT, RUN_PROMPT
+
+    def provider(question: str, context: str) -> dict:
+        return call(model, system, prompt.replace("{context}", context).replace("{question}", question), settings)
+
+    return provider
+
+
+def run(questions: DataFrame, provider: Callable[[str, str], dict], most_errors: int = MOST_ERRORS, parallel: int = 1) -> DataFrame:
     """Attempts of questions ``(id, question, context, ...)`` by a provider function that returns ``text, input_tokens,
     output_tokens, thinking_tokens, latency_s, truncated``; a raised exception is stored as ``error``.
 
-    So many errors in a row end a partition's run before the last of them is stored.
+    So many errors in a row end the run before the last of them is stored. Questions are asked one after the other, in the
+    order of their ids, as a provider with a rate limit wants it; with ``parallel`` as many streams ask at a time and each
+    ends by its own errors.
     """
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema]
     schema = ", ".join([*columns, "raw_response string, input_tokens bigint, output_tokens bigint, thinking_tokens bigint, latency_s double, truncated boolean, error string"])
@@ -64,7 +79,36 @@ def run(questions: DataFrame, provider: Callable[[str, str], dict], most_errors:
             if bad >= most_errors:
                 return
 
-    return questions.mapInPandas(batches, schema)
+    return questions.repartition(parallel).sortWithinPartitions("id").mapInPandas(batches, schema)
+
+
+def scored(attempts: DataFrame, model: str) -> DataFrame:
+    """Attempts with ``model, predicted, parse_success, correct, cost_usd``: the tagged answer of the response against ``gold``.
+
+    An answer counts only where it was tagged; latency has three decimals, the cost six. An error predicts nothing.
+    """
+    own = attempts.withColumn("_a", T.tagged_answer("raw_response")).withColumn("model", F.lit(model))
+    ok = F.coalesce("error", F.lit("")) == ""
+    own = own.withColumn("predicted", F.when(ok, F.col("_a.predicted")).otherwise("")).withColumn("parse_success", ok & F.col("_a.parsed"))
+    own = own.withColumn("correct", F.col("parse_success") & T.numerical_match("predicted", "gold"))
+    own = own.withColumn("latency_s", F.round("latency_s", 3)).drop("_a")
+    return with_cost(own).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+def metrics(attempts: DataFrame, model: str, regime: str, data: str) -> dict:
+    """A run's metrics as JSON would hold them: rates, costs and distributions, by subtask and by standard."""
+    rows = summary(attempts).collect()  # a few rows
+
+    def shown(r) -> dict:
+        return {k: r[k] for k in r.asDict() if k not in ("grouping", "key")}
+
+    whole = next((shown(r) for r in rows if r["grouping"] == "all"), {"total": 0})
+    for name, column in (("output_tokens", "output_tokens"), ("latency_s", "latency_s")):
+        got = spread(attempts, column).first()
+        whole[name] = got.asDict() if got is not None else {}
+    for name in ("subtask", "accounting_standard"):
+        whole[f"by_{name}"] = {r["key"]: shown(r) for r in sorted(rows, key=lambda r: r["key"]) if r["grouping"] == name}
+    return {"model": model, "regime": regime, "data": data, "n": whole["total"], "summary": whole}
 
 
 def exclusive_quantile(values: Column, p: float) -> Column:

@@ -17,8 +17,11 @@ BEFORE = {
 AFTER = {
     "pl_comparison": "当期は前期比で{revenue_direction}となった。", "bs_summary": "総資産は前期比{asset_direction}。", "cf_summary": "フリーキャッシュフローは{fcf_sign}であった。", "cross_statement": "同社は資本効率の改善に取り組んでいる。", "bs_consistency": "なお、金額は{scale}単位で表示している。",
 }
+# Lines that a table of two statements shows first, in this order.
 REQUIRED_INCOME = ("売上高", "売上収益", "営業利益", "当期純利益", "親会社株主に帰属する当期純利益", "経常利益")
 REQUIRED_BALANCE = ("資産合計", "純資産合計", "株主資本合計", "負債合計")
+# Lines of a table, at most, by statement.
+MOST = {"income_statement": 16, "balance_sheet": 18, "cash_flow_statement": 10}
 OPERATING, INVESTING = "営業活動によるキャッシュ・フロー", "投資活動によるキャッシュ・フロー"
 
 KEYS = ("company", "year", "statement")
@@ -36,6 +39,33 @@ def first_items(raw: DataFrame, value: str = "value") -> DataFrame:
     return rows.groupBy(*KEYS, "label").agg(best).select(*KEYS, "x.pos", "label", "x.value")
 
 
+def numeric_items(raw: DataFrame) -> DataFrame:
+    """Items of a named element that have a number."""
+    return raw.where(F.col("value").isNotNull() & (F.col("element") != ""))
+
+
+def any_labels(spark) -> DataFrame:
+    """``element, any_label``: an element's label over all statements, a later statement's where two have it; some 130 rows."""
+    later = F.when(F.col("statement") == "cash_flow_statement", 3).when(F.col("statement") == "balance_sheet", 2).otherwise(1)
+    return element_dim(spark).groupBy("element").agg(F.max_by("label", later).alias("any_label"))
+
+
+def with_labels(raw: DataFrame) -> DataFrame:
+    """Items with ``any_label``, null where the element is unknown."""
+    return raw.join(F.broadcast(any_labels(raw.sparkSession)), "element", "left")
+
+
+def with_prior_year(items: DataFrame) -> DataFrame:
+    """Items ``(company, label, year, value)`` that have one of the year before, with its value as ``prev``."""
+    before = items.select("company", "label", (F.col("year").cast("int") + 1).cast("string").alias("year"), F.col("value").alias("prev"))
+    return items.join(before, ["company", "label", "year"])
+
+
+def head_of(items: Column, most: int) -> Column:
+    """The first lines that both years have."""
+    return F.slice(F.filter(items, lambda i: i["prev"].isNotNull()), 1, most)
+
+
 def element_items(raw: DataFrame) -> DataFrame:
     """The same from rows ``(company, year, statement, pos, element, context, value)`` of named elements.
 
@@ -43,17 +73,21 @@ def element_items(raw: DataFrame) -> DataFrame:
     in raw order, with the value that came first.
     """
     dim = element_dim(raw.sparkSession)
-    label_of = F.broadcast(dim.groupBy("element").agg(F.max_by("label", F.when(F.col("statement") == "cash_flow_statement", 3).when(F.col("statement") == "balance_sheet", 2).otherwise(1)).alias("any_label")))
     shown = F.broadcast(dim.where("rank IS NOT NULL").select("statement", "element", "label", "rank"))
-    rows = raw.where(is_current(F.col("context")) & F.col("value").isNotNull() & (F.col("element") != ""))
+    rows = numeric_items(raw).where(is_current(F.col("context")))
     own = rows.groupBy(*KEYS, "element").agg(F.max_by("value", "pos").alias("last"), F.min_by("value", "pos").alias("first"), F.min("pos").alias("at"))
-    known = own.join(shown, ["statement", "element"], "left").join(label_of, "element", "left")
+    known = with_labels(own.join(shown, ["statement", "element"], "left"))
     ranked = F.when(F.col("rank").isNotNull(), F.struct(F.col("label").alias("label"), F.col("rank").cast("bigint").alias("pos"), F.col("last").alias("value")))
     other = F.when(F.col("any_label").isNotNull(), F.struct(F.col("any_label").alias("label"), (F.col("at") + 1_000_000).alias("pos"), F.col("first").alias("value")))
     both = known.select(*KEYS, F.explode(F.filter(F.array(ranked, other), lambda x: x.isNotNull())).alias("x")).select(*KEYS, "x.*")
     return both.groupBy(*KEYS, "label").agg(F.min(F.struct("pos", "value")).alias("x")).select(*KEYS, "x.pos", "label", "x.value")
 
 
+def labelled_items(raw: DataFrame) -> DataFrame:
+    """Labelled items of both raw shapes: the newer one names labels, the older one elements (``newer`` tells)."""
+    return first_items(raw.where("newer")).unionByName(element_items(raw.where("not newer")))
+
+
 def scale_of(values: Column) -> Column:
     """``struct(label, divisor)`` for an array of values by its largest magnitude."""
     top = F.array_max(F.transform(values, F.abs))
@@ -136,7 +170,7 @@ def contexts(items: DataFrame, companies: DataFrame, filings: DataFrame) -> Data
     # in steps, so that each list, scale and text is a column that is computed once
     base = base.withColumns({"pl2": both("income_statement"), "bs2": both("balance_sheet"), "cf2": both("cash_flow_statement")})
     base = base.withColumns({
-        "l_pl": F.slice("pl2", 1, 16), "l_bs2": F.slice("bs2", 1, 18), "l_bs": F.slice("balance_sheet", 1, 18), "l_cf": F.slice("cf2", 1, 10),
+        "l_pl": head_of(F.col("income_statement"), MOST["income_statement"]), "l_bs2": head_of(F.col("balance_sheet"), MOST["balance_sheet"]), "l_bs": F.slice("balance_sheet", 1, MOST["balance_sheet"]), "l_cf": head_of(F.col("cash_flow_statement"), MOST["cash_flow_statement"]),
         "l_x": F.concat(with_required(F.col("income_statement"), REQUIRED_INCOME), with_required(F.col("balance_sheet"), REQUIRED_BALANCE)),
         "free": _value(F.col("cash_flow_statement"), OPERATING, "cur") + _value(F.col("cash_flow_statement"), INVESTING, "cur"), "total": _value(F.col("balance_sheet"), "資産合計", "cur"), "total_p": _value(F.col("balance_sheet"), "資産合計", "prev"),
     })

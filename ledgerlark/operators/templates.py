@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import numbers as N
+from ledgerlark.scratch import store
 
 NUMERIC, CHECK, TREND = "numerical_reasoning", "consistency_checking", "temporal_reasoning"
 OPERATING, INVESTING, FINANCING = "営業活動によるキャッシュ・フロー", "投資活動によるキャッシュ・フロー", "財務活動によるキャッシュ・フロー"
@@ -25,6 +26,9 @@ def _step(name: str, *arguments: Column | str) -> Column:
     return _cat(*out, ")")
 
 
+# Labels, question wordings and answers of the metrics below.
+
+
 class Context:
     """Values of a context row. Lookups and everything made of them are columns of their own, added in levels by ``stage``,
     so that the metrics' expressions stay small."""
@@ -37,11 +41,10 @@ class Context:
 
     def let(self, level: int, name: str, value: Column) -> Column:
         self.levels[level][f"q_{name}"] = value
-        return F.col(f"q_{name}")
+        return F.col(f"`q_{name}`")
 
     def _value(self, label: str, year: Column, side: str) -> Column:
-        key = f"{side}_{label.encode().hex()}"
-        return self.let(1, key, F.try_element_at(F.col("raw_values"), F.concat(F.lit(f"{label}_"), year)))
+        return self.let(1, f"{side}_{label}", F.try_element_at(F.col("raw_values"), F.concat(F.lit(f"{label}_"), year)))
 
     def cur(self, label: str) -> Column:
         """The filing year's value."""
@@ -233,19 +236,35 @@ def evidence_rows(labels: Column, rows: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(at, lambda i: i >= 0)))
 
 
+#: Metrics in one branch: more would outgrow what a generated method may hold.
+BRANCH = 6
+
+
+def _asked(contexts: DataFrame, kind: str, only: tuple[str, ...]) -> DataFrame:
+    """Questions of some templates of one kind, in one pass over its contexts and without a shuffle."""
+    names, c = contexts.columns, Context()
+    made = [F.when(m.isNotNull(), F.struct(F.lit(no).alias("no"), m.alias("m"))) for no, (name, m) in enumerate(zip(NAMES[kind], KINDS[kind](c), strict=True)) if name in only]
+    out = c.stage(contexts.where(F.col("context_type") == kind)).select(*names, F.explode(F.array(*made)).alias("x")).where("x IS NOT NULL").select(*names, F.col("x.no").alias("template_no"), "x.m")
+    qa = F.struct("m.question", "m.program", "m.answer", evidence_rows(F.col("m.labels"), F.col("table.rows")).alias("gold_evidence"))
+    return out.select("company_name", "edinet_code", "source_doc_id", "filing_year", "accounting_standard", "context_type", "pos", "template_no", "m.template", "m.subtask", "pre_text", "post_text", "table", qa.alias("qa"), "scale")
+
+
 def questions(contexts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Questions of all contexts (of some templates only, if named), in the order ``(edinet_code, pos, template_no)``.
 
-    Each kind of context gets only its own metrics, all in one pass over the contexts and without a shuffle.
+    Templates are asked in branches of a few metrics of one kind. Where there are several branches, the contexts are stored
+    first, by kind, so that they are made once and a branch reads its kind only.
     """
-    names, c, made = contexts.columns, Context(), None
-    for kind, metrics in KINDS.items():
-        own = [F.when(m.isNotNull(), F.struct(F.lit(no).alias("no"), m.alias("m"))) for no, (name, m) in enumerate(zip(NAMES[kind], metrics(c), strict=True)) if only is None or name in only]
-        if own:
-            of_kind = F.col("context_type") == kind
-            made = F.when(of_kind, F.array(*own)) if made is None else made.when(of_kind, F.array(*own))
-    if made is None:
+    wanted = TEMPLATES if only is None else only
+    if not set(wanted) <= set(TEMPLATES) or not wanted:
         raise ValueError(f"no such template: {only}")
-    out = c.stage(contexts).select(*names, F.explode(made).alias("x")).where("x IS NOT NULL").select(*names, F.col("x.no").alias("template_no"), "x.m")
-    qa = F.struct("m.question", "m.program", "m.answer", evidence_rows(F.col("m.labels"), F.col("table.rows")).alias("gold_evidence"))
-    return out.select("company_name", "edinet_code", "source_doc_id", "filing_year", "accounting_standard", "context_type", "pos", "template_no", "m.template", "m.subtask", "pre_text", "post_text", "table", qa.alias("qa"), "scale")
+    branches = []
+    for kind, names in NAMES.items():
+        own = [n for n in names if n in wanted]
+        branches += [(kind, tuple(own[k : k + BRANCH])) for k in range(0, len(own), BRANCH)]
+    kept = contexts if len(branches) == 1 else store(contexts, "context_type")
+    made = [_asked(kept, *b) for b in branches]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out

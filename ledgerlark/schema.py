@@ -22,7 +22,7 @@ PRICES = {
     "gemini-2.5-pro": (1.25, 10.0, 10.0), "gemini-2.5-flash": (0.075, 0.30, 0.30), "gemini-2.5-flash-lite": (0.04, 0.15, 0.15), "gemini-2.0-flash": (0.10, 0.40, 0.40),
 }
 UNKNOWN_PRICE = (2.0, 10.0, 10.0)
-#: Regimes of a run: most output tokens, and the effort or thinking budget that each kind of provider is asked for.
+# Regimes of a run: most output tokens, and the effort or thinking budget that each kind of provider is asked for.
 REGIMES = {"R0": {"max_output": 2048, "effort": "none", "budget": 0, "own_budget": None}, "R1": {"max_output": 8192, "effort": "medium", "budget": -1, "own_budget": 4096}}
 
 # Filing windows (first month, day, last month, day), the likeliest first.

@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import render as R
-from ledgerlark.schema import FLAT, QA, SUBTASKS
+from ledgerlark.schema import FLAT, QA, SUBTASKS, TABLE
 
 NAMES = "array<string>"
+#: The name under which a published set is read whole.
+ALL = "all"
 META = ("edinet_code", "filing_year", "accounting_standard", "source_doc_id")
 
 
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
     """``file, pos, value``: the objects of a JSON array, or of JSON lines (blank ones skipped), as text in their order.
 
-    A file whose first character that isn't blank is ``[`` is an array and is read whole; others are read line by line.
+    A file whose first character that isn't blank is ``[`` is an array and is read whole; others are only ever read line
+    by line, however large they are. The first lines are found by an aggregate over the lines, one row a file.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    array = whole.where(F.ltrim(F.regexp_replace("value", r"^[\s\x{FEFF}]+", "")).startswith("["))
-    items = array.select("file", F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "v")).select("file", F.col("pos").cast("bigint"), F.to_json("v").alias("value"))
-    arrays = array.select(F.col("file").alias("f"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "value").where(F.trim("value") != "")
-    return items.unionByName(lines.join(F.broadcast(arrays), F.col("file") == F.col("f"), "left_anti"))
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rises with the place in the file
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("pos"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value")).where(F.trim("value") != "")
+    first = lines.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "pos").alias("first"))
+    arrays = [r["file"] for r in first.where(F.col("first") == "[").collect()]
+    if not arrays:
+        return lines
+    # a path as the metadata shows it is a URI
+    whole = spark.read.text([spark._jvm.java.net.URI(f).getPath() if f.startswith("file:") else f for f in arrays], wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^[\s\x{FEFF}]+", "").alias("value"))
+    items = whole.select("file", F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "v")).select("file", F.col("pos").cast("bigint"), F.to_json("v").alias("value"))
+    return items.unionByName(lines.where(~F.col("file").isin(arrays)))
+
+
+def of_subtask(questions: DataFrame, subtask: str | None) -> DataFrame:
+    """The questions of one subtask, or all; an unknown subtask is an error."""
+    if subtask is None:
+        return questions
+    if subtask not in SUBTASKS:
+        raise ValueError(f"unknown subtask: {subtask}")
+    return questions.where(F.col("subtask") == subtask)
+
+
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first rows in an order: a sort with a limit keeps that many rows a task, so nothing else moves."""
+    return rows.orderBy(*order).limit(most)
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -67,17 +90,15 @@ def to_questions(rows: DataFrame) -> DataFrame:
 
 def load_file(spark: SparkSession, path: str, subtask: str | None = None) -> DataFrame:
     """Questions of a JSON or JSONL file, in file order, of one subtask if given."""
-    out = to_questions(json_rows(spark, path)).orderBy("file", "pos").drop("file", "pos")
-    return out.where(F.col("subtask") == subtask) if subtask else out
+    return of_subtask(to_questions(json_rows(spark, path)), subtask).orderBy("file", "pos").drop("file", "pos")
 
 
 def load_table(spark: SparkSession, root: str, subtask: str | None = None) -> DataFrame:
-    """The stored flat questions; one subtask reads only its own files. Without one, all three must be there."""
-    if subtask is not None and subtask not in SUBTASKS:
-        raise ValueError(f"unknown subtask: {subtask}")
+    """The stored flat questions; one subtask reads only its own files, ``all`` whatever there is. Without one, all three
+    subtasks must be there."""
     rows = spark.read.parquet(root)
-    if subtask:
-        return rows.where(F.col("subtask") == subtask)
+    if subtask is not None:
+        return rows if subtask == ALL else of_subtask(rows, subtask)
     have = {r[0] for r in rows.select("subtask").distinct().collect()}
     if missing := [s for s in SUBTASKS if s not in have]:
         raise ValueError(f"no questions for {', '.join(missing)}")
@@ -98,9 +119,15 @@ def unflatten(flat: DataFrame) -> DataFrame:
     return flat.select("id", "subtask", "pre_text", "post_text", F.struct(F.col("table_headers").alias("headers"), F.col("table_rows").alias("rows")).alias("table"), F.struct("question", "program", "answer", "gold_evidence").alias("qa"), *META)
 
 
-def publish(flat: DataFrame, root: str) -> None:
-    """The flat questions, one directory a subtask."""
+def publish(flat: DataFrame, root: str) -> dict[str, int]:
+    """The flat questions, one directory a subtask; rows by configuration, that of ``all`` included. What was written is read
+    back and counted: a set that lacks rows is an error."""
     flat.write.mode("overwrite").partitionBy("subtask").parquet(root)
+    wanted = dict(flat.groupBy("subtask").count().collect())
+    have = dict(load_table(flat.sparkSession, root, ALL).groupBy("subtask").count().collect())
+    if wanted != have:
+        raise RuntimeError(f"the written set is not complete: {have} of {wanted}")
+    return {**dict(sorted(have.items())), ALL: sum(have.values())}
 
 
 def to_grid_rows(questions: DataFrame) -> DataFrame:
@@ -115,8 +142,8 @@ def from_grid_rows(rows: DataFrame, subtask: str = "numerical_reasoning") -> Dat
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """``id, predicted`` of JSON objects from ids to answers."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "predicted"))
+    """``pos, id, predicted`` of JSON objects from ids to answers; an id that an object repeats is there each time, in order."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "id", "predicted"))
 
 
 def write_results(verdicts: DataFrame, path: str) -> None:
@@ -155,6 +182,67 @@ def load_filings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return companies, filings, items
 
 
+#: Stored contexts and generated questions.
+CONTEXT = f"company_name string, edinet_code string, source_doc_id string, filing_year string, accounting_standard string, pos bigint, context_type string, pre_text array<string>, post_text array<string>, table {TABLE}, raw_values map<string,double>, scale string"
+GENERATED = f"company_name string, edinet_code string, source_doc_id string, filing_year string, accounting_standard string, context_type string, pos bigint, template_no bigint, template string, subtask string, pre_text array<string>, post_text array<string>, table {TABLE}, qa {QA}, scale string"
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Rows of any stage (contexts, generated, final, rejected) as JSON lines, nulls included."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows as they were written, from JSON lines or arrays; without a stored ``pos`` the place in the file counts."""
+    rows = json_rows(spark, path).select(F.col("pos").alias("_place"), F.from_json("value", schema).alias("r"))
+    names = [f.name for f in rows.schema["r"].dataType]
+    return rows.select(*(F.coalesce("r.pos", "_place").alias("pos") if n == "pos" else F.col(f"r.{n}") for n in names))
+
+
+def load_contexts(spark: SparkSession, path: str) -> DataFrame:
+    """Stored contexts, of this writer or as JSON arrays, one file a company."""
+    return _stored(spark, path, CONTEXT)
+
+
+def load_generated(spark: SparkSession, path: str) -> DataFrame:
+    """Stored generated questions; one without a subtask is numerical."""
+    return _stored(spark, path, GENERATED).withColumn("subtask", F.coalesce("subtask", F.lit(SUBTASKS[0]))).withColumn("template_no", F.coalesce("template_no", F.lit(0).cast("bigint")))
+
+
+#: A question of the final set as it is stored.
+FINAL = f"id string, subtask string, company_name string, edinet_code string, source_doc_id string, filing_year string, accounting_standard string, scale string, pre_text array<string>, post_text array<string>, table {TABLE}, qa {QA}"
+
+
+def load_final(spark: SparkSession, path: str) -> DataFrame:
+    """Questions of a final set with all their metadata, from JSON lines or arrays."""
+    return _stored(spark, path, FINAL)
+
+
+def load_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected candidates with their ``reason``."""
+    return _stored(spark, path, f"reason string, {FINAL.removeprefix('id string, ')}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file (a report, statistics, a manifest), in any store that Spark reaches."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
+
+
 def append_attempts(attempts: DataFrame, path: str) -> None:
     """Attempts are appended; what is stored is never asked again (``runs.to_do``)."""
     attempts.write.mode("append").parquet(path)
+
+
+def load_attempts(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored attempts, or None where there are none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
