@@ -36,8 +36,8 @@ def times(x: Column) -> Column:
 
 
 def literal(x: Column) -> Column:
-    """A double as it is written inside a program: at least one decimal, no exponent (at most 10 decimals)."""
-    s = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"0+$", "")
+    """A double as it is written inside a program: the shortest digits that give it back, at least one decimal, no exponent."""
+    s = F.regexp_replace(x.cast("string").cast("decimal(38,18)").cast("string"), r"0+$", "")
     return F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
 
 

@@ -42,7 +42,9 @@ def program_findings(rows: DataFrame) -> DataFrame:
     ran = T.with_audit_match(ran, "_text", "_gold", "_same")
     r, gold = F.col("_r"), F.col("_gold")
     wrong = F.when(r["kind"] == "bool", F.when(r["text"] == "true", ~gold.isin(*N.AUDIT_TRUE)).otherwise(~gold.isin(*N.AUDIT_FALSE))).otherwise(~F.col("_same"))
-    return ran.select("idx", F.when(r["kind"] == "error", "dsl_unparsable").when(wrong, "dsl_mismatch").alias("finding")).where("finding IS NOT NULL")
+    # a column of its own: a filter on the expression would repeat it all inside the condition
+    found = F.when(r["kind"] == "error", "dsl_unparsable").when(wrong, "dsl_mismatch")
+    return ran.select("idx", F.explode_outer(F.array(found)).alias("finding")).where("finding IS NOT NULL")
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
@@ -134,13 +136,14 @@ def distribution(rows: DataFrame, top: int = 15) -> DataFrame:
     keys = [F.coalesce(F.col(k), F.lit("?")).alias(k) for k in ("subtask", "accounting_standard", "filing_year", "edinet_code", "company_name")]
     own = rows.select("idx", *keys)
     names = own.columns[1:]
-    sets = own.groupingSets([[], *([k] for k in names)], *names).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
-    sets = store(sets.select("g", F.coalesce(*names, F.lit("")).alias("key"), "n", "first"))  # one pass over the rows; a row a key
+    sets = own.groupingSets([[k] for k in names], *names).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    sets = store(sets.select("g", F.coalesce(*names).alias("key"), "n", "first"))  # one pass over the rows; a row a key
     of = {k: 31 - (16 >> i) for i, k in enumerate(names)}
-    out = sets.where("n > 0 OR g = 31").select(F.coalesce(*(F.when(F.col("g") == of[k], k) for k in names[:3]), F.when(F.col("g") == 31, "total")).alias("measure"), "key", F.col("n").alias("value")).where("measure IS NOT NULL")
+    out = sets.select(F.coalesce(*(F.when(F.col("g") == of[k], k) for k in names[:3])).alias("measure"), "key", F.col("n").alias("value")).where("measure IS NOT NULL")
+    total = sets.where(F.col("g") == of["subtask"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value")).select(F.lit("total").alias("measure"), F.lit("").alias("key"), "value")
     companies = sets.where(F.col("g") == of["edinet_code"]).agg(F.count(F.lit(1)).alias("value")).select(F.lit("unique_companies").alias("measure"), F.lit("").alias("key"), "value")
     best = sets.where(F.col("g") == of["company_name"]).orderBy(F.desc("n"), "first").limit(top)
-    return out.unionByName(companies).unionByName(best.select(F.lit("top_companies").alias("measure"), "key", F.col("n").alias("value")))
+    return out.unionByName(total).unionByName(companies).unionByName(best.select(F.lit("top_companies").alias("measure"), "key", F.col("n").alias("value")))
 
 
 def counts(findings: DataFrame) -> DataFrame:

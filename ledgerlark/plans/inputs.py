@@ -32,7 +32,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, year(o_
 """
 _LINES = (
     # statement, pos, label, value, condition
-    ("income_statement", 0, "売上高", "rev", "c % 5 <> 1"), ("income_statement", 0, "売上収益", "rev", "c % 5 = 1"), ("income_statement", 1, "売上原価", "rev - (rev - rev % 100) * (3 + c % 4) / 10", "c % 6 <> 2"),
+    ("income_statement", 0, "売上高", "rev", "c % 5 <> 1"), ("income_statement", 0, "売上収益", "rev", "c % 5 = 1"), ("income_statement", 1, "売上原価", "rev - (rev - rev % 100) * (3 + c % 4) / 10 + CASE WHEN c % 23 = 7 THEN rev ELSE 0 END", "c % 6 <> 2"),
     ("income_statement", 2, "売上総利益", "(rev - rev % 100) * (3 + c % 4) / 10 + CASE WHEN c % 9 = 4 THEN rev - rev % 100 ELSE 0 END", "c % 6 <> 2"), ("income_statement", 3, "販売費及び一般管理費", "(rev - rev % 100) * (2 + w % 3) / 10", "c % 7 <> 3"),
     ("income_statement", 4, "営業利益", "(rev - rev % 100) * (3 + c % 4 - 2 - w % 3) / 10", "true"), ("income_statement", 5, "経常利益", "(rev - rev % 100) * (3 + c % 4 - 2 - w % 3) / 10 + w % 100000 - 50000", "c % 5 <> 1"),
     ("income_statement", 6, "当期純利益", "(rev - rev % 100) * (3 + c % 4 - 3) / 20 - w % 1000", "c % 4 <> 3"), ("income_statement", 7, "親会社株主に帰属する当期純利益", "(rev - rev % 100) * (3 + c % 4 - 3) / 20 - w % 2000", "c % 3 <> 2"), ("income_statement", 8, "非支配株主に帰属する当期純利益", "w % 1000", "c % 3 = 1"),
@@ -54,9 +54,9 @@ SELECT CAST(l_suppkey AS STRING) AS company, CAST(l_orderkey % 40 AS STRING) AS
   concat(CASE WHEN l_returnflag = 'R' THEN 'Prior1Year' ELSE 'CurrentYear' END, CASE WHEN l_linestatus = 'O' THEN 'Duration' ELSE 'Instant' END, CASE WHEN l_quantity > 40 THEN '_NonConsolidatedMember' ELSE '' END) AS context,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST({YEN} AS DOUBLE) END AS value FROM lineitem
 """
-#: Question rows of documents: a block of companies, subtasks and standards, short texts of which some repeat.
+#: Question rows of documents: companies, subtasks and standards, whole texts of which some repeat.
 QUESTIONS = """
-SELECT doc_id AS idx, doc_id AS pos, substr(text, 1, 60) AS question, CAST(n_chars % 7 AS STRING) AS answer, source AS edinet_code, concat('Company ', source) AS company_name,
+SELECT doc_id AS idx, doc_id AS pos, text AS question, CAST(n_chars % 7 AS STRING) AS answer, source AS edinet_code, concat('Company ', source) AS company_name,
   CASE doc_id % 3 WHEN 0 THEN 'numerical_reasoning' WHEN 1 THEN 'consistency_checking' ELSE 'temporal_reasoning' END AS subtask, CASE n_chars % 3 WHEN 0 THEN 'IFRS' WHEN 1 THEN 'J-GAAP' ELSE 'US-GAAP' END AS accounting_standard,
   CAST(2023 + doc_id % 2 AS STRING) AS filing_year, 1 + n_chars % 6 AS steps FROM documents
 """

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import numbers as N
 from ledgerlark.operators import audit as A
+from ledgerlark.operators import program as P
 from ledgerlark.operators import statements as S
 from ledgerlark.operators import templates as G
 from ledgerlark.operators import validate as V
 from ledgerlark.plans.registry import QUERIES, SQL, query
 from ledgerlark.schema import CURRENT, DISPLAY, ELEMENTS, LABELS, PREFIXES, TARGETS, WINDOWS
+from ledgerlark.sources import io
 
 # line items
 
@@ -32,8 +37,7 @@ def _(facts, filings):
 
 @query("j9_prior_year", "SELECT a.company, a.year, a.label, a.value AS cur, b.value AS prev FROM facts a JOIN facts b ON a.company = b.company AND a.label = b.label AND CAST(b.year AS INT) = CAST(a.year AS INT) - 1", "facts")
 def _(f):
-    before = f.select("company", "label", (F.col("year").cast("int") + 1).cast("string").alias("year"), F.col("value").alias("prev"))
-    return f.join(before, ["company", "label", "year"]).select("company", "year", "label", F.col("value").alias("cur"), "prev")
+    return S.with_prior_year(f).select("company", "year", "label", F.col("value").alias("cur"), "prev")
 
 
 _CURRENT = ", ".join(f"'{c}'" for c in CURRENT)
@@ -46,15 +50,12 @@ def _(r):
 
 @query("f3_numeric_items", "SELECT pos, value FROM raw_items WHERE value IS NOT NULL AND element <> ''", "raw_items")
 def _(r):
-    return r.where("value IS NOT NULL AND element <> ''").select("pos", "value")
+    return S.numeric_items(r).select("pos", "value")
 
 
 @query("j3_labels", f"SELECT pos, CASE element {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in LABELS.items())} END AS label FROM raw_items WHERE element <> ''", "raw_items")
 def _(r):
-    from ledgerlark.schema import element_dim
-
-    dim = element_dim(r.sparkSession).groupBy("element").agg(F.max_by("label", F.when(F.col("statement") == "cash_flow_statement", 3).when(F.col("statement") == "balance_sheet", 2).otherwise(1)).alias("label"))
-    return r.where("element <> ''").join(F.broadcast(dim), "element", "left").select("pos", "label")
+    return S.with_labels(r.where("element <> ''")).select("pos", F.col("any_label").alias("label"))
 
 
 @query("w2_first_per_label", "SELECT company, year, label, pos, value FROM (SELECT company, year, element AS label, pos, value, row_number() OVER (PARTITION BY company, year, statement, element ORDER BY pos, value) AS rn FROM raw_items WHERE value IS NOT NULL AND element <> '') WHERE rn = 1", "raw_items")
@@ -84,9 +85,16 @@ def _(r):
     return out.select("company", "year", "label", F.when(at >= 1_000_000, F.floor((at - 1_000_000) / 2).cast("bigint") + 1_000_000).otherwise(at).alias("pos"), "value")
 
 
-@query("a9_scale", "SELECT company, year, CASE WHEN max(abs(value)) >= 1e8 THEN '百万円' WHEN max(abs(value)) >= 1e6 THEN '千円' ELSE '円' END AS scale FROM facts WHERE statement = 'cash_flow_statement' GROUP BY company, year", "facts")
+#: Values a thousandth and a millionth as large too, so that every scale occurs.
+_SIZES = "(SELECT company, year, statement, value / d AS value, d FROM facts, (VALUES (1.0::DOUBLE), (1000.0::DOUBLE), (1000000.0::DOUBLE)) t(d))"
+
+
+@query("a9_scale", f"SELECT company, year, statement, d, CASE WHEN max(abs(value)) >= 1e8 THEN '百万円' WHEN max(abs(value)) >= 1e6 THEN '千円' ELSE '円' END AS scale FROM {_SIZES} GROUP BY company, year, statement, d", "facts")
 def _(f):
-    return f.where("statement = 'cash_flow_statement'").groupBy("company", "year").agg(S.scale_by_group(F.col("value")).alias("scale"))
+    sizes = f.select("company", "year", "statement", "value", F.explode(F.array(F.lit(1.0), F.lit(1000.0), F.lit(1000000.0))).alias("d")).withColumn("value", F.col("value") / F.col("d"))
+    own = sizes.groupBy("company", "year", "statement", "d").agg(S.scale_by_group(F.col("value")).alias("scale"), F.collect_list("value").alias("all"))  # a few values a statement
+    both = F.when(S.scale_of(F.col("all"))["label"] == F.col("scale"), F.col("scale")).otherwise("the two differ")
+    return own.select("company", "year", "statement", "d", both.alias("scale"))
 
 
 _WINDOW_SQL = f"""WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS company, o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, o_orderstatus <> 'P' AS x FROM orders),
@@ -186,30 +194,37 @@ _WIDE = f"""w AS (SELECT company, kind, y1, any_value(scale) AS scale, {_PIVOT}
  w2 AS (SELECT *, {_STAND}, coalesce(sales, rev2) AS rev, CASE WHEN sales IS NOT NULL THEN sales_p ELSE rev2_p END AS rev_p, CASE WHEN ni1 IS NOT NULL THEN ni1 ELSE ni2 END AS ni, CASE WHEN ni1 IS NOT NULL THEN ni1_p ELSE ni2_p END AS ni_p, coalesce(nullif(ni1, 0), ni2) AS nix FROM w), v AS (SELECT *, {_TOTAL} FROM w2)"""
 
 
+# Each gives the answer as text and the program's result as a number (1 and 0 for truth).
+
+
 def _p1(x):
-    return f"format('{{:.1f}}%', {x})"
+    return f"format('{{:.1f}}%', {x})", x
 
 
 def _p2(x):
-    return f"format('{{:.2f}}%', {x})"
+    return f"format('{{:.2f}}%', {x})", x
 
 
 def _m(x, unit="''"):
-    return f"concat(format('{{:,.0f}}', {x}), {unit})"
+    return f"concat(format('{{:,.0f}}', {x}), {unit})", x
 
 
 def _w(test, yes, no):
-    return f"CASE WHEN {test} THEN '{yes}' ELSE '{no}' END"
+    return f"CASE WHEN {test} THEN '{yes}' ELSE '{no}' END", f"CASE WHEN {test} THEN 1.0 ELSE 0.0 END"
 
 
 def _x(x):
-    return f"concat(format('{{:.2f}}', {x}), '倍')"
+    return f"concat(format('{{:.2f}}', {x}), '倍')", f"CAST(format('{{:.2f}}', {x}) AS DOUBLE)"
+
+
+def _pt(x):
+    return f"concat(format('{{:.1f}}', {x}), 'ポイント')", x
 
 
 #: Template: (guard, answer, steps).
 FORMULAS = {
     "PL1": ("rev_p <> 0", _p1("(rev - rev_p) / rev_p * 100"), 3), "PL2": ("rev <> 0 AND op IS NOT NULL", _p1("op / rev * 100"), 2), "PL3": ("rev IS NOT NULL AND rev_p IS NOT NULL", _m("abs(rev - rev_p)", "scale"), 2), "PL4": ("rev <> 0 AND gross IS NOT NULL", _p1("gross / rev * 100"), 2),
-    "PL5": ("op > 0 AND op_p > 0", _p1("(op - op_p) / op_p * 100"), 3), "PL6": ("rev <> 0 AND sga IS NOT NULL", _p1("sga / rev * 100"), 2), "PL7": ("rev <> 0 AND rev_p <> 0 AND ord IS NOT NULL AND ord_p IS NOT NULL", "concat(format('{:.1f}', ord / rev * 100 - ord_p / rev_p * 100), 'ポイント')", 5),
+    "PL5": ("op > 0 AND op_p > 0", _p1("(op - op_p) / op_p * 100"), 3), "PL6": ("rev <> 0 AND sga IS NOT NULL", _p1("sga / rev * 100"), 2), "PL7": ("rev <> 0 AND rev_p <> 0 AND ord IS NOT NULL AND ord_p IS NOT NULL", _pt("ord / rev * 100 - ord_p / rev_p * 100"), 5),
     "PL8": ("rev IS NOT NULL AND rev_p IS NOT NULL", _w("rev - rev_p > 0", "増収", "減収"), 2), "PL9": ("op IS NOT NULL AND op_p IS NOT NULL", _w("op - op_p > 0", "増益", "減益"), 2), "PL10": ("rev <> 0 AND rev_p <> 0 AND op IS NOT NULL AND op_p IS NOT NULL", _w("op / rev - op_p / rev_p > 0", "改善", "悪化"), 4),
     "PL11": ("ord IS NOT NULL AND ord_p IS NOT NULL", _w("ord - ord_p > 0", "増益", "減益"), 2), "PL12": ("rev <> 0 AND ni IS NOT NULL", _p1("ni / rev * 100"), 2), "PL13": ("rev <> 0 AND cogs IS NOT NULL", _p1("cogs / rev * 100"), 2), "PL14": ("rev IS NOT NULL AND cogs IS NOT NULL AND gross IS NOT NULL", _m("rev - cogs"), 1),
     "PL15": ("gross IS NOT NULL AND sga IS NOT NULL AND op IS NOT NULL", _m("gross - sga"), 1), "PL16": ("rev <> 0 AND rev_p <> 0 AND gross IS NOT NULL AND gross_p IS NOT NULL", _w("gross / rev - gross_p / rev_p > 0", "改善", "悪化"), 4), "PL17": ("ni IS NOT NULL AND ni_p IS NOT NULL", _w("ni - ni_p > 0", "増益", "減益"), 2),
@@ -225,25 +240,58 @@ FORMULAS = {
 _KIND = {"PL": "pl_comparison", "BS": "bs_summary", "CC": "bs_consistency", "CF": "cf_summary", "XS": "cross_statement", "DP": "cross_statement"}
 
 
+#: Question wordings that must come out, with {who}, {now}, {last} and the labels that stand in. Fixed values.
+ASKED = {
+    "PL1": "{who}の{now}の{rev}は前期比で何%増減したか。", "PL2": "{who}の{now}の営業利益率は何%か。", "PL3": "{who}の{rev}は{last}から{now}にかけていくら{moved}したか。", "PL4": "{who}の{now}の売上総利益率は何%か。", "PL5": "{who}の{now}の営業利益は前期比で何%変化したか。", "PL6": "{who}の{now}の売上高販管費率は何%か。",
+    "PL7": "{who}の経常利益率は{last}から{now}にかけて何ポイント変化したか。", "PL8": "{who}は{last}から{now}にかけて増収か減収か。", "PL9": "{who}は{last}から{now}にかけて営業利益ベースで増益か減益か。", "PL10": "{who}の営業利益率は{last}から{now}にかけて改善したか悪化したか。", "PL11": "{who}は{last}から{now}にかけて経常利益ベースで増益か減益か。", "PL12": "{who}の{now}の当期純利益率は何%か。",
+    "PL13": "{who}の{now}の売上原価率は何%か。", "PL14": "{who}の{now}の{rev}から売上原価を差し引いた額はいくらか。", "PL15": "{who}の{now}の売上総利益から販売費及び一般管理費を差し引いた額はいくらか。", "PL16": "{who}の売上総利益率は{last}から{now}にかけて改善したか悪化したか。", "PL17": "{who}は{last}から{now}にかけて当期純利益ベースで増益か減益か。", "PL18": "{who}の経常利益率は{last}から{now}にかけて改善したか悪化したか。",
+    "BS1": "{who}の{now}の流動比率は何%か。", "BS2": "{who}の{now}の自己資本比率は何%か。", "BS3": "{who}の{now}の負債比率(負債/総資産)は何%か。", "BS4": "{who}の{now}の{fa}比率({fa}/総資産)は何%か。", "BS5": "{who}の総資産は{last}から{now}にかけて増加したか減少したか。", "BS6": "{who}の自己資本比率は{last}から{now}にかけて改善したか悪化したか。",
+    "CC1": "{who}の{now}の資産の部の合計(流動資産+{fa})は、負債・{eq}の合計と一致するか。", "CC2": "{who}の{now}の流動資産と{fa}の合計はいくらか。", "CC3": "{who}の{now}の流動負債と{fl}の合計(負債合計)はいくらか。", "CC4": "{who}の{now}の{eq}は総資産の何%を占めるか。",
+    "CF1": "{who}の{now}のフリーキャッシュフロー(営業CF+投資CF)はいくらか。", "CF2": "{who}の{now}の3つのキャッシュフロー活動の合計額はいくらか(為替影響除く)。", "CF3": "{who}の{now}の営業CFは投資CFの何%をカバーしているか。", "CF4": "{who}の営業キャッシュフローは{last}から{now}にかけて増加したか減少したか。", "CF5": "{who}のフリーキャッシュフローは{last}から{now}にかけて改善したか悪化したか。",
+    "CF6": "{who}の投資活動によるキャッシュ・フローは{last}から{now}にかけて増加したか減少したか。", "CF7": "{who}の財務活動によるキャッシュ・フローは{last}から{now}にかけて増加したか減少したか。",
+    "XS1": "{who}の{now}のROA(経常利益/総資産)は何%か。", "XS2": "{who}の{now}のROE({ni}/純資産)は何%か。", "XS3": "{who}の{now}の{rev}に対する営業利益率は何%か。", "XS4": "{who}の{now}の総資産回転率({rev}/総資産*100)は何%か。", "XS5": "{who}の{now}の負債合計と{eq}の合計はいくらか。", "XS6": "{who}の{now}の損益計算書の経常利益を貸借対照表の総資産で割った値は何%か。",
+    "DP1": "{who}の{now}のROEをDuPont分解(純利益率×総資産回転率×財務レバレッジ)で求めると何%か。", "DP2": "{who}の{now}の売上高純利益率は何%か。", "DP3": "{who}の{now}の総資産回転率({rev}/総資産)は何倍か。", "DP4": "{who}の{now}の財務レバレッジ(総資産/{eq})は何倍か。",
+}
+_SAID = {
+    "who": "(SELECT name FROM companies WHERE edinet_code = v.company)", "now": "concat(y1, '年3月期')", "last": "concat(CAST(CAST(y1 AS INT) - 1 AS VARCHAR), '年3月期')", "rev": "CASE WHEN sales IS NOT NULL THEN '売上高' ELSE '売上収益' END", "ni": "CASE WHEN ni1 IS NOT NULL THEN '当期純利益' ELSE '親会社株主に帰属する当期純利益' END",
+    "moved": "CASE WHEN rev > rev_p THEN '増加' ELSE '減少' END", "fa": "CASE WHEN fa1 IS NOT NULL THEN '固定資産' ELSE '非流動資産' END", "fl": "CASE WHEN fl1 IS NOT NULL THEN '固定負債' ELSE '非流動負債' END", "eq": "CASE WHEN eq1 IS NOT NULL THEN '純資産合計' ELSE '株主資本合計' END",
+}
+_TREND = ("PL8", "PL9", "PL10", "PL11", "PL16", "PL17", "PL18", "BS5", "BS6", "CF4", "CF5", "CF6", "CF7")
+_CHECK = ("PL14", "PL15", "CC1", "CC2", "CC3", "CC4", "XS5", "XS6")
+
+
+def _question(name: str) -> str:
+    parts = string.Formatter().parse(ASKED[name])
+    return f"concat({', '.join(x for text, field, *_ in parts for x in ([f"'{text}'"] if text else []) + ([_SAID[field]] if field else []))})"
+
+
+def _subtask(name: str) -> str:
+    return "temporal_reasoning" if name in _TREND else "consistency_checking" if name in _CHECK else "numerical_reasoning"
+
+
 def _asked(facts, companies, filings):
     return G.questions(S.contexts(facts, companies, filings))
 
 
 def _template(name: str) -> None:
-    guard, answer, steps = FORMULAS[name]
+    guard, (answer, result), steps = FORMULAS[name]
 
-    @query(f"g_{name.lower()}", f"WITH {CONTEXT}, {_WIDE} SELECT company, y1 AS year, {answer} AS answer, CAST({steps} AS BIGINT) AS steps FROM v WHERE kind = '{_KIND[name[:2]]}' AND coalesce({guard}, false)", "facts", "companies", "filings")
+    @query(
+        f"g_{name.lower()}",
+        f"WITH {CONTEXT}, {_WIDE} SELECT company, y1 AS year, '{_subtask(name)}' AS subtask, {_question(name)} AS question, {answer} AS answer, CAST({steps} AS BIGINT) AS steps, CAST({result} AS DOUBLE) AS result FROM v WHERE kind = '{_KIND[name[:2]]}' AND coalesce({guard}, false)",
+        "facts", "companies", "filings",
+    )
     def _(facts, companies, filings):
         kind = S.contexts(facts, companies, filings).where(F.col("context_type") == _KIND[name[:2]])
-        q = G.questions(kind, (name,))
-        return q.select(F.col("edinet_code").alias("company"), F.col("filing_year").alias("year"), F.col("qa.answer").alias("answer"), F.size("qa.program").cast("bigint").alias("steps"))
+        q = G.questions(kind, (name,)).withColumn("ran", P.execute(F.col("qa.program")))  # the program's own result: a wrong operand shows
+        return q.select(F.col("edinet_code").alias("company"), F.col("filing_year").alias("year"), "subtask", "qa.question", "qa.answer", F.size("qa.program").cast("bigint").alias("steps"), F.col("ran.number").alias("result"))
 
 
 for _t in G.TEMPLATES:
     _template(_t)
 
 
-_ALL = " UNION ALL ".join(f"SELECT company, '{t}' AS template, {a} AS answer FROM v WHERE kind = '{_KIND[t[:2]]}' AND coalesce({g}, false)" for t, (g, a, _s) in FORMULAS.items())
+_ALL = " UNION ALL ".join(f"SELECT company, '{t}' AS template, {a} AS answer FROM v WHERE kind = '{_KIND[t[:2]]}' AND coalesce({g}, false)" for t, (g, (a, _r), _s) in FORMULAS.items())
 
 
 @query("u1_all_questions", f"WITH {CONTEXT}, {_WIDE} {_ALL}", "facts", "companies", "filings")
@@ -251,16 +299,18 @@ def _(facts, companies, filings):
     return _asked(facts, companies, filings).select(F.col("edinet_code").alias("company"), "template", F.col("qa.answer").alias("answer"))
 
 
-@query("j7_evidence", f"WITH {CONTEXT}, r AS (SELECT company, label, row_no FROM ctx WHERE kind = 'cross_statement'), e AS (SELECT company, '経常利益' AS a FROM r GROUP BY company) SELECT r.company, string_agg(CAST(row_no - 1 AS VARCHAR), ',' ORDER BY row_no) AS rows FROM r WHERE label IN ('経常利益', '資産合計') AND company IN (SELECT company FROM r WHERE label = '経常利益') GROUP BY r.company", "facts", "companies", "filings")
+_WANTED = ("資産合計", "経常利益", "売上高", "純資産合計", "投資活動によるキャッシュ・フロー", "固定負債")
+
+
+@query("j7_evidence", f"WITH {CONTEXT} SELECT company, kind, coalesce(string_agg(CAST(row_no - 1 AS VARCHAR), ',' ORDER BY row_no) FILTER (WHERE label IN ({', '.join(f"'{w}'" for w in _WANTED)})), '') AS rows FROM ctx GROUP BY company, kind", "facts", "companies", "filings")
 def _(facts, companies, filings):
-    c = _contexts(facts, companies, filings).where("context_type = 'cross_statement'")
-    labels = F.array(F.lit("資産合計_2024"), F.lit("経常利益"), F.lit("経常利益"), F.lit(""), F.lit("no such label"))
-    rows = c.select(F.col("edinet_code").alias("company"), G.evidence_rows(labels, F.col("table.rows")).alias("e"), F.col("table.rows").alias("r"))
-    return rows.where(F.exists("r", lambda x: F.get(x, F.lit(0)) == "経常利益")).select("company", F.array_join("e", ",").alias("rows"))
+    # with and without a year, twice, out of order, empty and unknown
+    labels = F.array(*(F.concat(F.lit(f"{w}_"), "filing_year") for w in _WANTED), *map(F.lit, _WANTED[::-1]), F.lit(""), F.lit("no such label"))
+    return _contexts(facts, companies, filings).select(F.col("edinet_code").alias("company"), F.col("context_type").alias("kind"), F.array_join(G.evidence_rows(labels, F.col("table.rows")), ",").alias("rows"))
 
 
 @query("a8_generation_stats", f"""WITH {CONTEXT}, {_WIDE}, q AS ({_ALL}) SELECT s.subtask, count(q.template) AS n FROM (VALUES ('numerical_reasoning'), ('consistency_checking'), ('temporal_reasoning')) s(subtask)
- LEFT JOIN q ON s.subtask = CASE WHEN template IN ('PL8','PL9','PL10','PL11','PL16','PL17','PL18','BS5','BS6','CF4','CF5','CF6','CF7') THEN 'temporal_reasoning' WHEN template IN ('PL14','PL15','CC1','CC2','CC3','CC4','XS5','XS6') THEN 'consistency_checking' ELSE 'numerical_reasoning' END GROUP BY s.subtask""", "facts", "companies", "filings")
+ LEFT JOIN q ON s.subtask = CASE WHEN template IN {_TREND} THEN 'temporal_reasoning' WHEN template IN {_CHECK} THEN 'consistency_checking' ELSE 'numerical_reasoning' END GROUP BY s.subtask""", "facts", "companies", "filings")
 def _(facts, companies, filings):
     return V.generation_stats(_asked(facts, companies, filings))
 
@@ -305,16 +355,15 @@ def _(q):
     return V.dedupe(q).select("pos")
 
 
-_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS subtask, '{PREFIXES[s]}' AS prefix, {max(20, TARGETS[s] // 10)} AS target" for s in TARGETS)
-_TOTAL_TARGET = sum(max(20, t // 10) for t in TARGETS.values())
+_TARGETS = " UNION ALL ".join(f"SELECT '{s}' AS subtask, '{PREFIXES[s]}' AS prefix, {TARGETS[s]} AS target" for s in TARGETS)
+_TOTAL_TARGET = sum(TARGETS.values())
 _DIVERSE = f"""WITH t AS ({_TARGETS}), q AS (SELECT questions.*, target, prefix, count(*) OVER (PARTITION BY subtask) AS n, min(pos) OVER (PARTITION BY subtask, edinet_code) AS first FROM questions JOIN t USING (subtask)),
  r AS (SELECT *, row_number() OVER (PARTITION BY subtask, edinet_code ORDER BY CASE WHEN subtask = 'numerical_reasoning' THEN -steps ELSE 0 END, pos) AS turn FROM q), c AS (SELECT * FROM r WHERE n <= target OR turn <= {max(3, int(_TOTAL_TARGET * 0.05))}),
  o AS (SELECT *, row_number() OVER (PARTITION BY subtask ORDER BY CASE WHEN n <= target THEN pos END, turn, first) AS sample_no FROM c)"""
 
 
 def _sample(q):
-    targets = q.sparkSession.createDataFrame([(s, PREFIXES[s], max(20, TARGETS[s] // 10), k) for k, s in enumerate(TARGETS)], "subtask string, prefix string, target int, rank int")
-    return V.diverse(_with_program(q), targets)
+    return V.diverse(_with_program(q))
 
 
 @query("w7_diverse_sample", f"{_DIVERSE} SELECT pos, subtask, CAST(sample_no AS INT) AS sample_no FROM o WHERE n <= target OR sample_no <= target", "questions")
@@ -327,13 +376,30 @@ def _(q):
     return V.with_ids(_sample(q)).select("pos", "id")
 
 
-@query("w9_lite_sample", None, "questions")
+_STRATA = " ".join(f"WHEN subtask = '{a}' AND accounting_standard = '{b}' THEN {{{k}}}" for k, (a, b) in enumerate(V.LITE_TARGETS))
+#: The sequential choice, row by row: a stratum's rows in the order of the draw, then all others, with one count a company.
+_LITE = f"""WITH RECURSIVE d AS (SELECT *, md5(concat('42:', pos)) AS draw, CASE {_STRATA.format(*range(9))} END AS s, CASE {_STRATA.format(*V.LITE_TARGETS.values())} END AS target FROM questions), o AS (SELECT *, row_number() OVER (ORDER BY s, draw, pos) AS rn FROM d),
+ p1 AS (SELECT 0::BIGINT AS rn, -1 AS s, 0 AS n, []::VARCHAR[] AS picked, NULL::BIGINT AS pos UNION ALL
+  SELECT rn, s, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN list_append(picked, company) ELSE picked END, CASE WHEN ok THEN pos END FROM (SELECT *, n < target AND len(list_filter(picked, lambda c: c = company)) < {V.LITE_CAP} AS ok
+   FROM (SELECT o.rn, o.s, CASE WHEN o.s = p1.s THEN p1.n ELSE 0 END AS n, picked, o.pos, o.target, o.edinet_code AS company FROM p1 JOIN o ON o.rn = p1.rn + 1))),
+ q AS (SELECT pos, edinet_code AS company, row_number() OVER (ORDER BY draw, pos) AS rn FROM d WHERE pos NOT IN (SELECT pos FROM p1 WHERE pos IS NOT NULL)),
+ p2 AS (SELECT 0::BIGINT AS rn, (SELECT arg_max(picked, rn) FROM p1) AS picked, NULL::BIGINT AS pos UNION ALL
+  SELECT rn, CASE WHEN ok THEN list_append(picked, company) ELSE picked END, CASE WHEN ok THEN pos END FROM (SELECT q.rn, q.pos, q.company, picked, len(picked) < {V.LITE_SIZE} AND len(list_filter(picked, lambda c: c = q.company)) < {V.LITE_CAP} AS ok FROM p2 JOIN q ON q.rn = p2.rn + 1)),
+ lite AS (SELECT questions.* FROM questions WHERE pos IN (SELECT pos FROM p1 WHERE pos IS NOT NULL UNION ALL SELECT pos FROM p2 WHERE pos IS NOT NULL))"""
+
+
+def _spread(table: str, top: int) -> str:
+    own = " UNION ALL ".join(f"SELECT '{k}' AS measure, {k} AS key, count(*) AS value FROM {table} GROUP BY {k}" for k in ("subtask", "accounting_standard", "filing_year"))
+    return f"{own} UNION ALL SELECT 'total', '', count(*) FROM {table} UNION ALL SELECT 'unique_companies', '', count(DISTINCT edinet_code) FROM {table} UNION ALL SELECT 'top_companies', company_name, n FROM (SELECT company_name, count(*) AS n, min(idx) AS first FROM {table} GROUP BY company_name ORDER BY n DESC, first LIMIT {top})"
+
+
+@query("w9_lite_sample", f"{_LITE} SELECT pos FROM lite", "questions")
 def _(q):
     picked = V.lite(q)
     return q.sparkSession.createDataFrame([(p,) for p in picked], "pos bigint")
 
 
-@query("a7_sample_distribution", None, "questions")
+@query("a7_sample_distribution", f"{_LITE} {_spread('lite', 10)}", "questions")
 def _(q):
     picked = q.join(F.broadcast(q.sparkSession.createDataFrame([(p,) for p in V.lite(q)], "pos bigint")), "pos")
     return A.distribution(picked, 10)
@@ -341,16 +407,15 @@ def _(q):
 
 @query("t1_t3_first_by_order", "SELECT pos, question FROM questions ORDER BY edinet_code, pos LIMIT 25", "questions")
 def _(q):
-    return q.orderBy("edinet_code", "pos").limit(25).select("pos", "question")
+    return io.first_rows(q, ["edinet_code", "pos"], 25).select("pos", "question")
 
 
 @query("f1_subtask_filter", "SELECT pos FROM questions WHERE subtask = 'temporal_reasoning'", "questions")
 def _(q):
-    return q.where("subtask = 'temporal_reasoning'").select("pos")
+    return io.of_subtask(q, "temporal_reasoning").select("pos")
 
 
-@query("t2_a6_distribution", """SELECT 'subtask' AS measure, subtask AS key, count(*) AS value FROM questions GROUP BY subtask UNION ALL SELECT 'accounting_standard', accounting_standard, count(*) FROM questions GROUP BY 2 UNION ALL SELECT 'filing_year', filing_year, count(*) FROM questions GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM questions UNION ALL SELECT 'unique_companies', '', count(DISTINCT edinet_code) FROM questions
- UNION ALL SELECT 'top_companies', company_name, n FROM (SELECT company_name, count(*) AS n, min(idx) AS first FROM questions GROUP BY company_name ORDER BY n DESC, first LIMIT 15)""", "questions")
+@query("t2_a6_distribution", _spread("questions", 15), "questions")
 def _(q):
     return A.distribution(q)
 
@@ -405,18 +470,29 @@ def _(f):
     return A.counts(_audited(f))
 
 
-@query("q8_rounding_pedantry", "SELECT CAST(id AS VARCHAR) AS id, 'rounding_pedantry' AS finding FROM programs WHERE false", "programs")
+#: The sides of the last comparison as the interpreter has them; as it is stated, the rule finds nothing, since sides within
+#: 0.0015 of each other are within half a unit too.
+_SIDES = "SELECT id, (a % 1000)::DOUBLE + b * 0.0001::DOUBLE AS x, (a % 1000)::DOUBLE AS y FROM programs"
+
+
+@query("q8_rounding_pedantry", f"SELECT CAST(id AS VARCHAR) AS id, abs(x - y) < 0.0015 AS close, abs(x - y) < 0.0015 AND NOT (x = y OR abs(x - y) <= 0.5) AS finding FROM ({_SIDES})", "programs")
 def _(p):
-    # sides within 0.0015 of each other are within half a unit too, so the rule finds nothing, as it is stated
-    made = F.array(F.lit("divide(1, 1000)"), F.when(F.col("k") == 1, "divide(1, 3000)").otherwise(F.format_string("add(%d, 2)", "a")), F.lit("eq(#0, #1)"))
-    return A.rounding_findings(p.select(F.col("id").cast("string").alias("id"), made.alias("program")))
+    made = F.array(F.format_string("multiply(%d, 0.0001)", "b"), F.format_string("add(%d, #0)", (F.col("a") % 1000)), F.format_string("add(%d, 0)", (F.col("a") % 1000)), F.lit("eq(#1, #2)"))
+    rows = p.select(F.col("id").cast("string").alias("id"), made.alias("program"))
+    found = A.rounding_findings(rows).select("id", F.lit(True).alias("finding"))
+    close = rows.select("id", P.last_pair(F.col("program")).alias("x")).select("id", (F.abs(F.col("x.a") - F.col("x.b")) < 0.0015).alias("close"))
+    return close.join(found, "id", "left").select("id", "close", F.coalesce("finding", F.lit(False)).alias("finding"))
 
 
-@query("q9_program_findings", "SELECT id AS idx, CASE k % 4 WHEN 0 THEN 'dsl_unparsable' ELSE 'dsl_mismatch' END AS finding FROM programs WHERE k % 4 = 0 OR (k % 4 = 1 AND b % 2 = 0) OR (k % 4 = 2 AND b % 2 = 0)", "programs")
+#: Every word of the audit's lists.
+_TOLD = (*N.AUDIT_TRUE, *N.AUDIT_FALSE)
+
+
+@query("q9_program_findings", f"SELECT id AS idx, CASE k % 4 WHEN 0 THEN 'dsl_unparsable' ELSE 'dsl_mismatch' END AS finding FROM programs WHERE k % 4 = 0 OR (k % 4 = 1 AND b % 2 = 0) OR (k % 4 = 2 AND b % {len(_TOLD)} >= {len(N.AUDIT_TRUE)})", "programs")
 def _(p):
     k, odd = F.col("k") % 4, F.col("b") % 2 == 0
     program = F.when(k == 0, F.array(F.lit("nope"))).when(k == 1, F.array(F.format_string("add(%d, 0)", "a"))).when(k == 2, F.array(F.format_string("greater(%d, 0)", "a"))).otherwise(F.array(F.format_string("divide(%d, 3)", "a")))
-    answer = F.when(k == 1, F.when(odd, F.format_number(F.col("a") * 2, 0)).otherwise(F.concat(F.format_number("a", 0), F.lit("百万円")))).when(k == 2, F.when(odd, "減収").otherwise("増収")).otherwise(F.concat(F.format_number(F.col("a") / 3, 1), F.lit("%")))
+    answer = F.when(k == 1, F.when(odd, F.format_number(F.col("a") * 2, 0)).otherwise(F.concat(F.format_number("a", 0), F.lit("百万円")))).when(k == 2, F.element_at(F.array(*map(F.lit, _TOLD)), (F.col("b") % len(_TOLD) + 1).cast("int"))).otherwise(F.concat(F.format_number(F.col("a") / 3, 1), F.lit("%")))
     return A.program_findings(p.select(F.col("id").alias("idx"), program.alias("program"), answer.alias("answer")))
 
 
@@ -449,19 +525,30 @@ def _(p):
     return p.select("id", m.alias("m")).select("id", F.try_element_at("m", F.lit("r")).alias("r"), F.try_element_at("m", F.lit("s")).alias("s"))
 
 
-@query("w5_required_labels", f"WITH {LINES}, need AS ({_need('income_statement', S.REQUIRED_INCOME)}) SELECT company, label, CAST(rk AS BIGINT) AS place FROM need WHERE rk <= 7", "facts", "filings")
+@query("w5_required_labels", f"WITH {LINES}, need AS ({_need('income_statement', S.REQUIRED_INCOME)} UNION ALL {_need('balance_sheet', S.REQUIRED_BALANCE)}) SELECT company, statement, label, CAST(rk AS BIGINT) AS place FROM need WHERE rk <= 7", "facts", "filings")
 def _(facts, filings):
-    own = S.company_lines(facts, filings).select("company", F.posexplode(S.with_required(F.col("income_statement"), S.REQUIRED_INCOME)).alias("i", "x"))
-    return own.select("company", F.col("x.label").alias("label"), (F.col("i") + 1).cast("bigint").alias("place"))
+    lines, out = S.company_lines(facts, filings), None
+    for statement, wanted in (("income_statement", S.REQUIRED_INCOME), ("balance_sheet", S.REQUIRED_BALANCE)):
+        own = lines.select("company", F.posexplode(S.with_required(F.col(statement), wanted)).alias("i", "x")).select("company", F.lit(statement).alias("statement"), "x.label", (F.col("i") + 1).cast("bigint").alias("place"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-@query("w4_head_of_context", f"WITH {LINES} SELECT company, label FROM two WHERE statement = 'balance_sheet' AND rk <= 3", "facts", "filings")
+@query("w4_head_of_context", f"WITH {LINES} SELECT company, statement, label FROM two WHERE rk <= CASE statement {' '.join(f"WHEN '{s}' THEN {n}" for s, n in S.MOST.items())} END", "facts", "filings")
 def _(facts, filings):
-    lines = S.company_lines(facts, filings)
-    both = F.slice(F.filter("balance_sheet", lambda x: x["prev"].isNotNull()), 1, 3)
-    return lines.select("company", F.explode(both).alias("x")).select("company", "x.label")
+    lines, out = S.company_lines(facts, filings), None
+    for statement, most in S.MOST.items():
+        own = lines.select("company", F.lit(statement).alias("statement"), F.explode(S.head_of(F.col(statement), most)).alias("x")).select("company", "statement", "x.label")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-@query("p11_inspect", "SELECT pos, concat('ID: ', pos, '  |  Subtask: ', subtask) AS head, concat('Source: ', edinet_code, ' (', filing_year, ')') AS source FROM questions ORDER BY pos LIMIT 5", "questions")
+@query("p11_inspect", f"""SELECT CAST(pos AS VARCHAR) AS id, concat(repeat('=', 60), chr(10), 'ID: ', pos, '  |  Subtask: ', subtask, chr(10), 'Question: ', question, chr(10), 'Answer: ', answer, chr(10), CASE WHEN steps > 1 THEN concat('Program: add(1, 1)', repeat(' → add(1, 1)', steps - 2), chr(10)) ELSE '' END,
+ 'Table: 1 rows x ', steps, ' cols', chr(10), CASE WHEN coalesce(edinet_code, '') <> '' THEN concat('Source: ', edinet_code, ' (', filing_year, ')', chr(10)) ELSE '' END) AS shown FROM questions ORDER BY pos LIMIT 5""", "questions")
 def _(q):
-    return q.orderBy("pos").limit(5).select("pos", F.concat(F.lit("ID: "), F.col("pos").cast("string"), F.lit("  |  Subtask: "), "subtask").alias("head"), F.concat(F.lit("Source: "), "edinet_code", F.lit(" ("), "filing_year", F.lit(")")).alias("source"))
+    from ledgerlark import cli
+
+    names = F.array_repeat(F.lit("x"), F.col("steps").cast("int"))
+    program = F.array_repeat(F.lit("add(1, 1)"), (F.col("steps") - 1).cast("int"))
+    nested = q.select("pos", F.col("pos").cast("string").alias("id"), "subtask", F.struct("question", program.alias("program"), "answer").alias("qa"), F.struct(names.alias("headers"), F.array(names).alias("rows")).alias("table"), "edinet_code", "filing_year")
+    return cli.shown(io.first_rows(nested, ["pos"], 5)).select("id", F.array_join("lines", "\n").alias("shown"))

@@ -1,11 +1,14 @@
 """The engine's operators against golden values, a plain model of the rules, and small fixtures."""
 
+import difflib
+import itertools
 import json
 import math
 import random
+import re
 import statistics
 import unicodedata
-import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -369,6 +372,25 @@ def test_lite_sample(spark):
     assert len(validate.lite(few)) == 12 and validate.lite(df.limit(0)) == []
 
 
+# normal forms
+
+
+@pytest.mark.parametrize("text", ["é", "e\u0301", "ｶﾞ", "が", "か\u3099", "①½ﬁ", "１２３％", "　全角　", "△1,000", "Ａ\u0301", "ｱ\u3099", "百万円", "～｀", "Ǆ", "한", "한"])
+def test_normal_form(spark, text):
+    assert column(spark, [f"a{text}b", text], T.nfkc) == [unicodedata.normalize("NFKC", t) for t in (f"a{text}b", text)]
+
+
+def test_characters_that_stay_are_normal():
+    inside = re.compile(f"[{T.PLAIN}]+")
+    rng = random.Random(8)
+    stay = [c for c in map(chr, range(0x80, 0x10000)) if inside.fullmatch(c)]
+    assert all(unicodedata.normalize("NFKC", c) == c for c in stay)
+    for _ in range(2000):
+        t = "".join(rng.choice(stay) for _ in range(6))
+        assert unicodedata.normalize("NFKC", t) == t
+    assert unicodedata.normalize("NFKC", T.FULL) == T.NARROW
+
+
 # audits
 
 
@@ -387,6 +409,38 @@ def test_duplicates(spark):
     assert near == [(0, 1), (0, 2), (1, 2)]
 
 
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    rng, rows = random.Random(12), []
+    for k in range(120):
+        base = list(rng.choice(["How much did net sales of Example grow in fiscal 2024?", "営業利益率は何%か。前期と比べて改善したか。", "Was it more?"]) * rng.choice([1, 3]))
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            base[rng.randrange(len(base))] = rng.choice("xyzあ")
+        rows.append((k, "".join(base), rng.choice("CD"), "s", "2024", rng.choice(["1%", "増加"])))
+    df = spark.createDataFrame(rows, "idx int, question string, company_name string, subtask string, filing_year string, answer string")
+    want = {}
+    for (i, p, *a), (j, q, *b) in itertools.combinations(rows, 2):
+        ratio = difflib.SequenceMatcher(a=p, b=q, autojunk=False).ratio()
+        if a == b and p != q and ratio >= audit.SIMILAR:
+            want[i, j] = round(ratio, 3)
+    got = {(r.first_index, r.similar_index): r.ratio for r in audit.near_duplicates(df).collect()}
+    assert got == want and len(want) > 50
+    assert audit.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_distribution_in_one_pass(spark):
+    rng = random.Random(14)
+    rows = [(k, rng.choice([*SUBTASKS, None]), rng.choice(["IFRS", None]), rng.choice(["2023", "2024"]), rng.choice(["E1", "E2", None]), rng.choice(["A", "B", "C", None])) for k in range(60)]
+    df = spark.createDataFrame(rows, "idx int, subtask string, accounting_standard string, filing_year string, edinet_code string, company_name string")
+    got = {(r.measure, r.key): r.value for r in audit.distribution(df, 2).collect()}
+    want = {("total", ""): 60, ("unique_companies", ""): len({r[4] or "?" for r in rows})}
+    for name, k in (("subtask", 1), ("accounting_standard", 2), ("filing_year", 3)):
+        for r in rows:
+            want[name, r[k] or "?"] = want.get((name, r[k] or "?"), 0) + 1
+    tops = Counter(r[5] or "?" for r in rows).most_common(2)
+    assert got == want | {("top_companies", c): n for c, n in tops}
+    assert {(r.measure, r.value) for r in audit.distribution(df.limit(0)).collect()} == {("total", 0), ("unique_companies", 0)}
+
+
 def test_identities(spark):
     rows = [("a", "ROEは何%か。", [["売上高", "100"], ["売上原価", "120"], ["売上総利益", "50"], ["当期純利益", "10"], ["親会社株主に帰属する当期純利益", "9"], ["売上高", "999"]]), ("b", "q", [["資産合計", "100百万円"], ["流動資産", "40"], ["固定資産", "60"], [None, "x"], []])]
     got = sorted(tuple(r) for r in audit.table_findings(spark.createDataFrame(rows, "id string, question string, table_rows array<array<string>>")).collect())
@@ -468,4 +522,4 @@ def test_registered_queries():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) > 140 and set(sql) <= set(queries)
-    assert {"w9_lite_sample", "a7_sample_distribution", "j8_q11_near_duplicates"} == {q for q in queries if q not in sql and not q.startswith("op") and q != "pipeline"}
+    assert {"j8_q11_near_duplicates"} == {q for q in queries if q not in sql and not q.startswith("op") and q != "pipeline"}
