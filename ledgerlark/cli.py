@@ -17,6 +17,7 @@ from ledgerlark.operators import evaluate as E
 from ledgerlark.operators import runs
 from ledgerlark.operators import validate as V
 from ledgerlark.schema import REGIMES, SUBTASKS
+from ledgerlark.ship import by_value
 from ledgerlark.sources import io
 
 
@@ -169,6 +170,7 @@ def publish(spark, args) -> int:
 def run(spark, args) -> int:
     module, _, name = args.provider.partition(":")
     call = getattr(importlib.import_module(module), name)
+    by_value(module)  # the executors need not have it
     own = load(spark, args.data, None)
     context = R.context(F.col("pre_text"), F.col("table.headers"), F.col("table.rows"), F.col("post_text"))
     rows = own.select("id", "subtask", F.coalesce("accounting_standard", F.lit("")).alias("accounting_standard"), F.col("qa.question").alias("question"), context.alias("context"), F.col("qa.answer").alias("gold"))

@@ -523,3 +523,113 @@ def test_registered_queries():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) > 140 and set(sql) <= set(queries)
     assert {"j8_q11_near_duplicates"} == {q for q in queries if q not in sql and not q.startswith("op") and q != "pipeline"}
+
+
+# the whole construction and its commands
+
+
+LINES = {
+    "income_statement": ["売上高", "売上原価", "売上総利益", "販売費及び一般管理費", "営業利益", "経常利益", "当期純利益"],
+    "balance_sheet": ["流動資産", "固定資産", "資産合計", "流動負債", "固定負債", "負債合計", "純資産合計"],
+    "cash_flow_statement": ["営業活動によるキャッシュ・フロー", "投資活動によるキャッシュ・フロー", "財務活動によるキャッシュ・フロー"],
+}
+
+
+def raw_folder(path, companies=6):
+    path.mkdir(parents=True)
+    for c in range(companies):
+        filings = {}
+        for y in ("2022", "2023", "2024"):
+            rng = random.Random(f"{c}-{y}")
+            filings[y] = {"filing": {"doc_id": f"S{c}{y}", "edinet_code": f"E{c}", "doc_type": "120", "company_name": f"Company {c}"}, "accounting_standard": "IFRS", **{s: [{"科目": label, "当期": rng.randrange(10**9, 10**11)} for label in labels] for s, labels in LINES.items()}}
+        (path / f"E{c}.json").write_text(json.dumps({"company": {"edinet_code": f"E{c}", "name": f"Company {c}", "gaap": ["IFRS", "J-GAAP"][c % 2]}, "filings": filings}, ensure_ascii=False))
+
+
+def test_build_in_one_call_and_stage_by_stage(spark, tmp_path):
+    raw_folder(tmp_path / "a" / "raw")
+    raw_folder(tmp_path / "b" / "raw")
+    assert cli.main(["build", "--data-dir", str(tmp_path / "a")], spark) == 0
+    for stage in ("2", "3", "4"):
+        assert cli.main(["build", "--stage", stage, "--data-dir", str(tmp_path / "b")], spark) == 0
+    final = {x: sorted(tuple(r) for r in io.load_final(spark, str(tmp_path / x / "final" / "questions")).select("id", "subtask", "edinet_code", "qa.question", "qa.answer").collect()) for x in "ab"}
+    assert final["a"] == final["b"]
+    generated = io.load_generated(spark, str(tmp_path / "a" / "generated"))
+    assert generated.count() > 200 and io.load_contexts(spark, str(tmp_path / "a" / "contexts")).count() == 30
+    told = json.loads((tmp_path / "a" / "final" / "stats.json").read_text())
+    rejected = io.load_rejected(spark, str(tmp_path / "a" / "final" / "rejected")).count()
+    assert told["total_questions"] == len(final["a"]) > 100 and told["total_rejected"] == rejected and told["unique_companies"] == 6 and sum(told["by_subtask"].values()) == told["total_questions"]
+    # what is left after validation, one by one: the greedy rule in the order of companies, contexts and templates
+    rows = generated.orderBy("edinet_code", "pos", "template_no").collect()
+    flat = spark.createDataFrame([(k, r.qa.question, r.qa.answer, r.qa.program, r.qa.gold_evidence) for k, r in enumerate(rows)], "pos int, question string, answer string, program array<string>, gold_evidence array<bigint>")
+    passed = [r.pos for r in validate.validate(flat).orderBy("pos").collect() if r.reason == ""]
+    kept = greedy([(k, rows[k].qa.question, rows[k].subtask, rows[k].edinet_code) for k in passed])
+    assert sorted(rows[k].qa.question for k in kept) == sorted(q for *_, q, _ in final["a"])
+    assert len(passed) + rejected == len(rows)
+    ids = [i for i, *_ in final["a"]]
+    assert len(set(ids)) == len(ids) and {i[:3] for i in ids} == {"nr_", "cc_", "tr_"}
+
+
+def test_commands(spark, tmp_path, capsys):
+    raw_folder(tmp_path / "raw", 3)
+    assert cli.main(["integrity", "-d", str(tmp_path / "raw")], spark) == 0 and "3 files, 0 violations" in capsys.readouterr().out
+    cli.main(["build", "--data-dir", str(tmp_path)], spark)
+    questions_at, out = str(tmp_path / "final" / "questions"), tmp_path / "out"
+    assert cli.main(["audit", "-d", questions_at, "-o", str(out)], spark) in (0, 1)
+    told = json.loads((out / "audit_report.json").read_text())
+    n = io.load_final(spark, questions_at).count()
+    assert {r["value"] for r in told["distribution"] if r["measure"] == "total"} == {n} and set(told["counts"]) == {*audit.BASIC, "affected ids"}
+    assert "Deep audit report" in (out / "audit_quality_report.md").read_text() and set(json.loads((out / "audit_quality_report.json").read_text())["counts"]) == {*audit.DEEP, "affected ids"}
+    assert cli.main(["lite", "-d", questions_at, "-o", str(tmp_path / "lite")], spark) == 0
+    manifest = json.loads((tmp_path / "lite" / "manifest.json").read_text())
+    assert len(manifest["row_indices"]) == validate.LITE_CAP * 3 == io.load_final(spark, str(tmp_path / "lite" / "questions")).count() and manifest["per_company_cap"] == validate.LITE_CAP
+    capsys.readouterr()
+    assert cli.main(["publish", "-d", questions_at, "-o", str(tmp_path / "flat")], spark) == 0
+    assert f"all: {n} questions" in capsys.readouterr().out and io.load_table(spark, str(tmp_path / "flat"), "all").count() == n
+    assert cli.main(["inspect", "-d", questions_at, "-n", "2"], spark) == 0 and capsys.readouterr().out.count("Question: ") == 2
+    for limit in ("5", "8"):  # the second run asks only what is new
+        assert cli.main(["run", "--model", "gpt-4o", "--regime", "R1", "--provider", "test_engine:right", "-d", questions_at, "-n", limit, "-o", str(tmp_path / "runs")], spark) == 0
+    told = json.loads((tmp_path / "runs" / "gpt-4o__R1__metrics.json").read_text())
+    assert told["n"] == 8 == spark.read.parquet(str(tmp_path / "runs" / "gpt-4o__R1__attempts")).count() and told["regime"] == "R1"
+    assert told["summary"]["parse_success_pct"] == 100.0 and told["summary"]["output_tokens"]["max"] == 8192 and told["summary"]["cost_total_usd"] > 0
+
+
+def right(model, system, prompt, settings):
+    assert model == "gpt-4o" and system.startswith("You are") and "質問: " in prompt
+    return {"text": "Answer: 1", "input_tokens": 10, "output_tokens": settings["max_output"]}
+
+
+def test_repeated_predictions_the_last_counts(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"a": "z", "b": "2", "a": "1"}')
+    got = evaluate.bind(questions(spark, [("a", "s", "1"), ("b", "s", "2"), ("c", "s", "3")]), io.load_predictions(spark, str(tmp_path / "p.json")))
+    assert {r.id: r.predicted for r in got.collect()} == {"a": "1", "b": "2", "c": ""}
+
+
+def test_json_lines_are_not_read_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n\n  [1,\n {\"x\": \"[\"}]\n")
+    (tmp_path / "b.json").write_text('﻿\n{"x": 1}\n\n[2]\n')
+    (tmp_path / "c d.json").write_text('﻿[{"y": 3}]')
+    (tmp_path / "e.json").write_text("\n \n")
+    got = {}
+    for r in io.json_rows(spark, str(tmp_path)).orderBy("file", "pos").collect():
+        got.setdefault(r.file.rsplit("/", 1)[1].replace("%20", " "), []).append(r.value)
+    assert got == {"a.json": ["1", '{"x":"["}'], "b.json": ['{"x": 1}', "[2]"], "c d.json": ['{"y":3}']}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from ledgerlark import scratch
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        scratch.new_folder(Cluster())
+
+
+def test_literals_give_the_number_back(spark):
+    rng = random.Random(15)
+    xs = [rng.uniform(-1e6, 1e6) for _ in range(200)] + [rng.randrange(10**12) / 1e6 for _ in range(200)] + [0.1 + 0.2, 1e15, 619.9856200000001, 0.0, 0.001]
+    assert [float(t) for t in column(spark, xs, N.literal, "double")] == xs and not any("E" in t for t in column(spark, xs, N.literal, "double"))
