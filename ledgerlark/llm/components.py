@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import Scratch
+from ledgerlark.llm.common import Scratch, small_side
 
 
 def connected(edges: DataFrame, store: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -24,17 +24,19 @@ def connected(edges: DataFrame, store: Scratch, most_rounds: int = 60) -> DataFr
         before = now
         # large star: larger neighbours of u go to the smallest vertex around u
         both = cur.union(cur.selectExpr("b AS a", "a AS b"))
-        # (stored, so that both sides of the join are plain exchanges and adaptive execution splits a vertex with many edges)
+        # (stored: a few vertices are broadcast by their count, so that edges don't move; with many, both sides of the join are
+        # plain exchanges and adaptive execution splits a vertex with many edges)
         low = store.put(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low.hint("merge"), F.col("a") == F.col("u")).where("b > a").selectExpr("b AS a", "m AS b")
+        large = both.join(small_side(low), F.col("a") == F.col("u")).where("b > a").selectExpr("b AS a", "m AS b")
         large = store.put(large.where("a <> b").distinct())
         store.drop(low)
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
-        small = small.where("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b"))
+        low = store.put(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
+        small = large.join(small_side(low), F.col("a") == F.col("u"))
+        small = small.where("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("u AS a", "m AS b"))
         nxt = store.put(small.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
         store.drop(large)
+        store.drop(low)
         store.drop(cur)
         cur = nxt
     else:
