@@ -30,8 +30,8 @@ by_value(__name__)
 CAPACITY = 2048
 #: Pieces and gaps in one range, about.
 RANGE = 1 << 17
-#: Ranges of the stored order in ``pack_in_order`` for numbering.
-ORDER_RANGE = 1 << 15
+#: Places of the stored order in a range of ``pack_in_order``, at least, and about how many ranges there are at most.
+ORDER_RANGE, ORDER_RANGES = 1 << 11, 1 << 17
 
 
 def supersteps(counts: dict[int, int], capacity: int, open_gaps: list[tuple[int, int, int]] = (), opens: bool = True) -> list[tuple[int, int, int, int, int, int]]:
@@ -246,8 +246,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, digest: bool = Fal
     return best_fit(pieces, capacity)
 
 
-def stored_order(docs: DataFrame) -> DataFrame:
-    """``docs``, read from Parquet files, with ``pack__at``: the place of each row, from 0 without gaps, in the files' order."""
+def stored_order(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs``, read from Parquet files, with ``pack__at``: the place of each row, from 0 without gaps, in the files' order; and
+    how many rows there are."""
     placed = docs.select("*", F.col("_metadata.file_path").alias("pack__file"), F.col("_metadata.row_index").alias("pack__row"))
     files, total = [], 0
     for name, n in sorted(tuple(r) for r in placed.groupBy("pack__file").count().collect()):  # one row a file
@@ -255,7 +256,7 @@ def stored_order(docs: DataFrame) -> DataFrame:
         total += n
     first = F.broadcast(docs.sparkSession.createDataFrame(files or [("", 0)], "pack__name string, pack__before bigint"))
     out = placed.join(first, F.col("pack__file") == F.col("pack__name"))
-    return out.select(*docs.columns, (F.col("pack__before") + F.col("pack__row")).alias("pack__at"))
+    return out.select(*docs.columns, (F.col("pack__before") + F.col("pack__row")).alias("pack__at")), total
 
 
 def pack_in_order(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -265,11 +266,13 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     first. Null texts and ids, repeated rows and empty tables as in ``pack_documents``.
     """
     store = Scratch(docs.sparkSession)
-    rows = stored_order(docs).select(F.struct("doc_id", "pack__at").alias("own"), "text")
+    rows, total = stored_order(docs)
+    size = max(ORDER_RANGE, total // ORDER_RANGES)
+    rows = rows.select(F.struct("doc_id", "pack__at").alias("own"), "text")
     pieces = token_pieces(rows, capacity, id_col="own").selectExpr("own.doc_id AS doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "own.pack__at AS pack__at")
     packed = store.put(best_fit(pieces, capacity, order=F.col("pack__at")))
     # sequences ranked by their first piece, in ranges of the order
-    firsts = store.put(packed.groupBy("sequence_id").agg(F.min(F.struct("pack__at", "piece")).alias("first")).withColumn("part", F.floor(F.col("first.pack__at") / ORDER_RANGE)))
+    firsts = store.put(packed.groupBy("sequence_id").agg(F.min(F.struct("pack__at", "piece")).alias("first")).withColumn("part", F.floor(F.col("first.pack__at") / size)))
     before, n = [], 0
     for k, own in sorted(tuple(r) for r in firsts.groupBy("part").count().collect()):
         before.append((k, n))
