@@ -34,6 +34,8 @@ BLOCK = 16
 #: Documents of a source in one range of the hash, about: ranges are ranked in parallel. There are about so many ranges in all
 #: sources at most, beyond which ranges grow with the input.
 RANGE, RANGES = 1 << 11, 1 << 17
+#: Documents in a partition of the stored mix, at most, where the session's number of partitions would give more.
+ROWS = 1 << 14
 #: Slots in a chunk of the schedule, at least; with many sources, so many slots a source.
 SLOTS, SLOTS_A_SOURCE = 1 << 17, 64
 
@@ -271,7 +273,7 @@ def in_mix_order(docs: DataFrame, partitions: int | None = None, weights: dict[s
     Nulls, repeated rows and empty tables as in ``mix_sources``; columns named ``slot`` or ``position`` stay what they are.
     """
     mixed = placed(docs, weights, block, id_col, source_col, None, None)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS))
     return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*(F.col(f"own.`{c}`") for c in docs.columns))
 
 
