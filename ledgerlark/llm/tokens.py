@@ -8,6 +8,7 @@ and any text that tiktoken refuses, goes through ``tokenizers`` itself.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ by_value(__name__)
 JSON_FILE = "byte_bpe_50k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
+#: Runs of white space from this length on are more than tiktoken's pattern engine takes; only longer texts are looked through.
+LONG_BLANK = 100_000
+BLANKS = re.compile(r"\s+")
 
 
 class ByteBpe:
@@ -49,7 +53,7 @@ class ByteBpe:
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids of one text, uint32."""
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in BLANKS.finditer(text))):
             return np.array(self.plain(text), np.uint32)
         try:
             return np.array(self.fast.encode_ordinary(text), np.uint32)

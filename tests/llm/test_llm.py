@@ -944,3 +944,69 @@ def test_tokens_of_lines_one_by_one(spark, rule):
         got.setdefault(r.doc_id, []).append((r.section, r.n_tokens, r.n_shared))
     for k, t in enumerate(texts):
         assert [x[1:] for x in sorted(got[k])] == brute_sections(t, rule)
+
+
+def test_long_blanks_need_no_rescue():
+    bpe = tokens.ByteBpe()
+    text = "a" + " " * 1_000_000 + "b"
+    assert bpe(text).tolist() == bpe.plain(text)
+
+
+def test_scores_are_those_of_a_scalar_walk(spark, monkeypatch):
+    rng, held = random.Random(45), []
+    learn = quality.learn
+    monkeypatch.setattr(quality, "learn", lambda *a: held.append(learn(*a)) or held[-1])
+    rows = [(k, words(rng, rng.randint(5, 60)) if k % 2 else words(rng, 30).upper().replace(" ", "!! "), "en", "s") for k in range(160)] + [(900, None, None, None), (901, "", None, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(160)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(frame(spark, rows), labels).collect()}
+    trees = held[0][0]
+    for i, text, *_ in rows:
+        x = quality.measure([(text or "").encode()])[0]
+        total = trees.base
+        for k in range(len(trees.feature)):
+            node = 0
+            while trees.left[k][node] != node:
+                node = trees.left[k][node] if x[trees.feature[k][node]] <= trees.threshold[k][node] else trees.right[k][node]
+            total += trees.value[k][node]
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-5
+
+
+# the whole pipeline against plain versions of its stages
+
+
+def check_run(spark, rows, path, extra=False):
+    """run() over documents with these rows: every stage by a plain version, from what the language stage kept on."""
+    docs = frame(spark, rows, extra)
+    docs.write.parquet(f"{path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(path)).collect()
+    spoken = [(r.doc_id, r.text) for r in language_id.keep_identified(spark.read.parquet(f"{path}/documents.parquet")).collect()]
+    assert all(t and any(c.isalpha() for c in t) for _, t in spoken)
+    best = {}
+    for i, t in spoken:
+        if t not in best or (-1 if i is None else i) > (-1 if best[t] is None else best[t]):
+            best[t] = i
+    left = [(i, t) for t, i in best.items()]
+    classes = brute_classes(left)
+    kept = [(i, t) for i, t in left if i is None or classes[i][0] == i]
+    bpe, places = tokens.ByteBpe(), {}
+    want = sorted((str(i), zlib.crc32(np.array([*bpe.plain(t), 0], np.uint32)[:k].tobytes()), k) for i, t in kept for n in [len(bpe.plain(t)) + 1] for k in [n % 2048 or 2048])
+    assert sorted((str(r.doc_id), r.ids_crc32, r.length) for r in packed if r.piece == 0) == want
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(places) == set(range(len(places)))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 2048
+    return packed
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    rng = random.Random(47)
+    base = [words(rng, 40) for _ in range(12)]
+    rows = lang_rows() + [(1000 + k, base[k % 12] + (" tail" if k % 3 else ""), "zz", rng.choice(["s", "t", None])) for k in range(48)]
+    rows += [(None, base[0] + " some more of it, alone", "zz", None), (None, None, None, None), (2000, "", "xx", "s"), (2001, "12 34", "xx", "s"), (2002, words(rng, 3000), "zz", "t"), (2002, words(rng, 3000), "zz", "t"), rows[0], rows[0]]
+    assert len(check_run(spark, rows, tmp_path, extra=True)) > 100
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert check_run(spark, [], tmp_path) == []
