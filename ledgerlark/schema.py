@@ -51,9 +51,26 @@ ELEMENTS = {
 
 # The order in which elements are shown, by statement.
 DISPLAY = {
-    "income_statement": "NetSales Revenue NetSalesIFRS RevenueIFRS SalesRevenueIFRS CostOfSales CostOfSalesIFRS GrossProfit GrossProfitIFRS SellingGeneralAndAdministrativeExpenses SellingGeneralAndAdministrativeExpensesIFRS OperatingExpensesIFRS OperatingIncome OperatingProfit OperatingIncomeIFRS OperatingProfitIFRS OperatingProfitLossIFRS NonOperatingIncome NonOperatingExpenses OrdinaryIncome ExtraordinaryIncome ExtraordinaryLoss IncomeBeforeIncomeTaxes ProfitBeforeTax ProfitBeforeTaxIFRS ProfitLossBeforeTaxIFRS IncomeTaxes IncomeTaxExpenseIFRS IncomeTaxesIFRS ProfitLoss ProfitForThePeriod ProfitLossIFRS ProfitForThePeriodIFRS ProfitLossAttributableToOwnersOfParent ProfitAttributableToOwnersOfParent ProfitLossAttributableToOwnersOfParentIFRS ProfitLossAttributableToNonControllingInterests ProfitLossAttributableToNonControllingInterestsIFRS".split(),
-    "balance_sheet": "CurrentAssets CurrentAssetsIFRS CashAndDeposits CashAndCashEquivalents NotesAndAccountsReceivableTrade AccountsReceivableTrade Inventories NoncurrentAssets NonCurrentAssetsIFRS NoncurrentAssetsIFRS PropertyPlantAndEquipment PropertyPlantAndEquipmentIFRS IntangibleAssets IntangibleAssetsIFRS Goodwill GoodwillIFRS InvestmentsAndOtherAssets InvestmentsIFRS TotalAssets AssetsIFRS TotalAssetsIFRS CurrentLiabilities CurrentLiabilitiesIFRS NoncurrentLiabilities NonCurrentLiabilitiesIFRS NoncurrentLiabilitiesIFRS TotalLiabilities LiabilitiesIFRS TotalLiabilitiesIFRS ShareholdersEquity CapitalStock RetainedEarnings TreasuryShares NetAssets TotalEquity EquityIFRS TotalEquityIFRS EquityAttributableToOwnersOfParentIFRS NonControllingInterestsIFRS TotalLiabilitiesAndNetAssets LiabilitiesAndEquityIFRS".split(),
-    "cash_flow_statement": "CashFlowsFromOperatingActivities CashFlowsFromInvestingActivities CashFlowsFromFinancingActivities EffectOfExchangeRateChangeOnCashAndCashEquivalents NetIncreaseDecreaseInCashAndCashEquivalents CashAndCashEquivalentsAtEndOfPeriod".split(),
+    "income_statement": (
+        "NetSales", "Revenue", "NetSalesIFRS", "RevenueIFRS", "SalesRevenueIFRS", "CostOfSales", "CostOfSalesIFRS", "GrossProfit", "GrossProfitIFRS",
+        "SellingGeneralAndAdministrativeExpenses", "SellingGeneralAndAdministrativeExpensesIFRS", "OperatingExpensesIFRS", "OperatingIncome", "OperatingProfit", "OperatingIncomeIFRS",
+        "OperatingProfitIFRS", "OperatingProfitLossIFRS", "NonOperatingIncome", "NonOperatingExpenses", "OrdinaryIncome", "ExtraordinaryIncome", "ExtraordinaryLoss",
+        "IncomeBeforeIncomeTaxes", "ProfitBeforeTax", "ProfitBeforeTaxIFRS", "ProfitLossBeforeTaxIFRS", "IncomeTaxes", "IncomeTaxExpenseIFRS", "IncomeTaxesIFRS", "ProfitLoss",
+        "ProfitForThePeriod", "ProfitLossIFRS", "ProfitForThePeriodIFRS", "ProfitLossAttributableToOwnersOfParent", "ProfitAttributableToOwnersOfParent",
+        "ProfitLossAttributableToOwnersOfParentIFRS", "ProfitLossAttributableToNonControllingInterests", "ProfitLossAttributableToNonControllingInterestsIFRS",
+    ),
+    "balance_sheet": (
+        "CurrentAssets", "CurrentAssetsIFRS", "CashAndDeposits", "CashAndCashEquivalents", "NotesAndAccountsReceivableTrade", "AccountsReceivableTrade", "Inventories", "NoncurrentAssets",
+        "NonCurrentAssetsIFRS", "NoncurrentAssetsIFRS", "PropertyPlantAndEquipment", "PropertyPlantAndEquipmentIFRS", "IntangibleAssets", "IntangibleAssetsIFRS", "Goodwill", "GoodwillIFRS",
+        "InvestmentsAndOtherAssets", "InvestmentsIFRS", "TotalAssets", "AssetsIFRS", "TotalAssetsIFRS", "CurrentLiabilities", "CurrentLiabilitiesIFRS", "NoncurrentLiabilities",
+        "NonCurrentLiabilitiesIFRS", "NoncurrentLiabilitiesIFRS", "TotalLiabilities", "LiabilitiesIFRS", "TotalLiabilitiesIFRS", "ShareholdersEquity", "CapitalStock", "RetainedEarnings",
+        "TreasuryShares", "NetAssets", "TotalEquity", "EquityIFRS", "TotalEquityIFRS", "EquityAttributableToOwnersOfParentIFRS", "NonControllingInterestsIFRS",
+        "TotalLiabilitiesAndNetAssets", "LiabilitiesAndEquityIFRS",
+    ),
+    "cash_flow_statement": (
+        "CashFlowsFromOperatingActivities", "CashFlowsFromInvestingActivities", "CashFlowsFromFinancingActivities", "EffectOfExchangeRateChangeOnCashAndCashEquivalents",
+        "NetIncreaseDecreaseInCashAndCashEquivalents", "CashAndCashEquivalentsAtEndOfPeriod",
+    ),
 }
 #: Labels over all statements; where an element is in two, the later statement's label holds.
 LABELS = {k: v for s in ELEMENTS.values() for k, v in s.items()}
