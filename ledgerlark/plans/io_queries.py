@@ -107,18 +107,36 @@ def _(a):
     return a.sparkSession.read.schema(made.schema).json(path)
 
 
-@query("s9_raw_filings", "SELECT company, year, statement, pos, label, value FROM facts", "facts")
-def _(f):
+def _filed(f):
+    """Raw filing files of the newer shape, one a company, written from line items, and what the reader makes of them."""
     spark, path = f.sparkSession, new_folder(f.sparkSession)
-    items = F.array_sort(F.collect_list(F.struct("pos", F.col("label").alias("科目"), F.col("value").alias("当期"))))
+    before = S.with_prior_year(f).select("company", "year", "statement", "label", "prev").groupBy("company", "year", "statement", "label").agg(F.first("prev").alias("prev"))
+    items = F.array_sort(F.collect_list(F.struct("pos", F.col("label").alias("科目"), F.col("value").alias("当期"), F.col("prev").alias("前期"))))
     # a company's lines in a file of its own: some hundred; a line's place in its statement is its position
-    years = f.groupBy("company", "year", "statement").agg(items.alias("x")).groupBy("company", "year").agg(F.map_from_entries(F.collect_list(F.struct("statement", "x"))).alias("s"))
+    lines = f.join(before, ["company", "year", "statement", "label"], "left")
+    years = lines.groupBy("company", "year", "statement").agg(items.alias("x")).groupBy("company", "year").agg(F.map_from_entries(F.collect_list(F.struct("statement", "x"))).alias("s"))
     filing = F.struct(F.struct(F.concat(F.lit("S"), "year").alias("doc_id")).alias("filing"), *(F.col("s")[n].alias(n) for n in ("income_statement", "balance_sheet", "cash_flow_statement")))
     whole = years.select("company", F.struct("year", filing.alias("f")).alias("y")).groupBy("company").agg(F.map_from_entries(F.collect_list("y")).alias("filings"))
     whole.select(F.col("company").alias("part"), F.to_json(F.struct(F.struct(F.col("company").alias("edinet_code")).alias("company"), "filings")).alias("value")).write.partitionBy("part").text(path)
-    _, _, items = io.load_filings(spark, path)
-    back = f.select("company", "year", "statement", "label", F.col("pos").alias("at"))
-    return items.join(back, ["company", "year", "statement", "label"]).select("company", "year", "statement", F.col("at").alias("pos"), "label", "value")
+    return io.load_filings(spark, path)[2]
+
+
+_PLACED = "SELECT *, row_number() OVER (PARTITION BY company, year, statement ORDER BY pos, label) - 1 AS place FROM facts"
+
+
+@query("s9_raw_filings", f"SELECT company, year, statement, CAST(place AS BIGINT) AS pos, label, value FROM ({_PLACED})", "facts")
+def _(f):
+    return _filed(f).select("company", "year", "statement", "pos", "label", "value")
+
+
+@query("b7_prior_column", f"SELECT a.company, a.year, a.statement, CAST(a.place AS BIGINT) AS pos, a.label, b.value FROM ({_PLACED}) a JOIN facts b ON a.company = b.company AND a.label = b.label AND a.statement = b.statement AND CAST(b.year AS INT) = CAST(a.year AS INT) - 1", "facts")
+def _(f):
+    return S.first_items(_filed(f), "previous").select("company", "year", "statement", "pos", "label", "value")
+
+
+@query("b8_raw_values", f"WITH {CONTEXT} SELECT company, kind, concat(label, '_', y1) AS key, value / div AS value FROM ctx UNION ALL SELECT company, kind, concat(label, '_', y2), pv / div FROM ctx WHERE pv IS NOT NULL", "facts", "companies", "filings")
+def _(facts, companies, filings):
+    return S.contexts(facts, companies, filings).select(F.col("edinet_code").alias("company"), F.col("context_type").alias("kind"), F.explode("raw_values").alias("key", "value"))
 
 
 @query("s9_s10_contexts", f"WITH {CONTEXT} SELECT company, kind, any_value(scale) AS scale, count(*) AS lines, count(*) + count(pv) AS stored_values FROM ctx GROUP BY company, kind", "facts", "companies", "filings")
