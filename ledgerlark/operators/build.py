@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import statements as S
 from ledgerlark.operators import templates as G
 from ledgerlark.operators import validate as V
-from ledgerlark.scratch import store
+from ledgerlark.scratch import discard, store
 from ledgerlark.sources import io
 
 STAGES = ("2", "3", "4")
@@ -73,3 +73,4 @@ def build(spark: SparkSession, data: str, stages: tuple[str, ...] = STAGES) -> N
         io.write_rows(final, f"{data}/final/questions")
         io.write_rows(rejected, f"{data}/final/rejected")
         io.write_json(spark, f"{data}/final/stats.json", stats(final, rejected))
+        discard(final, rejected)
