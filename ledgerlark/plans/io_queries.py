@@ -199,3 +199,15 @@ def _(p):
     rows = p.select("id", ask.alias("question"), F.lit("").alias("context"), F.when(k == 3, a * 2).otherwise(a).cast("string").alias("gold"))
     got = runs.scored(runs.run(rows, runs.for_regime("gpt-4o", "R0", call), most_errors=1 << 30, parallel=4), "gpt-4o")
     return got.select("id", "predicted", "parse_success", "correct", "cost_usd")
+
+
+@query("run_error_streak", "SELECT id, false AS failed FROM programs WHERE id < 600 UNION ALL SELECT id, true FROM (SELECT id FROM programs WHERE id >= 600 ORDER BY id LIMIT 4)", "programs")
+def _(p):
+    def provider(question, context):
+        if int(question) >= 600:
+            raise RuntimeError("down")
+        return {"text": question}
+
+    # the fifth error in a row ends the run before it is stored; nothing is asked after it
+    got = runs.run(p.select("id", F.col("id").cast("string").alias("question"), F.lit("").alias("context")), provider)
+    return got.select("id", F.col("error").isNotNull().alias("failed"))
