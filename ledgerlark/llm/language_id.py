@@ -228,14 +228,15 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     for r in sorted(got, key=lambda r: (r["lang"], r["id"], r["windows"])):
         by.setdefault(r["lang"], []).append(r["windows"])
     labels, data, label = sorted(by), [], []
-    for k, lang in enumerate(labels):
-        many = [w for own in by[lang][:DOCS_PER_LANGUAGE] for w in own]
+    for number, lang in enumerate(labels):
+        # a document's first window is read as in prediction: after nothing
+        many = [(k == 0, w) for own in by[lang][:DOCS_PER_LANGUAGE] for k, w in enumerate(own)]
         size = max(len(by[x][:DOCS_PER_LANGUAGE]) for x in labels) * WINDOWS_PER_DOC
         many = (many * -(-size // len(many)))[:size]  # languages with fewer documents count as much
-        for w in many:
-            b = to_bytes(w)[:READS]
+        for first, w in many:
+            b = (bytes(AROUND if first else 0) + to_bytes(w))[:READS]
             data.append(b + bytes(READS - len(b)))
-            label.append(k)
+            label.append(number)
     if not labels:
         return None
     net = BiGru(labels)
