@@ -310,22 +310,22 @@ def op13_phrase_collocations(spark, sf_dir: str) -> DataFrame:
 
 
 OP13_SQL = """
-WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
+WITH d AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, doc_id,
                   string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
-p AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
-s AS (SELECT lang, pid, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
+p AS MATERIALIZED (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+s AS MATERIALIZED (SELECT lang, pid, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
 t AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5 FROM s WINDOW o AS (PARTITION BY pid ORDER BY i)),
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (
   SELECT lang, unnest([1, 2, 3, 4, 5]) AS k, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5]) AS phrase FROM t)
   WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
 n AS MATERIALIZED (SELECT lang, count(*) AS n FROM t GROUP BY lang),
 c AS MATERIALIZED (SELECT * FROM f WHERE k > 1),
-cuts AS MATERIALIZED (SELECT c.lang, c.k, c.phrase, c.a, j, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n // (l.a::HUGEINT * r.a))::BIGINT AS score
-         FROM c JOIN n ON n.lang = c.lang, range(1, 5) t(j)
-         JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
-         JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ') WHERE j < c.k),
+parts AS MATERIALIZED (SELECT lang, k, phrase, a, j, array_to_string(v[1:j], ' ') AS lp, array_to_string(v[j + 1:k], ' ') AS rp
+         FROM (SELECT *, string_split(phrase, ' ') AS v, unnest([1, 2, 3, 4]) AS j FROM c) WHERE j < k),
+cuts AS MATERIALIZED (SELECT p.lang, p.k, p.phrase, p.a, j, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * p.a * n.n // (l.a::HUGEINT * r.a))::BIGINT AS score
+         FROM parts p JOIN n ON n.lang = p.lang JOIN f l ON l.lang = p.lang AND l.phrase = lp JOIN f r ON r.lang = p.lang AND r.phrase = rp),
 best AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
-kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND q.k > b.k AND 100 * q.a >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
+kept AS MATERIALIZED (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND q.k > b.k AND 100 * q.a >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM kept
 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER o <= 2000
 """
