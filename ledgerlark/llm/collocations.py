@@ -7,7 +7,8 @@ are their numbers.
 
 A phrase can be frequent overall and rare in every shard, so popcounts are summed over shards after each step, and only
 phrases that are frequent overall are extended. A phrase of k words is the pair of its first and its last k - 1 words, both
-frequent, so what moves are pairs of numbers; each shard gets back only the frequent pairs that it holds.
+frequent, so what moves are pairs of numbers. The frequent ones travel to the shards' tasks up to a counted number; beyond it
+joins bring each shard those that it holds.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import Scratch, by_value, small_side, table
+from ledgerlark.llm.common import MOST_BROADCAST, Scratch, by_value, table
 
 by_value(__name__)
 
@@ -176,19 +177,31 @@ def state_batch(shard: int, skip: int, ids: np.ndarray, sizes: np.ndarray, block
     )
 
 
-def own_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bitmaps of a shard's frequent words: those in ``found`` (places in its vocabulary and ids)."""
-    for batch in it:
-        for row in range(batch.num_rows):
-            found = batch.column("found")[row].values
-            place, ids = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-            sizes, block, mask = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in (("sizes", np.int32), ("block", np.uint32), ("mask", np.uint16)))
-            order = np.argsort(place)
-            place, ids = place[order], ids[order]
-            keep = np.zeros(len(sizes), bool)
-            keep[place] = True
-            taken = np.repeat(keep, sizes)
-            yield state_batch(batch.column("shard")[row].as_py(), batch.column("skip")[row].as_py(), ids, sizes[place], block[taken], mask[taken])
+def own_words(known: dict[str, dict[str, int]] | None):
+    """The bitmaps of a shard's frequent words: those of its language in ``known`` (word to id), or else those in the column
+    ``found`` (places in its vocabulary and ids)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for row in range(batch.num_rows):
+                if known is not None:
+                    own = known.get(batch.column("lang")[row].as_py(), {})
+                    pairs = [(k, own[w]) for k, w in enumerate(batch.column("words")[row].as_py()) if w in own]
+                    place, ids = (np.array([p[k] for p in pairs], np.int64) for k in range(2))
+                else:
+                    found = batch.column("found")[row].values
+                    place, ids = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                if not len(ids):
+                    continue
+                sizes, block, mask = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in (("sizes", np.int32), ("block", np.uint32), ("mask", np.uint16)))
+                order = np.argsort(place)
+                place, ids = place[order], ids[order]
+                keep = np.zeros(len(sizes), bool)
+                keep[place] = True
+                taken = np.repeat(keep, sizes)
+                yield state_batch(batch.column("shard")[row].as_py(), batch.column("skip")[row].as_py(), ids, sizes[place], block[taken], mask[taken])
+
+    return run
 
 
 def popcounts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,31 +223,44 @@ def popcounts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[key // len(ids)]), pa.array(ids[key % len(ids)]), pa.array(total)], ["shard", "a", "b", "c"])
 
 
-def extended(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bitmaps of a shard's frequent pairs ``found`` (a, b, id), one word longer than those that it holds."""
-    for batch in it:
-        for row in range(batch.num_rows):
-            ids, (owner, block, mask) = read_state(batch, row)
-            found = batch.column("found")[row].values
-            a, b, new = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            by_id = np.argsort(ids)
-            a, b = (by_id[np.searchsorted(ids, x, sorter=by_id)] for x in (a, b))
-            key = a * len(ids) + b
-            order = np.argsort(key)
-            key, new = key[order], new[order]
-            firsts, lasts = np.isin(owner, a), np.isin(owner, b)
-            out = [[], [], []]
-            for x, y, at, bits in joined(shifted(owner[firsts], block[firsts], mask[firsts]), (owner[lasts], block[lasts], mask[lasts])):
-                k = x * len(ids) + y
-                place = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                hit = np.flatnonzero(key[place] == k)
-                for have, more in zip(out, (place[hit], at[hit], bits[hit]), strict=True):
-                    have.append(more)
-            place, at, bits = (np.concatenate(x) for x in out)
-            order = np.lexsort((at, place))
-            place, at, bits = place[order], at[order], bits[order]
-            first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1])]))
-            yield state_batch(batch.column("shard")[row].as_py(), batch.column("skip")[row].as_py(), new, np.bincount(place[first], minlength=len(new)).astype(np.int32), at[first].astype(np.uint32), np.bitwise_or.reduceat(bits, first))
+def extended(known: np.ndarray | None):
+    """The bitmaps of a shard's frequent pairs, one word longer than those that it holds: those of ``known`` (rows a, b, id),
+    or else those in the column ``found`` (a, b, id)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for row in range(batch.num_rows):
+                ids, (owner, block, mask) = read_state(batch, row)
+                if known is not None:
+                    a, b, new = known
+                else:
+                    found = batch.column("found")[row].values
+                    a, b, new = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                by_id = np.argsort(ids)
+                at = [np.minimum(np.searchsorted(ids, x, sorter=by_id), len(ids) - 1) for x in (a, b)]
+                have = (ids[by_id[at[0]]] == a) & (ids[by_id[at[1]]] == b)
+                a, b, new = by_id[at[0]][have], by_id[at[1]][have], new[have]
+                key = a * len(ids) + b
+                order = np.argsort(key)
+                key, new = key[order], new[order]
+                firsts, lasts = np.isin(owner, a), np.isin(owner, b)
+                out = [[np.zeros(0, kind)] for kind in (np.int64, np.uint32, np.uint16)]
+                for x, y, at, bits in joined(shifted(owner[firsts], block[firsts], mask[firsts]), (owner[lasts], block[lasts], mask[lasts])):
+                    k = x * len(ids) + y
+                    place = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                    hit = np.flatnonzero(key[place] == k)
+                    for parts, more in zip(out, (place[hit], at[hit], bits[hit]), strict=True):
+                        parts.append(more)
+                place, at, bits = (np.concatenate(x) for x in out)
+                if not len(place):
+                    continue
+                order = np.lexsort((at, place))
+                place, at, bits = place[order], at[order], bits[order]
+                first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1])]))
+                sizes = np.bincount(place[first], minlength=len(new)).astype(np.int32)
+                yield state_batch(batch.column("shard")[row].as_py(), batch.column("skip")[row].as_py(), new[sizes > 0], sizes[sizes > 0], at[first], np.bitwise_or.reduceat(bits, first))
+
+    return run
 
 
 def scored(phrases: DataFrame, totals: DataFrame, words: int) -> DataFrame:
@@ -250,14 +276,14 @@ def scored(phrases: DataFrame, totals: DataFrame, words: int) -> DataFrame:
     return own.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, shard_words: int = SHARD_WORDS) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, shard_words: int = SHARD_WORDS, most_sent: int = MOST_BROADCAST) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     A-Z are lower-cased; pieces end at ``.,;:!?`` and line ends, words at blanks and tabs. A null text is empty, a null
     language ``und``. A phrase counts wherever its words follow each other within a piece, overlaps included; repeated rows
     count each time. Phrases of fewer than ``least`` places, and those within a longer candidate of as many places, are left
     out. Ties in the score go to the higher count, then by the bytes of the phrase. No texts give no rows; other columns are
-    ignored.
+    ignored. Up to ``most_sent`` frequent phrases of a length travel to all tasks; with more of them the shards are joined with theirs.
     """
     if not 2 <= longest <= BITS - 1:
         raise ValueError(f"longest must be from 2 to {BITS - 1}")
@@ -269,11 +295,19 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     none = F.array().cast("array<bigint>")
     level = words.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     level = store.put(level.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", F.col("phrase").alias("last"), "f", none.alias("pre"), none.alias("suf")))
-    here = words.join(small_side(level.select("lang", "phrase", "id")), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
-    state = store.put(maps.drop("lang", "words", "counts").join(here, "shard").mapInArrow(own_words, STATE))
+    if level.count() <= most_sent:
+        known: dict[str, dict[str, int]] = {}
+        for r in level.select("lang", "phrase", "id").collect():
+            known.setdefault(r["lang"], {})[r["phrase"]] = r["id"]
+        state = maps.select("shard", "lang", "skip", "words", "sizes", "block", "mask").mapInArrow(own_words(known), STATE)
+    else:
+        here = words.join(level.select("lang", "phrase", "id").hint("merge"), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+        state = maps.select("shard", "skip", "sizes", "block", "mask").join(here, "shard").mapInArrow(own_words(None), STATE)
+    state = store.put(state)
+    store.drop(maps)
     out = None
     for size in range(2, longest + 1):
-        pairs = store.put(state.mapInArrow(popcounts, "shard bigint, a bigint, b bigint, c bigint"))
+        pairs = state.mapInArrow(popcounts, "shard bigint, a bigint, b bigint, c bigint")
         often = pairs.groupBy("a", "b").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
         often = store.put(often.withColumn("id", F.monotonically_increasing_id()))
         first = level.select(F.col("id").alias("a"), "lang", "phrase", F.concat("pre", F.array("f")).alias("pre"))
@@ -285,9 +319,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         if size == longest or level.isEmpty():
             out = scored(level, totals, size) if out is None else out.unionByName(scored(level, totals, size))
             break
-        here = pairs.join(small_side(often.drop("f")), ["a", "b"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b", "id")).alias("found"))
-        state = store.put(state.join(here, "shard").mapInArrow(extended, STATE))
-        store.drop(pairs)
+        if often.count() <= most_sent:
+            known = np.array([[r["a"], r["b"], r["id"]] for r in often.select("a", "b", "id").collect()], np.int64).T
+            nxt = store.put(state.mapInArrow(extended(known), STATE))
+        else:
+            here = pairs.join(often.drop("f").hint("merge"), ["a", "b"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b", "id")).alias("found"))
+            nxt = store.put(state.join(here, "shard").mapInArrow(extended(None), STATE))
+        store.drop(state)
+        state = nxt
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # the first of a language are among the first of each of its parts, so that no task ranks a whole language
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))
