@@ -58,16 +58,19 @@ def parser() -> argparse.ArgumentParser:
     ru.add_argument("-d", "--data", required=True)
     ru.add_argument("-n", "--limit", type=int, default=0)
     ru.add_argument("-o", "--out-dir", required=True)
+    ru.add_argument("--parallel", type=int, default=1, help="questions asked at a time")
     return out
 
 
+def json_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds JSON files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return any(f.getPath().getName().endswith(".json") for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+
+
 def load(spark: SparkSession, path: str, subtask: str | None):
     """Nested questions from JSON or JSON lines (a file or a folder of them), else from a published set."""
-    if path.endswith((".json", ".jsonl")):
-        return io.load_file(spark, path, subtask)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
-    return io.load_file(spark, path, subtask) if any(n.endswith(".json") for n in names) else io.unflatten(io.load_table(spark, path, subtask))
+    return io.load_file(spark, path, subtask) if path.endswith((".json", ".jsonl")) or json_files(spark, path) else io.unflatten(io.load_table(spark, path, subtask))
 
 
 def listing(questions, limit: int) -> list[str]:
@@ -171,14 +174,16 @@ def run(spark, args) -> int:
     module, _, name = args.provider.partition(":")
     call = getattr(importlib.import_module(module), name)
     by_value(module)  # the executors need not have it
-    own = load(spark, args.data, None)
+    # in the order of the files, or of the ids of a published set
+    lines = args.data.endswith((".json", ".jsonl")) or json_files(spark, args.data)
+    own = B.numbered(io.to_questions(io.json_rows(spark, args.data)), ("file", "pos"), "place") if lines else B.numbered(load(spark, args.data, None), ("id",), "place")
     context = R.context(F.col("pre_text"), F.col("table.headers"), F.col("table.rows"), F.col("post_text"))
-    rows = own.select("id", "subtask", F.coalesce("accounting_standard", F.lit("")).alias("accounting_standard"), F.col("qa.question").alias("question"), context.alias("context"), F.col("qa.answer").alias("gold"))
-    rows = rows.limit(args.limit) if args.limit else rows
+    rows = own.where(F.col("place") < args.limit) if args.limit else own
+    rows = rows.select("place", "id", "subtask", F.coalesce("accounting_standard", F.lit("")).alias("accounting_standard"), F.col("qa.question").alias("question"), context.alias("context"), F.col("qa.answer").alias("gold"))
     stored = f"{args.out_dir}/{args.model}__{args.regime}"
-    done = io.load_attempts(spark, f"{stored}__attempts")
-    left = rows if done is None else runs.to_do(rows, done)
-    io.append_attempts(runs.scored(runs.run(left, runs.for_regime(args.model, args.regime, call)), args.model), f"{stored}__attempts")
+    told = runs.run_stored(rows, runs.for_regime(args.model, args.regime, call), f"{stored}__attempts", lambda a: runs.scored(a.drop("place"), args.model), parallel=args.parallel, order=("place",))
+    if told["stopped"]:
+        print(f"Stopped after {runs.MOST_ERRORS} errors in a row; {told['stored']} of {told['to_ask']} attempts stored.", file=sys.stderr)
     got = runs.metrics(io.load_attempts(spark, f"{stored}__attempts"), args.model, args.regime, args.data)
     io.write_json(spark, f"{stored}__metrics.json", got)
     print(json.dumps(got["summary"], ensure_ascii=False))

@@ -50,8 +50,10 @@ PLAIN = "△▲\u00c0-\u00ff\u3001-\u3003\u3005-\u3015\u3041-\u3096\u30a1-\u30fe
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility-composed text. Only values with characters beyond ASCII, FULL and PLAIN take the trip through Arrow."""
-    return F.coalesce(arrow_udf(nfkc_arrow, "string")(F.when(c.rlike(rf"[^\x00-\x7F{FULL[0]}-{FULL[-2]}\u3000{PLAIN}]"), c)), F.translate(c, FULL, NARROW))
+    """Compatibility-composed text. Only values with characters beyond ASCII, FULL and PLAIN take the trip through Arrow, and only
+    those with one of FULL are gone through character by character."""
+    full = rf"{FULL[0]}-{FULL[-2]}\u3000"
+    return F.coalesce(arrow_udf(nfkc_arrow, "string")(F.when(c.rlike(rf"[^\x00-\x7F{full}{PLAIN}]"), c)), F.when(c.rlike(f"[{full}]"), F.translate(c, FULL, NARROW)).otherwise(c))
 
 
 def strip(c: Column) -> Column:
@@ -142,7 +144,7 @@ def harness_score(response: Column | str, gold: Column | str) -> Column:
 
 def validator_normalize(c: Column | str) -> Column:
     """The validator's form: every triangle is a minus, every comma goes."""
-    return F.lower(F.translate(nfkc(strip(col(c))), "△▲,", "--"))
+    return F.lower(F.regexp_replace(F.regexp_replace(nfkc(strip(col(c))), ",+", ""), "[△▲]", "-"))
 
 
 def validator_number(c: Column | str) -> Column:

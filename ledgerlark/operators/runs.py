@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as T
 from ledgerlark.functions.numbers import plain
 from ledgerlark.functions.render import RUN_PROMPT, SYSTEM_PROMPT
+from ledgerlark.operators.build import numbered
 from ledgerlark.schema import PRICES, REGIMES, UNKNOWN_PRICE
-from ledgerlark.scratch import store
+from ledgerlark.scratch import discard, store
 from ledgerlark.ship import by_value
+from ledgerlark.sources import io
 
 by_value(__name__)
 
 MOST_ERRORS = 5
+#: Attempts of a stream between two commits of a stored run.
+EVERY = 10
+#: Questions that a task asks at a time. A round over several tasks ends with a barrier, which takes up to a second.
+THREADS = 32
+REPLY = "raw_response string, input_tokens bigint, output_tokens bigint, thinking_tokens bigint, latency_s double, truncated boolean, error string"
 
 
 def price_dim(spark):
@@ -47,39 +57,90 @@ def for_regime(model: str, regime: str, call: Callable[..., dict]) -> Callable[[
     return provider
 
 
-def run(questions: DataFrame, provider: Callable[[str, str], dict], most_errors: int = MOST_ERRORS, parallel: int = 1) -> DataFrame:
-    """Attempts of questions ``(id, question, context, ...)`` by a provider function that returns ``text, input_tokens,
-    output_tokens, thinking_tokens, latency_s, truncated``; a raised exception is stored as ``error``.
+def attempt(provider: Callable[[str, str], dict], row: dict) -> dict:
+    """One question asked: the row and what came of it."""
+    got = {"raw_response": None, "input_tokens": 0, "output_tokens": 0, "thinking_tokens": 0, "latency_s": 0.0, "truncated": False, "error": None}
+    try:
+        reply = provider(row["question"], row["context"])
+        got |= {"raw_response": reply["text"]} | {k: reply.get(k, got[k]) for k in ("input_tokens", "output_tokens", "thinking_tokens", "latency_s", "truncated")}
+    except Exception as e:  # a provider may fail in any way; the row records it
+        got["error"] = f"{type(e).__name__}: {e}"
+    return row | got
+
+
+def asked(rows: DataFrame, provider: Callable[[str, str], dict], first: int, last: int, bad: int = 0, most_errors: int = MOST_ERRORS, parallel: int = 1, threads: int = THREADS) -> DataFrame:
+    """Attempts of rows numbered ``_no`` from ``first`` to before ``last``, in rounds of ``parallel`` questions at a time.
 
-    So many errors in a row end the run before the last of them is stored. Questions are asked one after the other, in the
-    order of their ids, as a provider with a rate limit wants it; with ``parallel`` as many streams ask at a time and each
-    ends by its own errors.
+    The streams are dealt to tasks of ``threads`` each, of which no more are made than run at once. After a round all tasks of the
+    barrier stage tell each other what failed, so that all count the same streak, in the order of the numbers; ``bad`` errors
+    precede the first question. The error that completes a streak of ``most_errors`` and those after it are left out, answers of
+    its round stay, and nothing more is asked.
     """
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema]
-    schema = ", ".join([*columns, "raw_response string, input_tokens bigint, output_tokens bigint, thinking_tokens bigint, latency_s double, truncated boolean, error string"])
+    tasks = max(1, min(-(-parallel // threads), rows.sparkSession.sparkContext.defaultParallelism))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), REPLY])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad = 0
-        for rows in it:
-            out = []
-            for r in rows.to_dict("records"):
-                got = {"raw_response": None, "input_tokens": 0, "output_tokens": 0, "thinking_tokens": 0, "latency_s": 0.0, "truncated": False, "error": None}
-                try:
-                    reply = provider(r["question"], r["context"])
-                    got |= {"raw_response": reply["text"]} | {k: reply.get(k, got[k]) for k in ("input_tokens", "output_tokens", "thinking_tokens", "latency_s", "truncated")}
-                    bad = 0
-                except Exception as e:  # a provider may fail in any way; the row records it
-                    bad += 1
-                    got["error"] = f"{type(e).__name__}: {e}"
-                    if bad >= most_errors:
+        tell = BarrierTaskContext.get().allGather if tasks > 1 else lambda said: [said]
+        waiting = (r for frame in it for r in frame.to_dict("records"))
+        ahead, streak = next(waiting, None), bad
+        with ThreadPoolExecutor(max_workers=-(-parallel // tasks)) as pool:
+            for at in range(first, last, parallel):
+                own = []
+                while ahead is not None and ahead["_no"] < at + parallel:
+                    own.append(ahead)
+                    ahead = next(waiting, None)
+                got = list(pool.map(lambda r: attempt(provider, r), own))
+                stop = None
+                for no, failed in sorted(x for said in tell(json.dumps([[r["_no"], r["error"] is not None] for r in got])) for x in json.loads(said)):
+                    streak = streak + 1 if failed else 0
+                    if streak >= most_errors:
+                        stop = no
                         break
-                out.append({**r, **got})
-            if out:
-                yield pd.DataFrame(out)
-            if bad >= most_errors:
-                return
+                kept = [r for r in got if stop is None or r["_no"] < stop or r["error"] is None]
+                if kept:
+                    yield pd.DataFrame(kept)
+                if stop is not None:
+                    return
+
+    dealt = rows.where((F.col("_no") >= first) & (F.col("_no") < last)).repartitionById(tasks, (F.col("_no") % parallel % tasks).cast("int"))
+    return dealt.sortWithinPartitions("_no").mapInPandas(batches, schema, barrier=tasks > 1)
+
+
+def run(questions: DataFrame, provider: Callable[[str, str], dict], most_errors: int = MOST_ERRORS, parallel: int = 1, order: tuple[str, ...] = ("id",), threads: int = THREADS) -> DataFrame:
+    """Attempts of questions ``(id, question, context, ...)`` by a provider function that returns ``text, input_tokens,
+    output_tokens, thinking_tokens, latency_s, truncated``; a raised exception is stored as ``error``.
+
+    ``parallel`` questions are asked at a time, in the given order. So many errors in a row, in that order and over all
+    streams, end the run before the last of them is stored. Nothing is kept of a run that dies: see ``run_stored``.
+    """
+    rows = store(numbered(questions, order, "_no"))
+    return asked(rows, provider, 0, rows.count(), 0, most_errors, parallel, threads).drop("_no")
 
-    return questions.repartition(parallel).sortWithinPartitions("id").mapInPandas(batches, schema)
+
+def run_stored(questions: DataFrame, provider: Callable[[str, str], dict], path: str, finish: Callable[[DataFrame], DataFrame] | None = None, most_errors: int = MOST_ERRORS, parallel: int = 1, every: int = EVERY, order: tuple[str, ...] = ("id",)) -> dict:
+    """A run whose attempts are appended to ``path`` as it goes: ``to_ask, stored, stopped``.
+
+    Questions with a stored attempt are not asked. The others go in waves of ``every`` questions a stream, each committed as a
+    whole, so a run that dies loses less than a wave and the next call goes on from there. The streak of errors carries over
+    from wave to wave, not from call to call. ``finish`` turns attempts into what is stored (as ``scored`` does) and keeps ``_no``.
+    """
+    done = io.load_attempts(questions.sparkSession, path)
+    rows = store(numbered(questions if done is None else to_do(questions, done), order, "_no").repartitionByRange("_no").sortWithinPartitions("_no"))
+    n, wave = rows.count(), every * parallel
+    streak, stored, stopped = 0, 0, False
+    for first in range(0, n, wave):
+        last, seen = min(n, first + wave), Observation()
+        got = asked(rows, provider, first, last, streak, most_errors, parallel)
+        got = got.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("error").isNull(), F.col("_no"))).alias("right"))
+        io.append_attempts((finish(got) if finish else got).drop("_no"), path)
+        count, right = seen.get["n"], seen.get["right"]
+        stored += count
+        if count < last - first:
+            stopped = True
+            break
+        streak = streak + count if right is None else last - 1 - right
+    discard(rows)
+    return {"to_ask": n, "stored": stored, "stopped": stopped}
 
 
 def scored(attempts: DataFrame, model: str) -> DataFrame:

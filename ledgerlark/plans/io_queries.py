@@ -201,13 +201,38 @@ def _(p):
     return got.select("id", "predicted", "parse_success", "correct", "cost_usd")
 
 
-@query("run_error_streak", "SELECT id, false AS failed FROM programs WHERE id < 600 UNION ALL SELECT id, true FROM (SELECT id FROM programs WHERE id >= 600 ORDER BY id LIMIT 4)", "programs")
-def _(p):
+def _down_from(first: int):
     def provider(question, context):
-        if int(question) >= 600:
+        if int(question) >= first:
             raise RuntimeError("down")
         return {"text": question}
 
+    return provider
+
+
+def _asking(p):
+    return p.select("id", F.col("id").cast("string").alias("question"), F.lit("").alias("context"))
+
+
+_STREAK = "SELECT id, false AS failed FROM programs WHERE id < 600 UNION ALL SELECT id, true FROM (SELECT id FROM programs WHERE id >= 600 ORDER BY id LIMIT 4)"
+
+
+@query("run_error_streak", _STREAK, "programs")
+def _(p):
     # the fifth error in a row ends the run before it is stored; nothing is asked after it
-    got = runs.run(p.select("id", F.col("id").cast("string").alias("question"), F.lit("").alias("context")), provider)
-    return got.select("id", F.col("error").isNotNull().alias("failed"))
+    return runs.run(_asking(p), _down_from(600)).select("id", F.col("error").isNotNull().alias("failed"))
+
+
+@query("run_error_streak_parallel", _STREAK, "programs")
+def _(p):
+    # one streak over all streams
+    return runs.run(_asking(p), _down_from(600), parallel=8).select("id", F.col("error").isNotNull().alias("failed"))
+
+
+@query("s13_stored_progress", f"SELECT coalesce(s.id, p.id) AS id, coalesce(s.failed, false) AS failed FROM programs p LEFT JOIN ({_STREAK}) s ON s.id = p.id", "programs")
+def _(p):
+    # the provider goes down, the run ends; a second one asks what has no attempt
+    path = new_folder(p.sparkSession)
+    for provider in (_down_from(600), _down_from(1 << 60)):
+        runs.run_stored(_asking(p), provider, path, parallel=4, every=2000)
+    return io.load_attempts(p.sparkSession, path).select("id", F.col("error").isNotNull().alias("failed"))

@@ -237,12 +237,18 @@ def write_json(spark: SparkSession, path: str, value) -> None:
     write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds data files: names that don't start with a dot or an underscore."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(f.getPath().getName()[0] not in "._" for f in fs.listStatus(at))
+
+
 def append_attempts(attempts: DataFrame, path: str) -> None:
     """Attempts are appended; what is stored is never asked again (``runs.to_do``)."""
     attempts.write.mode("append").parquet(path)
 
 
 def load_attempts(spark: SparkSession, path: str) -> DataFrame | None:
-    """Stored attempts, or None where there are none yet."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    """Stored attempts, or None where there are none yet: no folder, or one that a run left without a commit."""
+    return spark.read.parquet(path) if has_files(spark, path) else None
