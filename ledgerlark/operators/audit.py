@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from ledgerlark.functions import numbers as N
 from ledgerlark.functions import text as T
 from ledgerlark.operators import program as P
-from ledgerlark.operators.validate import similar_pairs
+from ledgerlark.operators.ratio import RATIO_TILE, ratios_of
+from ledgerlark.operators.similar import in_tiles
 from ledgerlark.scratch import store
 from ledgerlark.ship import by_value
 
@@ -54,33 +51,19 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
     return own.join(first, "q").where("idx > first_index").select("first_index", F.col("idx").alias("duplicate_index"))
 
 
-def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([SequenceMatcher(a=x, b=y, autojunk=False).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-
-def characters(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys..., pos, grams`` of ``(keys..., pos, q)``: each text's characters, numbered among their like. The overlap of two
-    such sets is the number of characters that the texts share wherever they stand, which bounds the sequence ratio."""
-    often = texts.select(*keys, "pos", F.explode(F.split("q", "")).alias("c")).groupBy(*keys, "pos", "c").agg(F.count(F.lit(1)).alias("n"))
-    own = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("n")), lambda k: F.concat("c", k.cast("string")))
-    return often.groupBy(*keys, "pos").agg(F.flatten(F.collect_list(own)).alias("grams"))
-
-
-def near_duplicates(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = SIMILAR, tile: int = RATIO_TILE) -> DataFrame:
     """``first_index, similar_index, ratio`` of different questions in one (company, subtask, year) with equal answers.
 
-    A ratio r needs r / 2 of both texts' characters in common, so a similarity join on characters, whose prefix filter meets
-    only texts of a block that share a rare one, finds all candidates. Equal texts of a block are compared once; the ratio,
-    which depends on the order, is taken both ways.
+    Equal texts of a block are compared once. Blocks are compared in tiles (``in_tiles``): a ratio r needs sizes within
+    r / (2 - r), then as many characters in common, then so long a common subsequence; only what passes is matched block by
+    block, both ways, as the ratio depends on the order.
     """
     own = rows.select("idx", F.col("question").alias("q"), *(F.coalesce(F.col(k), F.lit("")).alias(k) for k in ("company_name", "subtask", "filing_year")), T.strip(F.coalesce(F.col("answer"), F.lit(""))).alias("answer")).where(T.strip(F.col("q")) != "")
     keys = ["company_name", "subtask", "filing_year", "answer"]
+    names = [f"_k{i}" for i in range(len(keys))]
     texts = store(own.groupBy(*keys, "q").agg(F.min("idx").alias("pos")))
-    met = similar_pairs(store(characters(texts, keys)), keys, least / (2 - least) - 1e-9)
-    text = texts.select("pos", "q")
-    both = met.join(text.select(F.col("pos").alias("a"), F.col("q").alias("qa")), "a").join(text.select(F.col("pos").alias("b"), F.col("q").alias("qb")), "b")
-    ratio = arrow_udf(_ratio, "double")
-    found = store(both.select("a", "b", ratio("qa", "qb").alias("ab"), ratio("qb", "qa").alias("ba")).where(F.greatest("ab", "ba") >= least))
+    sized = store(texts.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("pos").cast("bigint").alias("pos"), F.col("q").alias("text"), F.length("q").alias("n")))
+    found = store(in_tiles(sized, names, (2 - least) / least, tile, ratios_of(least), "a bigint, b bigint, ab double, ba double"))
     members = own.join(texts, [*keys, "q"]).select("pos", "idx")
     pairs = found.join(members.select(F.col("pos").alias("a"), F.col("idx").alias("i")), "a").join(members.select(F.col("pos").alias("b"), F.col("idx").alias("j")), "b")
     pairs = pairs.select(F.least("i", "j").alias("first_index"), F.greatest("i", "j").alias("similar_index"), F.when(F.col("i") < F.col("j"), F.col("ab")).otherwise(F.col("ba")).alias("ratio"))

@@ -93,16 +93,16 @@ def pairs_of(threshold: float):
     return run
 
 
-def gram_pairs(texts: DataFrame, names: list[str], threshold: float, tile: int = TILE) -> DataFrame:
-    """``names..., a, b`` with a < b of stored rows ``(names..., pos, text)``, names ``_k0, _k1, ...``, that are similar within one block.
+def in_tiles(rows: DataFrame, names: list[str], step: float, tile: int, run, result: str) -> DataFrame:
+    """``run`` over stored rows ``(names..., pos, text, n)``, names ``_k0, _k1, ...``, so that any two rows of a block whose sizes
+    ``n`` differ by a factor of ``step`` at most meet in exactly one task.
 
-    A block of up to ``tile`` rows is one task. Others are cut by size classes, each 1 / threshold times the size of the one
-    before, and a class into tiles by a hash; a task compares two tiles of a class or of neighbouring ones. So a row of a block
-    of m rows travels to about m / tile tasks.
+    A block of up to ``tile`` rows is one task. Others are cut by size classes, each ``step`` times the size of the one before,
+    and a class into tiles by a hash; a task holds one tile (side 0), or two of a class or of neighbouring ones (sides 0 and 1).
+    So a row of a block of m rows travels to about m / tile tasks.
     """
-    rows = store(texts.mapInArrow(measured, f"{', '.join(f'{k} string' for k in names)}, pos bigint, text string, n int").where("n > 0"))
     sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
-    own = rows.join(sizes, names).withColumn("_class", F.when(F.col("_rows") <= tile, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold))).cast("int"))
+    own = rows.join(sizes, names).withColumn("_class", F.when(F.col("_rows") <= tile, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(step))).cast("int"))
     kinds = own.groupBy(*names, "_class").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_tiles"))
     above = kinds.select(*names, (F.col("_class") - 1).alias("_class"), F.col("_tiles").alias("_above"))
     below = kinds.select(*names, (F.col("_class") + 1).alias("_class"), F.col("_tiles").alias("_below"))
@@ -121,7 +121,14 @@ def gram_pairs(texts: DataFrame, names: list[str], threshold: float, tile: int =
     down = F.when(cls > 0, F.transform(tiles(F.col("_below")), lambda t: task(cls - 1, t, cls, me, F.lit(1))))
     none = F.array().cast("array<struct<c:int,i:int,d:int,j:int,side:int>>")
     dealt = own.select(*names, "pos", "text", F.explode(F.concat(within, F.coalesce(up, none), F.coalesce(down, none))).alias("_t")).select(*names, "pos", "text", "_t.*")
-    return dealt.groupBy(*names, "c", "i", "d", "j").applyInArrow(pairs_of(threshold), f"{', '.join(f'{k} string' for k in names)}, a bigint, b bigint")
+    return dealt.groupBy(*names, "c", "i", "d", "j").applyInArrow(run, result)
+
+
+def gram_pairs(texts: DataFrame, names: list[str], threshold: float, tile: int = TILE) -> DataFrame:
+    """``names..., a, b`` with a < b of stored rows ``(names..., pos, text)`` that are similar within one block."""
+    keys = ", ".join(f"{k} string" for k in names)
+    rows = store(texts.mapInArrow(measured, f"{keys}, pos bigint, text string, n int").where("n > 0"))
+    return in_tiles(rows, names, 1 / threshold, tile, pairs_of(threshold), f"{keys}, a bigint, b bigint")
 
 
 def taken_in_turn(rows: pa.Table) -> pa.Table:
