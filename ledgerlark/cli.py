@@ -64,7 +64,7 @@ def parser() -> argparse.ArgumentParser:
 
 def json_files(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds JSON files."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(io.current(spark, path))
     return any(f.getPath().getName().endswith(".json") for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
 
 
@@ -133,7 +133,7 @@ def audit(spark, args) -> int:
     total = 0
     for name, title, found, kinds in (("audit", "Audit report", A.basic(rows), A.BASIC), ("audit_quality", "Deep audit report", A.deep(io.to_questions(io.json_rows(spark, args.data))), A.DEEP)):
         io.write_rows(found, f"{args.output}/{name}_findings")
-        told = A.told(spark.read.schema(found.schema).json(f"{args.output}/{name}_findings"), spread, kinds)
+        told = A.told(spark.read.schema(found.schema).json(io.current(spark, f"{args.output}/{name}_findings")), spread, kinds)
         io.write_json(spark, f"{args.output}/{name}_report.json", told)
         io.write_text(spark, f"{args.output}/{name}_report.md", A.as_markdown(told, title))
         print("\n".join([title, *(f"  {k}: {n}" for k, n in told["counts"].items())]))

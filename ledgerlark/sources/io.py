@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import render as R
 from ledgerlark.schema import FLAT, QA, SUBTASKS, TABLE
+from ledgerlark.sources.versions import current, replace, write_text
 
 NAMES = "array<string>"
 #: The name under which a published set is read whole.
@@ -23,7 +24,7 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
     by line, however large they are. The first lines are found by an aggregate over the lines, one row a file.
     """
     place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rises with the place in the file
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("pos"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value")).where(F.trim("value") != "")
+    lines = spark.read.text(current(spark, path)).select(F.col("_metadata.file_path").alias("file"), place.alias("pos"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value")).where(F.trim("value") != "")
     first = lines.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "pos").alias("first"))
     arrays = [r["file"] for r in first.where(F.col("first") == "[").collect()]
     if not arrays:
@@ -96,7 +97,7 @@ def load_file(spark: SparkSession, path: str, subtask: str | None = None) -> Dat
 def load_table(spark: SparkSession, root: str, subtask: str | None = None) -> DataFrame:
     """The stored flat questions; one subtask reads only its own files, ``all`` whatever there is. Without one, all three
     subtasks must be there."""
-    rows = spark.read.parquet(root)
+    rows = spark.read.parquet(current(spark, root))
     if subtask is not None:
         return rows if subtask == ALL else of_subtask(rows, subtask)
     have = {r[0] for r in rows.select("subtask").distinct().collect()}
@@ -120,14 +121,21 @@ def unflatten(flat: DataFrame) -> DataFrame:
 
 
 def publish(flat: DataFrame, root: str) -> dict[str, int]:
-    """The flat questions, one directory a subtask; rows by configuration, that of ``all`` included. What was written is read
-    back and counted: a set that lacks rows is an error."""
-    flat.write.mode("overwrite").partitionBy("subtask").parquet(root)
+    """The flat questions, one directory a subtask; rows by configuration, that of ``all`` included.
+
+    What was written is read back and counted before it becomes the published set: one that lacks rows is an error, and
+    then, or if the write fails, the set published before stays.
+    """
+    spark = flat.sparkSession
     wanted = dict(flat.groupBy("subtask").count().collect())
-    have = dict(load_table(flat.sparkSession, root, ALL).groupBy("subtask").count().collect())
-    if wanted != have:
-        raise RuntimeError(f"the written set is not complete: {have} of {wanted}")
-    return {**dict(sorted(have.items())), ALL: sum(have.values())}
+
+    def complete(folder: str) -> None:
+        have = dict(spark.read.schema(flat.schema).parquet(folder).groupBy("subtask").count().collect())
+        if wanted != have:
+            raise RuntimeError(f"the written set is not complete: {have} of {wanted}")
+
+    replace(spark, root, lambda folder: flat.write.partitionBy("subtask").parquet(folder), complete)
+    return {**dict(sorted(wanted.items())), ALL: sum(wanted.values())}
 
 
 def to_grid_rows(questions: DataFrame) -> DataFrame:
@@ -188,8 +196,8 @@ GENERATED = f"company_name string, edinet_code string, source_doc_id string, fil
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    """Rows of any stage (contexts, generated, final, rejected) as JSON lines, nulls included."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Rows of any stage (contexts, generated, final, rejected) as JSON lines, nulls included; what was there stays until all are written."""
+    replace(rows.sparkSession, path, lambda folder: rows.write.option("ignoreNullFields", "false").json(folder))
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -223,16 +231,6 @@ def load_rejected(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path, f"reason string, {FINAL.removeprefix('id string, ')}")
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small text file (a report, statistics, a manifest), in any store that Spark reaches."""
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
 def write_json(spark: SparkSession, path: str, value) -> None:
     write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
