@@ -223,16 +223,34 @@ def common_labels(items: DataFrame, filings: DataFrame) -> DataFrame:
     return lines.select("company", "y1", "y2", F.explode(F.filter(all_lines, lambda x: x["prev"].isNotNull())).alias("x")).select("company", "y1", "y2", "x.*")
 
 
-def pick_filings(filings: DataFrame, wanted: DataFrame) -> DataFrame:
+def search_windows(spark) -> DataFrame:
+    """``group, window, from_month, from_day, to_month, to_day``: the windows in which annual filings are looked for, in order, of the one group ''."""
+    from ledgerlark.schema import WINDOWS
+
+    return spark.createDataFrame([("", k, *w) for k, w in enumerate(WINDOWS)], "group string, window int, from_month int, from_day int, to_month int, to_day int")
+
+
+def pick_filings(filings: DataFrame, wanted: DataFrame, windows: DataFrame | None = None, bucket_days: int = 32) -> DataFrame:
     """The filing of each wanted ``(company, year)``: from the first window that has one with data, the newest (ties: largest id).
 
-    ``filings``: company, doc_id, filing_date, has_xbrl. The windows of a year are six rows, so the interval test is a
-    filter on the joined company rows; the choice needs one aggregate.
+    ``filings``: company, doc_id, filing_date, has_xbrl. ``windows``: as ``search_windows``, which is the default; ``wanted`` may have a
+    ``group`` whose windows count (null or none: ''). A window that ends before it begins ends in the next year. An interval
+    join by equal keys: a window becomes the runs of ``bucket_days`` days that it touches, a filing lies in one, and only those of
+    one company and run are compared.
     """
-    from ledgerlark.schema import WINDOWS
-
-    hit = F.coalesce(*(F.when(F.col("filing_date").between(F.make_date("y", F.lit(a), F.lit(b)), F.make_date("y", F.lit(c), F.lit(d))), k) for k, (a, b, c, d) in enumerate(WINDOWS)))
-    rows = filings.where("has_xbrl").join(wanted.withColumn("y", F.col("year").cast("int")), "company").withColumn("window", hit).where("window IS NOT NULL")
+    windows = search_windows(filings.sparkSession) if windows is None else windows
+    group = F.coalesce("group", F.lit("")) if "group" in wanted.columns else F.lit("")
+    asked = wanted.select("company", "year", group.alias("group"), F.col("year").cast("int").alias("_y")).distinct().join(windows, "group")
+    low = F.make_date("_y", "from_month", "from_day")
+    high = F.make_date("_y", "to_month", "to_day")
+    asked = asked.select("company", "year", "_y", "window", low.alias("lo"), F.when(high < low, F.make_date(F.col("_y") + 1, "to_month", "to_day")).otherwise(high).alias("hi"))
+
+    def run_of(day):
+        return F.floor(F.unix_date(day) / bucket_days).cast("int")
+
+    asked = asked.withColumn("_run", F.explode(F.sequence(run_of(F.col("lo")), run_of(F.col("hi")))))
+    own = filings.where("has_xbrl").select("company", "doc_id", "filing_date", run_of(F.col("filing_date")).alias("_run"))
+    rows = own.join(asked, ["company", "_run"]).where(F.col("filing_date").between(F.col("lo"), F.col("hi")))
     best = F.max(F.struct((-F.col("window")).alias("w"), "filing_date", "doc_id")).alias("x")
     return rows.groupBy("company", "year").agg(best).select("company", "year", (-F.col("x.w")).alias("window"), "x.filing_date", "x.doc_id")
 

@@ -1,5 +1,6 @@
 """The engine's operators against golden values, a plain model of the rules, and small fixtures."""
 
+import datetime
 import difflib
 import itertools
 import json
@@ -502,6 +503,28 @@ def test_filing_windows(spark):
     assert statements.not_collected(wanted, f.where("company = 'E1'")).count() == 2
 
 
+def test_filing_windows_of_groups(spark):
+    rng = random.Random(9)
+    day = datetime.date(2023, 1, 1)
+    windows = [(f"g{k % 2500}", k // 2500, rng.randint(1, 12), rng.randint(1, 28), rng.randint(1, 12), rng.randint(1, 28)) for k in range(10_000)]
+    table = spark.createDataFrame(windows, "group string, window int, from_month int, from_day int, to_month int, to_day int")
+    filings = [(f"E{rng.randrange(80)}", k, day + datetime.timedelta(rng.randrange(1100)), rng.random() < 0.8) for k in range(900)]
+    f = spark.createDataFrame([*filings, ("E1", None, None, True), (None, 5, day, True)], "company string, doc_id bigint, filing_date date, has_xbrl boolean")
+    wanted = [(f"E{k}", str(y), f"g{k * 31 % 2500}") for k in range(80) for y in (2023, 2024)] + [("E5", None, "g1"), ("E6", "2024", None)]
+    got = statements.pick_filings(f, spark.createDataFrame(wanted, "company string, year string, group string"), table)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = {}
+    for company, year, group in wanted:
+        for g, w, a, b, c, d in windows if year else ():
+            lo, hi = datetime.date(int(year), a, b), datetime.date(int(year), c, d)
+            hi = datetime.date(int(year) + 1, c, d) if hi < lo else hi
+            if g == group:
+                for key in ((-w, x, i) for own, i, x, data in filings if own == company and data and lo <= x <= hi):
+                    want[company, year] = max(want.get((company, year), (-99,)), key)
+    assert {(r.company, r.year): (-r.window, r.filing_date, r.doc_id) for r in got.collect()} == want and len(want) > 100
+
+
 def test_stream(spark, tmp_path):
     from ledgerlark.streaming import score
 
