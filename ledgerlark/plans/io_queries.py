@@ -89,13 +89,26 @@ def _(p):
 _LAST = VERDICT.replace("WITH n AS", "WITH lasts AS (SELECT id, subtask, company, gold, max(predicted) OVER (PARTITION BY id) AS predicted FROM answers), n AS").replace("FROM answers)", "FROM lasts)", 2).replace("FROM lasts), n AS", "FROM answers), n AS")
 
 
+def _one_file(rows, order, opens, closes, path):
+    """A file of one array or object, an ``entry`` a row, without a line break, written row by row."""
+    placed = rows.orderBy(*order).coalesce(1).select(F.monotonically_increasing_id().alias("n"), "entry")
+    body = placed.select(F.concat(F.when(F.col("n") > 0, ", ").otherwise(opens), "entry").alias("value"))
+    body.unionByName(rows.sparkSession.range(1).select(F.lit(closes).alias("value"))).coalesce(1).write.text(path, lineSep=" ")
+
+
+@query("s1_one_array", WITH_SOURCE, "programs")
+def _(p):
+    path = new_folder(p.sparkSession)
+    _one_file(_nested(p).select("id", F.to_json(F.struct("id", "subtask", "pre_text", "post_text", "table", "qa", "edinet_code")).alias("entry")), ["id"], "[", "]", path)
+    return _shown(io.load_file(p.sparkSession, path))
+
+
 @query("s6_predictions", f"{_LAST} SELECT id, correct FROM v", "answers")
 def _(a):
     path = new_folder(a.sparkSession)
-    part = F.floor(F.col("id") / 40000)  # an object of some 4000 ids a file; ids repeat in it, the last counts
-    entry = F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "predicted"))), lambda x: F.regexp_extract(F.to_json(F.create_map(x["id"], x["predicted"])), r"(?s)^\{(.*)\}$", 1))
-    own = a.groupBy(part.alias("part")).agg(F.concat(F.lit("{"), F.array_join(entry, ", "), F.lit("}")).alias("value"))
-    own.write.partitionBy("part").text(path)
+    # one object in one file; ids repeat in it, the last counts
+    entry = F.regexp_extract(F.to_json(F.create_map(F.col("id").cast("string"), "predicted")), r"(?s)^\{(.*)\}$", 1)
+    _one_file(a.select("id", entry.alias("entry")), ["id", "entry"], "{", "}", path)
     gold = a.select(F.col("id").cast("string").alias("id"), "subtask", "gold")
     return E.verdicts(E.bind(gold, io.load_predictions(a.sparkSession, path))).select(F.col("question_id").cast("bigint").alias("id"), "correct")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import render as R
 from ledgerlark.schema import FLAT, QA, SUBTASKS, TABLE
+from ledgerlark.sources import scan
 from ledgerlark.sources.versions import current, replace, write_text
 
 NAMES = "array<string>"
@@ -20,19 +21,25 @@ META = ("edinet_code", "filing_year", "accounting_standard", "source_doc_id")
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
     """``file, pos, value``: the objects of a JSON array, or of JSON lines (blank ones skipped), as text in their order.
 
-    A file whose first character that isn't blank is ``[`` is an array and is read whole; others are only ever read line
-    by line, however large they are. The first lines are found by an aggregate over the lines, one row a file.
+    A file whose first character that isn't blank is ``[`` is an array, others are read line by line; either is cut by many
+    tasks, however large it is (``scan``), and an array that isn't JSON fails. First characters are found by an aggregate
+    over pieces between colons, which any object has, so that no long line is read whole. Only a folder that mixes both
+    kinds brings its files' names to the driver, which has listed them for Spark before.
     """
-    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rises with the place in the file
-    lines = spark.read.text(current(spark, path)).select(F.col("_metadata.file_path").alias("file"), place.alias("pos"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value")).where(F.trim("value") != "")
-    first = lines.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "pos").alias("first"))
-    arrays = [r["file"] for r in first.where(F.col("first") == "[").collect()]
-    if not arrays:
+    root = current(spark, path)
+    pieces = spark.read.text(root, lineSep=":").select(F.col("_metadata.file_path").alias("file"), scan.place().alias("pos"), F.regexp_extract("value", r"^[\s\x{FEFF}]*(\S)", 1).alias("char")).where("char <> ''")
+    first = pieces.groupBy("file").agg((F.min_by("char", "pos") == "[").alias("array"))
+    kinds = {r["array"] for r in first.select("array").distinct().collect()}
+    lines_in = arrays_in = root
+    if len(kinds) == 2:
+        # a path as the metadata shows it is a URI
+        named = [(r["array"], spark._jvm.java.net.URI(f).getPath() if (f := r["file"]).startswith("file:") else f) for r in first.collect()]
+        lines_in, arrays_in = ([f for array, f in named if array == k] for k in (False, True))
+    lines = spark.read.text(lines_in).select(F.col("_metadata.file_path").alias("file"), scan.place().alias("pos"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value")).where(F.trim("value") != "")
+    if True not in kinds:
         return lines
-    # a path as the metadata shows it is a URI
-    whole = spark.read.text([spark._jvm.java.net.URI(f).getPath() if f.startswith("file:") else f for f in arrays], wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^[\s\x{FEFF}]+", "").alias("value"))
-    items = whole.select("file", F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "v")).select("file", F.col("pos").cast("bigint"), F.to_json("v").alias("value"))
-    return items.unionByName(lines.where(~F.col("file").isin(arrays)))
+    items = scan.elements(spark, arrays_in).withColumn("value", F.to_json(F.parse_json("value")))
+    return items.unionByName(lines) if False in kinds else items
 
 
 def of_subtask(questions: DataFrame, subtask: str | None) -> DataFrame:
@@ -150,8 +157,12 @@ def from_grid_rows(rows: DataFrame, subtask: str = "numerical_reasoning") -> Dat
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, id, predicted`` of JSON objects from ids to answers; an id that an object repeats is there each time, in order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "id", "predicted"))
+    """``pos, id, predicted`` of JSON objects from ids to answers; an id that an object repeats is there each time, in order.
+
+    An object of any size is cut by many tasks (``scan``); one that isn't JSON fails.
+    """
+    pair = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,string>", {"mode": "FAILFAST"})
+    return scan.elements(spark, path).select("pos", F.explode(pair).alias("id", "predicted"))
 
 
 def write_results(verdicts: DataFrame, path: str) -> None:
