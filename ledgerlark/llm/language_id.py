@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import by_value, table
@@ -211,7 +211,7 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """A network learned from ``docs`` (all of which may be learned from); None where no labelled text has a letter.
 
     At most DOCS_PER_LANGUAGE documents of each language by a hash of their ids, WINDOWS_PER_DOC windows of each, spread
-    evenly over the text. Languages are the distinct non-null labels.
+    evenly over the text, come to the driver, however often an id repeats. Languages are the distinct non-null labels.
     """
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"`{lang_col}` AS lang").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -223,7 +223,10 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     drawn = rows.where(draw < chance)
     cut = f"transform(sequence(0, {WINDOWS_PER_DOC - 1}), i -> substring(text, cast(i * greatest(char_length(text) - {READS}, 0) / {WINDOWS_PER_DOC - 1} AS int) + 1, {READS}))"
     # rows that repeat an id and a text are drawn together, but count and travel once
-    got = drawn.select("lang", "id", F.expr(f"array_distinct({cut})").alias("windows")).distinct().collect()
+    once = drawn.select("lang", "id", F.expr(f"array_distinct({cut})").alias("windows")).distinct()
+    # a draw by ids brings all rows of an id: the first ones of a language are kept in each task, then of all tasks
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("id", "windows"))
+    got = once.withColumn("place", first).where(F.col("place") <= DOCS_PER_LANGUAGE).drop("place").collect()
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["id"], r["windows"])):
         by.setdefault(r["lang"], []).append(r["windows"])

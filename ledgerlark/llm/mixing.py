@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from ledgerlark.llm.common import MOST_BROADCAST, by_value, table
+from ledgerlark.llm.common import MOST_BROADCAST, Scratch, by_value, table
 
 by_value(__name__)
 
@@ -34,6 +34,8 @@ BLOCK = 16
 #: Documents of a source in one range of the hash, about: ranges are ranked in parallel. There are about so many ranges in all
 #: sources at most, beyond which ranges grow with the input.
 RANGE, RANGES = 1 << 11, 1 << 17
+#: A range with so many times the documents meant for it holds an id that repeats, and is parted.
+HOT = 4
 #: Documents in a partition of the stored mix, at most, where the session's number of partitions would give more.
 ROWS = 1 << 14
 #: Slots in a chunk of the schedule, at least; with many sources, so many slots a source.
@@ -219,6 +221,37 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: n**power / total for s, n in counts.items()}
 
 
+def split_hot(rows: DataFrame, size: int) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """``rows`` with ``mix__p``, their part of a range, and ``mix__s, mix__r, mix__p`` with the rows in each, in order.
+
+    Ids that repeat, or are null, share a range. One of more than HOT * ``size`` rows is parted by a hash of the row; rows
+    alike in all columns, if so many, have parts of their own after these, dealt at random, since they are interchangeable.
+    They are stored before they are counted, so that each part holds what was counted.
+    """
+    spark = rows.sparkSession
+    counts = sorted(tuple(c) for c in rows.groupBy("mix__s", "mix__r").count().collect())
+    hot = [(s, r, -(-n // size)) for s, r, n in counts if n > HOT * size]
+    if not hot:
+        return rows.withColumn("mix__p", F.lit(0).cast("bigint")), [(s, r, 0, n) for s, r, n in counts]
+    # both tables have fewer rows than there are ranges
+    parts = F.broadcast(spark.createDataFrame(hot, "mix__s int, mix__r bigint, mix__parts bigint"))
+    rows = rows.join(parts, ["mix__s", "mix__r"], "left")
+    key = ["mix__s", "mix__r", "h", "tie"]
+    alike = [tuple(c) for c in rows.where("mix__parts IS NOT NULL").groupBy(*key).count().where(F.col("count") > HOT * size).sort(*key).collect()]
+    part = F.coalesce(F.pmod(F.xxhash64("tie"), F.col("mix__parts")), F.lit(0).cast("bigint"))
+    if alike:
+        after, own = dict(((s, r), n) for s, r, n in hot), []
+        for s, r, h, tie, n in alike:
+            own.append((s, r, h, tie, after[s, r], -(-n // size)))
+            after[s, r] += -(-n // size)
+        groups = F.broadcast(spark.createDataFrame(own, "mix__s int, mix__r bigint, h bigint, tie bigint, mix__from bigint, mix__own bigint"))
+        dealt = (F.col("mix__from") + F.floor(F.rand(7) * F.col("mix__own"))).cast("bigint")
+        rows = Scratch(spark).put(rows.join(groups, key, "left").withColumn("mix__p", F.coalesce(dealt, part)).drop("mix__from", "mix__own"))
+    else:
+        rows = rows.withColumn("mix__p", part)
+    return rows, sorted(tuple(c) for c in rows.groupBy("mix__s", "mix__r", "mix__p").count().collect())
+
+
 def placed(docs: DataFrame, weights: dict[str, float] | None, block: int, id_col: str, source_col: str, size: int | None, before: int | None) -> DataFrame:
     """Every row as the struct ``own``, with ``block_no, slot, position``."""
     spark = docs.sparkSession
@@ -237,14 +270,16 @@ def placed(docs: DataFrame, weights: dict[str, float] | None, block: int, id_col
     named = spark.createDataFrame(names, "mix__src string, mix__s int, mix__ranges bigint")
     named = F.broadcast(named) if len(names) <= MOST_BROADCAST else named
     rows = rows.join(named, F.col("src") == F.col("mix__src")).withColumn("mix__r", F.shiftright(F.col("h") * F.col("mix__ranges"), 40))
+    rows, counted = split_hot(rows, size_of)
     cells, seen = [], dict.fromkeys(range(len(names)), 0)  # a row a range
-    for s, r, n in sorted(tuple(c) for c in rows.groupBy("mix__s", "mix__r").count().collect()):
-        cells.append((s, r, seen[s]))
+    for s, r, sub, n in counted:
+        cells.append((s, r, sub, seen[s]))
         seen[s] += n
-    cell = spark.createDataFrame(cells, "mix__cs int, mix__cr bigint, mix__before bigint")
+    cell = spark.createDataFrame(cells, "mix__cs int, mix__cr bigint, mix__cp bigint, mix__before bigint")
     cell = F.broadcast(cell) if len(cells) <= MOST_BROADCAST else cell
-    rank = F.row_number().over(Window.partitionBy("mix__s", "mix__r").orderBy("h", "id", "tie")) - 1
-    rows = rows.withColumn("mix__rank", rank).join(cell, (F.col("mix__s") == F.col("mix__cs")) & (F.col("mix__r") == F.col("mix__cr"))).withColumn("mix__rank", F.col("mix__rank") + F.col("mix__before"))
+    rank = F.row_number().over(Window.partitionBy("mix__s", "mix__r", "mix__p").orderBy("h", "id", "tie")) - 1
+    on = (F.col("mix__s") == F.col("mix__cs")) & (F.col("mix__r") == F.col("mix__cr")) & (F.col("mix__p") == F.col("mix__cp"))
+    rows = rows.withColumn("mix__rank", rank).join(cell, on).withColumn("mix__rank", F.col("mix__rank") + F.col("mix__before"))
     rows = rows.withColumn("block_no", F.floor(F.col("mix__rank") / block).cast("bigint"))
     slots = schedule(spark, list(counts.values()), [weights.get(s, low) for s in counts], block, size, before)
     few = sum(-(-n // block) for n in counts.values()) <= MOST_BROADCAST
@@ -258,7 +293,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
 
     ``weights`` are positive numbers by source (null: the source ``""``); sources that they don't name get the smallest
     of them; default: ``tempered``. Weights are exact. Within a source the order is that of a hash of the id (ties by the
-    id and a hash of the row; rows alike in all columns are interchangeable). Every row gets one position, rows with null
+    id and a hash of the row; where very many rows share an id, or have none, by a hash of the row first; rows alike in all
+    columns are interchangeable). Every row gets one position, rows with null
     ids and repeated rows too. Columns named like the new ones are replaced. An empty table gives no rows. ``docs`` must
     give the same rows each time it is read. ``size`` and ``before`` are the slots of a chunk and of the run before it;
     they don't change the result.

@@ -13,6 +13,7 @@ gaps or lengths. Pieces that fill a sequence alone take no part.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -246,12 +247,19 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, digest: bool = Fal
     return best_fit(pieces, capacity)
 
 
+def file_order(name: str) -> tuple:
+    """Sort key of a written file: its folder, the numbers of its part and of the file in it, then its name."""
+    folder, _, own = name.rpartition("/")
+    part, file = (re.search(pattern, own) for pattern in (r"part-(\d+)", r"-c(\d+)\."))
+    return folder, int(part[1]) if part else -1, int(file[1]) if file else -1, own
+
+
 def stored_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs``, read from Parquet files, with ``pack__at``: the place of each row, from 0 without gaps, in the files' order; and
     how many rows there are."""
     placed = docs.select("*", F.col("_metadata.file_path").alias("pack__file"), F.col("_metadata.row_index").alias("pack__row"))
     files, total = [], 0
-    for name, n in sorted(tuple(r) for r in placed.groupBy("pack__file").count().collect()):  # one row a file
+    for name, n in sorted((tuple(r) for r in placed.groupBy("pack__file").count().collect()), key=lambda r: file_order(r[0])):  # one row a file
         files.append((name, total))
         total += n
     first = F.broadcast(docs.sparkSession.createDataFrame(files or [("", 0)], "pack__name string, pack__before bigint"))
