@@ -18,6 +18,7 @@ from ledgerlark.operators import runs
 from ledgerlark.operators import validate as V
 from ledgerlark.schema import REGIMES, SUBTASKS
 from ledgerlark.ship import by_value
+from ledgerlark.sources import collect as C
 from ledgerlark.sources import io
 
 
@@ -36,6 +37,13 @@ def parser() -> argparse.ArgumentParser:
     ins.add_argument("-d", "--data", required=True)
     ins.add_argument("-n", "--limit", type=int, default=5)
     ins.add_argument("-j", "--json", action="store_true")
+    co = sub.add_parser("collect", help="ask a client for the annual filings of companies; what is stored is not asked for again")
+    co.add_argument("-c", "--companies", required=True, help="JSON array or lines with edinet_code, name, industry, gaap")
+    co.add_argument("--client", required=True, help="module:function that makes a client")
+    co.add_argument("--years", nargs="+", required=True)
+    co.add_argument("--data-dir", required=True)
+    co.add_argument("--parallel", type=int, default=1, help="companies asked for at a time")
+    co.add_argument("--pause", type=float, default=1.0, help="seconds after each request")
     bu = sub.add_parser("build", help="raw filings to a final set, stage by stage")
     bu.add_argument("--stage", choices=(*B.STAGES, "all"), default="all")
     bu.add_argument("--data-dir", required=True)
@@ -110,6 +118,21 @@ def evaluate(spark, args) -> int:
     return 0
 
 
+def outside(name: str):
+    """A function named ``module:function``; it travels to the executors by value, which need not have its module."""
+    module, _, function = name.partition(":")
+    found = getattr(importlib.import_module(module), function)
+    by_value(module)
+    return found
+
+
+def collect(spark, args) -> int:
+    client = outside(args.client)
+    companies = io.json_rows(spark, args.companies).select(F.from_json("value", "edinet_code string, name string, industry string, gaap string").alias("c")).select("c.*")
+    print(json.dumps(C.collect(companies, args.years, client, f"{args.data_dir}/collected", parallel=args.parallel, pause=args.pause)))
+    return 0
+
+
 def build(spark, args) -> int:
     B.build(spark, args.data_dir, B.STAGES if args.stage == "all" else (args.stage,))
     return 0
@@ -171,9 +194,7 @@ def publish(spark, args) -> int:
 
 
 def run(spark, args) -> int:
-    module, _, name = args.provider.partition(":")
-    call = getattr(importlib.import_module(module), name)
-    by_value(module)  # the executors need not have it
+    call = outside(args.provider)
     # in the order of the files, or of the ids of a published set
     lines = args.data.endswith((".json", ".jsonl")) or json_files(spark, args.data)
     own = B.numbered(io.to_questions(io.json_rows(spark, args.data)), ("file", "pos"), "place") if lines else B.numbered(load(spark, args.data, None), ("id",), "place")
@@ -193,7 +214,7 @@ def run(spark, args) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
-    return {"evaluate": evaluate, "inspect": inspect, "build": build, "audit": audit, "integrity": integrity, "lite": lite, "publish": publish, "run": run}[args.command](spark, args)
+    return {"evaluate": evaluate, "inspect": inspect, "collect": collect, "build": build, "audit": audit, "integrity": integrity, "lite": lite, "publish": publish, "run": run}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -1,8 +1,8 @@
 """The whole construction: raw filings to contexts, contexts to questions, questions to a validated, deduped, sampled set.
 
 Every stage reads what the one before stored below the data folder, so that each can be run alone and a lost run goes on
-from the last stage that ended: ``raw/`` (one file a company), ``contexts/``, ``generated/``, ``final/questions/``,
-``final/rejected/`` and ``final/stats.json``.
+from the last stage that ended: ``raw/`` (one file a company) or else ``collected/`` (what
+``sources.collect`` stored), ``contexts/``, ``generated/``, ``final/questions/``, ``final/rejected/`` and ``final/stats.json``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from ledgerlark.operators import templates as G
 from ledgerlark.operators import validate as V
 from ledgerlark.scratch import discard, store
 from ledgerlark.sources import io
+from ledgerlark.sources.collect import load_collected
 
 STAGES = ("2", "3", "4")
 ORDER = ("edinet_code", "pos", "template_no")
@@ -29,9 +30,10 @@ def numbered(rows: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
     return own.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
-def transform(spark: SparkSession, raw: str) -> DataFrame:
-    """Contexts of all raw filing files."""
-    companies, filings, items = io.load_filings(spark, raw)
+def transform(spark: SparkSession, data: str) -> DataFrame:
+    """Contexts of all filings below a data folder: of its raw files, or of what was collected where it has none."""
+    raw = io.has_files(spark, f"{data}/raw")
+    companies, filings, items = io.load_filings(spark, f"{data}/raw") if raw else load_collected(spark, f"{data}/collected")
     return S.contexts(S.labelled_items(items), companies.select("edinet_code", "name", "gaap"), filings.select("company", "year", "doc_id"))
 
 
@@ -64,7 +66,7 @@ def build(spark: SparkSession, data: str, stages: tuple[str, ...] = STAGES) -> N
     if unknown := [s for s in stages if s not in STAGES]:
         raise ValueError(f"unknown stage: {', '.join(unknown)}")
     if "2" in stages:
-        io.write_rows(transform(spark, f"{data}/raw"), f"{data}/contexts")
+        io.write_rows(transform(spark, data), f"{data}/contexts")
     if "3" in stages:
         io.write_rows(G.questions(io.load_contexts(spark, f"{data}/contexts")), f"{data}/generated")
     if "4" in stages:

@@ -14,6 +14,8 @@ from ledgerlark.operators import templates as G
 from ledgerlark.operators import validate as V
 from ledgerlark.plans.registry import QUERIES, SQL, query
 from ledgerlark.schema import CURRENT, DISPLAY, ELEMENTS, LABELS, PREFIXES, TARGETS, WINDOWS
+from ledgerlark.scratch import new_folder
+from ledgerlark.sources import collect as C
 from ledgerlark.sources import io
 
 # line items
@@ -112,6 +114,25 @@ def _windows(spark, sf_dir):
 QUERIES["j4_filing_windows"], SQL["j4_filing_windows"] = _windows, _WINDOW_SQL
 
 
+def _collected(spark, sf_dir):
+    """Orders as a folder of filings, asked through a client in two runs: the second one asks for what the first one has not."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lines = F.array(F.struct(F.lit("売上高").alias("科目"), F.col("o_totalprice").alias("当期")))
+    told = F.to_json(F.struct(F.lit("IFRS").alias("accounting_standard"), lines.alias("income_statement")))
+    root, path = new_folder(spark), new_folder(spark)
+    filings = o.select(F.col("o_custkey").cast("string").alias("company"), F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("filing_date"), (F.col("o_orderstatus") != "P").alias("has_xbrl"), told.alias("told"))
+    C.write_catalog(filings, root)
+    years = [str(r["y"]) for r in o.select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]  # some years
+    companies = filings.select(F.col("company").alias("edinet_code")).distinct()
+    for part in (companies.where("CAST(edinet_code AS BIGINT) % 2 = 0"), companies):
+        C.collect(part, years, lambda: C.CatalogClient(root), path, wave=50_000, parallel=spark.sparkContext.defaultParallelism)
+    _, found, items = C.load_collected(spark, path)
+    return found.join(items, ["company", "year"]).select("company", "year", F.col("doc_id").cast("bigint").alias("doc_id"), "accounting_standard", "label", "value")
+
+
+QUERIES["s8_collect"], SQL["s8_collect"] = _collected, f"SELECT w.company, w.year, w.doc_id, 'IFRS' AS accounting_standard, '売上高' AS label, CAST(o_totalprice AS DOUBLE) AS value FROM ({_WINDOW_SQL}) w JOIN orders ON o_orderkey = w.doc_id"
+
+
 # contexts
 
 _CELL = "concat(CASE WHEN {x} < 0 THEN '△' ELSE '' END, CASE WHEN abs({x}) = floor(abs({x})) THEN format('{{:,.0f}}', abs({x})) ELSE format('{{:,.1f}}', abs({x})) END)"

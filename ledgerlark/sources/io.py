@@ -171,13 +171,18 @@ def write_results(verdicts: DataFrame, path: str) -> None:
 
 
 def load_filings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Companies, filings and line items of raw filing files (one JSON object each).
+    """``filing_tables`` of raw filing files, one JSON object each."""
+    return filing_tables(spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.json)?$", 1).alias("file_stem"), "value"))
+
+
+def filing_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Companies, filings and line items of raw filings: rows of file_stem and value, a JSON object.
 
     ``companies``: file_stem, edinet_code, name, industry, gaap; ``filings``: those and year, doc_id, doc_type, company_name,
     accounting_standard; ``items``: company, year, statement, pos, label, element, context, value, previous. A statement any
     of whose items has the key 科目 is in the newer shape: its label is that key's value and its numbers are 当期 and 前期.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.json)?$", 1).alias("file_stem"), F.parse_json("value").alias("v"))
+    raw = files.select("file_stem", F.parse_json("value").alias("v"))
     def text(path):
         return F.try_variant_get("v", path, "string")
 
