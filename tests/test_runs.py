@@ -94,3 +94,11 @@ def test_a_streak_goes_on_over_waves(spark, tmp_path):
 def test_runs_of_nothing(spark, tmp_path):
     assert runs.run(asking(spark, 0), recorded(tmp_path)).count() == 0
     assert runs.run_stored(asking(spark, 0), recorded(tmp_path), str(tmp_path / "a")) == {"to_ask": 0, "stored": 0, "stopped": False}
+
+
+def test_a_run_without_a_possible_streak_asks_each_question_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    got = runs.run(asking(spark, 50).repartition(7), recorded(seen, fail_from=20, fail_to=30), most_errors=1 << 30, parallel=3)
+    assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, 20 <= k < 30) for k in range(50)]
+    assert got.where("error IS NULL").count() == 40 and set(calls(seen).values()) == {1}  # read twice, asked once
