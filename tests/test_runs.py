@@ -102,3 +102,11 @@ def test_a_run_without_a_possible_streak_asks_each_question_once(spark, tmp_path
     got = runs.run(asking(spark, 50).repartition(7), recorded(seen, fail_from=20, fail_to=30), most_errors=1 << 30, parallel=3)
     assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, 20 <= k < 30) for k in range(50)]
     assert got.where("error IS NULL").count() == 40 and set(calls(seen).values()) == {1}  # read twice, asked once
+
+
+def test_a_wave_is_read_by_one_task_without_a_shuffle(spark, tmp_path):
+    rows = asking(spark, 40).withColumnRenamed("id", "_no").repartition(5)
+    got = runs.asked(rows, recorded(tmp_path), 8, 24, parallel=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" in plan and plan.count("Exchange") == 1  # this test's own repartition
+    assert sorted(r._no for r in got.collect()) == list(range(8, 24))
