@@ -110,3 +110,11 @@ def test_a_wave_is_read_by_one_task_without_a_shuffle(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce 1" in plan and plan.count("Exchange") == 1  # this test's own repartition
     assert sorted(r._no for r in got.collect()) == list(range(8, 24))
+
+
+def test_unstored_runs_go_in_waves_with_one_streak(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    got = runs.run(asking(spark, 40), recorded(seen, fail_from=17), wave=6)  # waves end before 18: one error in one wave, four in the next
+    assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, k >= 17) for k in range(21)]
+    assert max(int(k) for k in calls(seen)) == 21
