@@ -118,3 +118,11 @@ def test_unstored_runs_go_in_waves_with_one_streak(spark, tmp_path):
     got = runs.run(asking(spark, 40), recorded(seen, fail_from=17), wave=6)  # waves end before 18: one error in one wave, four in the next
     assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, k >= 17) for k in range(21)]
     assert max(int(k) for k in calls(seen)) == 21
+
+
+def test_waves_of_parallel_streams_end_with_whole_rounds(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    got = runs.run(asking(spark, 60), recorded(seen, fail_from=22), parallel=8, wave=20)  # 24 a wave
+    assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, k >= 22) for k in range(26)]
+    assert max(int(k) for k in calls(seen)) < 32
