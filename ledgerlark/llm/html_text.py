@@ -271,9 +271,11 @@ def decide(root: Node) -> None:
     order = list(elements(root))
     sections(order)
     cut: dict[int, Node | None] = {id(root): None}  # the outermost marked element around each one, itself included
+    talk: dict[int, bool] = {id(root): root.off == COMMENTED}  # whether it or an element around it is marked as comments
     inside: dict[int, bool] = {id(root): False}  # whether an article or main is around it
     for x in order[1:]:
         cut[id(x)] = cut[id(x.up)] or (x if x.off else None)
+        talk[id(x)] = talk[id(x.up)] or x.off == COMMENTED
         inside[id(x)] = inside[id(x.up)] or x.up.tag == "article" or x.up.main
     size, paragraphs = dict.fromkeys(map(id, order), 0), dict.fromkeys(map(id, order), 0)
     dead = {id(root): False}  # cut off for good, or below such an element
@@ -290,7 +292,7 @@ def decide(root: Node) -> None:
     parts = [x for x in order if (x.tag == "article" or x.main) and not dead[id(x)] and x.off != COMMENTED]
     free = [x for x in parts if cut[id(x)] is None]
     if parts and not free:
-        calm = [x for x in parts if not any(u.off == COMMENTED for u in up_from(x))] if len(parts) < 1000 else parts[:1]
+        calm = [x for x in parts if not talk[id(x)]]
         for x in [*calm, *parts][:1]:  # the first, but one outside of comments where there is one
             for u in up_from(x):
                 u.off = 0

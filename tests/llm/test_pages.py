@@ -159,3 +159,9 @@ def test_scores_are_those_of_the_slow_version(parts):
     got = {x: H.worth(x) for x in H.score(root)}
     assert set(got) == set(want)
     assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+@pytest.mark.parametrize("n", [10, 998, 1100])
+def test_how_many_articles_comments_hold_changes_nothing(n):
+    talk = '<div class="comments"><article><p>nice, very nice, I say, and more of that, and more words</p></article>' + "<article><p>x</p></article>" * n + "</div>"
+    assert H.main_text(f'<body>{talk}<div class="sidebar"><main>{TEXT}</main></div></body>') == WANT
