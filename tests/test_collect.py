@@ -125,3 +125,18 @@ def test_nothing_to_ask(spark, folders):
     root, seen, path = folders
     assert C.collect(companies(spark), ["2023"], lambda: Recorded(root, seen), path) == {"wanted": 0, "cached": 0, "collected": 0, "without": 0}
     assert [t.count() for t in C.load_collected(spark, path)] == [0, 0, 0]
+
+
+def test_a_bucket_is_read_once_for_all_its_companies(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    root, path = str(tmp_path / "catalog"), str(tmp_path / "collected")
+    C.write_catalog(filings(spark), root, 2)
+    reads, read = [], pq.read_table
+    monkeypatch.setattr(pq, "read_table", lambda *a, **k: reads.append(a) or read(*a, **k))
+    client = C.CatalogClient(root, 2)
+    codes = [r.company for r in filings(spark).select("company", C.catalog_bucket("company", 2).alias("b")).distinct().orderBy("b", "company").collect()]
+    got = {d["doc_id"] for c in codes for _ in range(2) for d in client.search(c, DAY(2023, 1, 1), DAY(2024, 12, 31))}
+    assert got == set(range(1, 11)) and len(reads) <= 2
+    told = C.collect(companies(spark, *codes, "E5"), ["2023", "2024"], lambda: C.CatalogClient(root, 2), path, wave=1, parallel=2, near=C.catalog_bucket("edinet_code", 2))
+    assert told == {"wanted": 5, "cached": 0, "collected": 3, "without": 2} and found(spark, path) == {("E1", "2023", 2), ("E1", "2024", 5), ("E2", "2023", 7), ("E4", "2024", 10)}
