@@ -195,12 +195,12 @@ def _(f):
 # rendering
 
 
-def _table(p):
+def _table(p, *more):
     headers = F.when(F.col("k") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(""), F.lit("2024"), F.lit("2023")))
     rows = F.when(F.col("k") % 5 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(F.lit("r"), F.col("a").cast("string"), F.col("b").cast("string")), F.array(F.lit("s"), F.col("b").cast("string"), F.lit("△1"))))
     pre = F.when(F.col("k") == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("before"), F.concat(F.lit("no "), F.col("id").cast("string"))))
     post = F.when(F.col("k") == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("after")))
-    return p.select("id", "k", headers.alias("headers"), rows.alias("rows"), pre.alias("pre"), post.alias("post"), F.concat(F.lit("How much is "), F.col("a").cast("string"), F.lit("?")).alias("question"))
+    return p.select("id", "k", headers.alias("headers"), rows.alias("rows"), pre.alias("pre"), post.alias("post"), F.concat(F.lit("How much is "), F.col("a").cast("string"), F.lit("?")).alias("question"), *more)
 
 
 _HEAD = "'|  | 2024 | 2023 |' || chr(10) || '| --- | --- | --- |'"
