@@ -8,7 +8,7 @@ are their numbers.
 A phrase can be frequent overall and rare in every shard, so popcounts are summed over shards after each step, and only
 phrases that are frequent overall are extended. A phrase of k words is the pair of its first and its last k - 1 words, both
 frequent, so what moves are pairs of numbers. The frequent ones travel to the shards' tasks up to a counted number; beyond it
-joins bring each shard those that it holds.
+joins bring each shard those that it holds, as sorted rows: a task has those of one shard at a time.
 """
 
 from __future__ import annotations
@@ -177,33 +177,43 @@ def state_batch(shard: int, skip: int, ids: np.ndarray, sizes: np.ndarray, block
     )
 
 
-def own_words(known: dict[str, dict[str, int]] | None):
-    """The bitmaps of a shard's frequent words: those of its language in ``known`` (word to id), or else those in the column
-    ``found`` (places in its vocabulary and ids)."""
+def taken(batch: pa.RecordBatch, row: int, place: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The bitmaps of a shard's words at some places of its vocabulary, as those of ``ids``."""
+    if not len(ids):
+        return
+    sizes, block, mask = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in (("sizes", np.int32), ("block", np.uint32), ("mask", np.uint16)))
+    order = np.argsort(place)
+    place, ids = place[order], ids[order]
+    keep = np.zeros(len(sizes), bool)
+    keep[place] = True
+    own = np.repeat(keep, sizes)
+    yield state_batch(batch.column("shard")[row].as_py(), batch.column("skip")[row].as_py(), ids, sizes[place], block[own], mask[own])
+
+
+def own_words(known: dict[str, dict[str, int]]):
+    """The bitmaps of a shard's frequent words: those of its language in ``known`` (word to id)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for row in range(batch.num_rows):
-                if known is not None:
-                    own = known.get(batch.column("lang")[row].as_py(), {})
-                    pairs = [(k, own[w]) for k, w in enumerate(batch.column("words")[row].as_py()) if w in own]
-                    place, ids = (np.array([p[k] for p in pairs], np.int64) for k in range(2))
-                else:
-                    found = batch.column("found")[row].values
-                    place, ids = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                if not len(ids):
-                    continue
-                sizes, block, mask = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in (("sizes", np.int32), ("block", np.uint32), ("mask", np.uint16)))
-                order = np.argsort(place)
-                place, ids = place[order], ids[order]
-                keep = np.zeros(len(sizes), bool)
-                keep[place] = True
-                taken = np.repeat(keep, sizes)
-                yield state_batch(batch.column("shard")[row].as_py(), batch.column("skip")[row].as_py(), ids, sizes[place], block[taken], mask[taken])
+                own = known.get(batch.column("lang")[row].as_py(), {})
+                pairs = [(k, own[w]) for k, w in enumerate(batch.column("words")[row].as_py()) if w in own]
+                yield from taken(batch, row, *(np.array([p[k] for p in pairs], np.int64) for k in range(2)))
 
     return run
 
 
+def one_state(made: Iterator[pa.RecordBatch]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_batches(list(made), pa.schema(list(zip(("shard", "skip", "ids", "sizes", "block", "mask"), kinds, strict=True))))
+
+
+def own_words_found(shard: pa.Table, found: pa.Table) -> pa.Table:
+    """The same of one shard, whose frequent words are rows ``at, id``."""
+    place, ids = (found.column(c).to_numpy() for c in ("at", "id"))
+    return one_state(x for batch in shard.to_batches() for row in range(batch.num_rows) for x in taken(batch, row, place, ids))
+
+
 def popcounts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``shard, a, b, c``: how often phrase ``b`` ends a position after phrase ``a`` in a shard. Ends within the context of the
     shard aren't counted, but their pairs are there, with 0 where there are no others."""
@@ -223,19 +233,14 @@ def popcounts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[key // len(ids)]), pa.array(ids[key % len(ids)]), pa.array(total)], ["shard", "a", "b", "c"])
 
 
-def extended(known: np.ndarray | None):
-    """The bitmaps of a shard's frequent pairs, one word longer than those that it holds: those of ``known`` (rows a, b, id),
-    or else those in the column ``found`` (a, b, id)."""
+def extended(known: np.ndarray):
+    """The bitmaps of a shard's frequent pairs, one word longer than those that it holds: those of ``known`` (rows a, b, id)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for row in range(batch.num_rows):
                 ids, (owner, block, mask) = read_state(batch, row)
-                if known is not None:
-                    a, b, new = known
-                else:
-                    found = batch.column("found")[row].values
-                    a, b, new = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                a, b, new = known
                 by_id = np.argsort(ids)
                 at = [np.minimum(np.searchsorted(ids, x, sorter=by_id), len(ids) - 1) for x in (a, b)]
                 have = (ids[by_id[at[0]]] == a) & (ids[by_id[at[1]]] == b)
@@ -263,6 +268,19 @@ def extended(known: np.ndarray | None):
     return run
 
 
+def extended_found(shard: pa.Table, found: pa.Table) -> pa.Table:
+    """The same of one shard, whose frequent pairs are rows ``a, b, id``."""
+    if not found.num_rows:
+        return one_state(iter(()))
+    return one_state(extended(np.stack([found.column(c).to_numpy() for c in ("a", "b", "id")]))(iter(shard.to_batches())))
+
+
+def of_shards(shards: DataFrame, found: DataFrame, run) -> DataFrame:
+    """``run`` of each shard and the rows found for it. Both are sorted by shard, so a task holds one; lists made by an
+    aggregate would be held for 128 shards at a time."""
+    return shards.groupBy("shard").cogroup(found.withColumnRenamed("shard", "_of").groupBy("_of")).applyInArrow(run, STATE)
+
+
 def scored(phrases: DataFrame, totals: DataFrame, words: int) -> DataFrame:
     """The lowest-scoring cut of each phrase: ``lang, phrase, a, l, r, n, score``. Products are decimals of 38 digits."""
     wide = "decimal(19,0)"
@@ -289,7 +307,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         raise ValueError(f"longest must be from 2 to {BITS - 1}")
     store = Scratch(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text IS NOT NULL")
-    maps = store.put(texts.mapInArrow(shards(shard_words, HELD_WORDS, longest), "shard bigint, lang string, skip int, words array<string>, counts array<bigint>, sizes binary, block binary, mask binary"))
+    maps = store.put(texts.mapInArrow(shards(shard_words, HELD_WORDS, longest), "shard bigint, lang string, skip int, words array<string>, counts array<bigint>, sizes binary, block binary, mask binary"), wide=True)
     words = maps.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("shard", "lang", "at", F.col("w.words").alias("phrase"), F.col("w.counts").alias("c"))
     totals = store.put(maps.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("c")).groupBy("lang").agg(F.sum("c").alias("n")))
     none = F.array().cast("array<bigint>")
@@ -301,9 +319,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             known.setdefault(r["lang"], {})[r["phrase"]] = r["id"]
         state = maps.select("shard", "lang", "skip", "words", "sizes", "block", "mask").mapInArrow(own_words(known), STATE)
     else:
-        here = words.join(level.select("lang", "phrase", "id").hint("merge"), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
-        state = maps.select("shard", "skip", "sizes", "block", "mask").join(here, "shard").mapInArrow(own_words(None), STATE)
-    state = store.put(state)
+        here = words.join(level.select("lang", "phrase", "id").hint("merge"), ["lang", "phrase"]).select("shard", "at", "id")
+        state = of_shards(maps.select("shard", "skip", "sizes", "block", "mask"), here, own_words_found)
+    state = store.put(state, wide=True)
     store.drop(maps)
     out = None
     for size in range(2, longest + 1):
@@ -321,10 +339,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             break
         if often.count() <= most_sent:
             known = np.array([[r["a"], r["b"], r["id"]] for r in often.select("a", "b", "id").collect()], np.int64).T
-            nxt = store.put(state.mapInArrow(extended(known), STATE))
+            nxt = store.put(state.mapInArrow(extended(known), STATE), wide=True)
         else:
-            here = pairs.join(often.drop("f").hint("merge"), ["a", "b"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b", "id")).alias("found"))
-            nxt = store.put(state.join(here, "shard").mapInArrow(extended(None), STATE))
+            here = pairs.join(often.drop("f").hint("merge"), ["a", "b"]).select("shard", "a", "b", "id")
+            nxt = store.put(of_shards(state, here, extended_found), wide=True)
         store.drop(state)
         state = nxt
     order = [F.desc("score"), F.desc("a"), "phrase"]

@@ -29,19 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of megabytes each are written in small row groups: Parquet would hold a hundred of them before it looks at their size,
+#: and its readers hold what one row group has of 4,096 rows.
+WIDE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
 class Scratch:
     """Tables written to cut lineage: a lost executor never makes an earlier round run again.
 
-    ``put`` writes and rereads a table; ``drop`` removes one that nothing reads any more.
+    ``put`` writes and rereads a table (``wide``: one of rows of megabytes each); ``drop`` removes one that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, new_folder(spark), 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, wide: bool = False) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**(WIDE_ROWS if wide else {})).option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # for drop()
         return out

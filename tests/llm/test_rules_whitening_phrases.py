@@ -277,3 +277,24 @@ def test_bitmaps_shift_and_join(ids):
         for p, q, m in zip(x, y, bits):
             got[int(p), int(q)] += bin(int(m)).count("1")
     assert got == Counter((x - 1, y - 1) for x, y in zip(ids, ids[1:]) if x and y)
+
+
+def test_a_task_holds_one_shard(spark, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from ledgerlark.llm.common import Scratch
+
+    def no_lists(*_):
+        raise AssertionError("an aggregate of lists holds those of many shards")
+
+    monkeypatch.setattr(collocations.F, "collect_list", no_lists)
+    df = spark.createDataFrame([("en", "a b c d e. " * 20), ("en", "b c d " * 30)], "lang string, text string")
+    few, many = (sorted(map(tuple, collocations.collocations(df, least=12, shard_words=40, most_sent=n).collect())) for n in (1 << 19, 0))
+    assert few == many and len(few) == 5
+    wide = spark.range(0, 12, 1, 1).selectExpr("id", "CAST(repeat(sha2(CAST(id AS STRING), 512), 32768) AS BINARY) AS x")  # 4 MB each
+    stored = Scratch(spark).put(wide, wide=True)
+    at = next(Path(stored._scratch_path.removeprefix("file:")).glob("*.parquet"))
+    own = pq.ParquetFile(at).metadata
+    assert own.num_rows == 12 and max(own.row_group(k).num_rows for k in range(own.num_row_groups)) <= 3
