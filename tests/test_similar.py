@@ -86,3 +86,19 @@ def test_a_chain_of_similar_texts(spark):
     rows = [(k, letters[k : k + 20], "s", "c") for k in range(5000)]  # each like its next three
     kept = sorted(r.pos for r in validate.dedupe(spark.createDataFrame(rows, SCHEMA)).collect())
     assert kept == greedy(rows[:300])[:60] + kept[60:] and all(b - a == kept[1] - kept[0] for a, b in zip(kept, kept[1:]))
+
+
+def written(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_texts_move_to_their_tile_once(spark):
+    rng = random.Random(5)
+    rows = [("x", k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1000))) for k in range(400)]
+    rows += [("x", 1000 + k, t + "!") for _, k, t in rows[:30]] + [("y", 2000, rows[0][2])]
+    df = spark.createDataFrame(rows, "_k0 string, pos bigint, text string")
+    before = written(spark)
+    got = {(r.a, r.b) for r in similar.gram_pairs(df, ["_k0"], 0.7, 10).collect()}
+    assert got == {(k, 1000 + k) for k in range(30)}
+    assert sum(n for k, n in written(spark).items() if k not in before) < 10 * len(rows)  # 43 tiles of a block
