@@ -89,6 +89,7 @@ def test_a_chain_of_similar_texts(spark):
 
 
 def written(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
 
@@ -98,7 +99,9 @@ def test_texts_move_to_their_tile_once(spark):
     rows = [("x", k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1000))) for k in range(400)]
     rows += [("x", 1000 + k, t + "!") for _, k, t in rows[:30]] + [("y", 2000, rows[0][2])]
     df = spark.createDataFrame(rows, "_k0 string, pos bigint, text string")
-    before = written(spark)
+    before, key = written(spark), "spark.sql.requireAllClusterKeysForDistribution"
+    spark.conf.set(key, "true")  # what meets in a task is shuffled, not sorted where it happens to be
     got = {(r.a, r.b) for r in similar.gram_pairs(df, ["_k0"], 0.7, 10).collect()}
+    spark.conf.unset(key)
     assert got == {(k, 1000 + k) for k in range(30)}
     assert sum(n for k, n in written(spark).items() if k not in before) < 10 * len(rows)  # 43 tiles of a block
