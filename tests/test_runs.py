@@ -126,3 +126,17 @@ def test_waves_of_parallel_streams_end_with_whole_rounds(spark, tmp_path):
     got = runs.run(asking(spark, 60), recorded(seen, fail_from=22), parallel=8, wave=20)  # 24 a wave
     assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, k >= 22) for k in range(26)]
     assert max(int(k) for k in calls(seen)) < 32
+
+
+def test_waves_of_a_stretch_are_committed_by_one_job(spark, tmp_path):
+    seen, path = tmp_path / "seen", str(tmp_path / "attempts")
+    seen.mkdir()
+    spark.sparkContext.setJobGroup("stretch", "", False)
+    told = runs.run_stored(asking(spark, 400), recorded(seen, fail_from=357, fail_to=361), path)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stretch"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert told == {"to_ask": 400, "stored": 400, "stopped": False} and jobs < 30  # 40 waves
+    assert len(list(Path(path).glob("part-*.parquet"))) == 40 and set(calls(seen).values()) == {1}
+    got = io.load_attempts(spark, path)
+    assert got.columns == ["id", "question", "context", *(n for n, _ in runs.REPLY_TYPES)]
+    assert sorted((r.id, r.error is not None) for r in got.collect()) == [(k, 357 <= k < 361) for k in range(400)]
