@@ -293,7 +293,7 @@ def test_a_task_holds_one_shard(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame([("en", "a b c d e. " * 20), ("en", "b c d " * 30)], "lang string, text string")
     few, many = (sorted(map(tuple, collocations.collocations(df, least=12, shard_words=40, most_sent=n).collect())) for n in (1 << 19, 0))
     assert few == many and len(few) == 5
-    wide = spark.range(0, 12, 1, 1).selectExpr("id", "CAST(repeat(sha2(CAST(id AS STRING), 512), 32768) AS BINARY) AS x")  # 4 MB each
+    wide = spark.range(0, 12, 1, 1).selectExpr("id", "CAST(array_join(transform(sequence(1, 32768), x -> sha2(CAST(id * 100000 + x AS STRING), 512)), '') AS BINARY) AS x")  # 4 MB each, 2 MB packed
     stored = Scratch(spark).put(wide, wide=True)
     at = next(Path(stored._scratch_path.removeprefix("file:")).glob("*.parquet"))
     own = pq.ParquetFile(at).metadata
